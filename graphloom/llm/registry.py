@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .language_id import op7_language_id
 from .mixing import op8_mix
 from .sharding import op6_shard
+from .token_counts import op4_token_counts
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op4_token_counts": op4_token_counts,
     "op6_shard": op6_shard,
+    "op7_language_id": op7_language_id,
     "op8_mix": op8_mix,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+ORACLES = {
+    "op10_exact_dedup": OP10_SQL,
 }
-ORACLES: dict[str, str] = {}
