@@ -57,8 +57,17 @@ class Model:
         return 1 - clear, found
 
 
+def _surprise(bad: int, seen: int, base: float) -> float:
+    """Minus the log of a bound on the chance that so many of the documents with a term are toxic by accident."""
+    q = bad / seen
+    if q <= base:
+        return 0.0
+    return seen * (q * np.log(q / base) + ((1 - q) * np.log((1 - q) / (1 - base)) if q < 1 else 0.0))
+
+
 def fit(rows: list[tuple[bytes, int]], rounds: int = 250, least: int = 3, shrink: float = 2e-4) -> Model:
-    """rows: (text in UTF-8, label). Terms seen in `least` documents and more often than chance in toxic ones count."""
+    """rows: (text in UTF-8, label). Terms count that are seen in `least` documents and in toxic ones
+    more often than chance explains, given how many terms are tested."""
     bags = []
     for raw, label in rows:
         sents = [s for s in (set(x.split()) for x in raw.translate(_PLAIN).split(b"\n")) if s]
@@ -73,7 +82,8 @@ def fit(rows: list[tuple[bytes, int]], rounds: int = 250, least: int = 3, shrink
     if not positive or positive == n:
         return Model({}, {}, 0.0)
     base = positive / n
-    names = [t for t, k in seen.items() if k >= least and bad[t] > k * base + 1.5 * np.sqrt(k * base * (1 - base))]
+    tested = sum(k >= least for k in seen.values())
+    names = [t for t, k in seen.items() if k >= least and _surprise(bad[t], k, base) > np.log(tested) + 2]
     index = {t: i for i, t in enumerate(sorted(names))}
     if not index:
         return Model({}, {}, 0.0)
