@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .decontamination import op3_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .language_id import op7_language_id
 from .mixing import op8_mix
 from .sharding import op6_shard
+from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .token_counts import op4_token_counts
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op6_shard": op6_shard,
     "op7_language_id": op7_language_id,
@@ -18,5 +22,6 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
+    "op2_substring_dedup": OP2_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
