@@ -14,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, flat, fold_bytes, pieces, window_hashes, window_starts, word_bounds, word_hashes
+from .common import documents, flat, pieces, window_hashes, window_starts, word_bounds, word_hashes
 
 WINDOW = 5
 #: Literal words that a window needs, the share of an item's windows that a document must hold, and how far windows may shift.
@@ -42,32 +43,43 @@ def _unit_hashes() -> np.ndarray:
     return np.unique(word_hashes(data, s, e))
 
 
-def template(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _bare(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without the marks around them."""
+    for _ in range(3):
+        starts = starts + (_OPEN[data[starts]] & (ends - starts > 1))
+        ends = ends - (_CLOSE[data[ends - 1]] & (ends - starts > 1))
+    return starts, ends
+
+
+def template(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: hash of its template and of its value, and its kind (0 literal, 1 number, 2 name, 3 unit); then offsets by text.
 
-    Marks around a word are not part of it. A name starts with A-Z inside a sentence; a unit follows a number.
+    Marks around a word and its case are not part of it. A name starts with A-Z, goes on otherwise and stands inside a
+    sentence; a unit follows a number.
     """
+    data, off = flat(column)
     starts, ends, words = word_bounds(data, off)
     n = len(starts)
     kind = np.zeros(n, np.int8)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), kind, words
+    low, low_off = flat(pc.utf8_lower(column))
+    low_starts, low_ends, _ = word_bounds(low, low_off)  # as many words: case is no white space
+    values = word_hashes(low, *_bare(low, low_starts, low_ends))
     first = np.zeros(n, bool)
     first[words[:-1][words[:-1] < n]] = True
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     after = np.ones(n, bool)
     after[1:] = _STOP[data[ends[:-1] - 1]] | (lines[starts[1:]] > lines[starts[:-1]])
-    for _ in range(3):
-        starts = starts + (_OPEN[data[starts]] & (ends - starts > 1))
-        ends = ends - (_CLOSE[data[ends - 1]] & (ends - starts > 1))
-    values = word_hashes(fold_bytes(data), starts, ends)
-    second = data[np.minimum(starts + 1, len(data) - 1)]
-    number = _DIGIT[data[starts]] | (_PLUS[data[starts]] & (ends - starts > 1) & _DIGIT[second])
+    starts, ends = _bare(data, starts, ends)
+    long, second = ends - starts > 1, data[np.minimum(starts + 1, len(data) - 1)]
+    number = _DIGIT[data[starts]] | (_PLUS[data[starts]] & long & _DIGIT[second])
     kind[number] = 1
     unit = np.zeros(n, bool)
     unit[1:] = number[:-1] & ~first[1:] & np.isin(values[1:], _unit_hashes())
     kind[unit] = 3
-    kind[(kind == 0) & (data[starts] >= 65) & (data[starts] <= 90) & ~after & ~first] = 2
+    capital = lambda b: (b >= 65) & (b <= 90)
+    kind[(kind == 0) & capital(data[starts]) & long & ~capital(second) & ~after & ~first] = 2
     shapes = values.copy()
     for k, mark in ((1, _NUMBER), (2, _NAME), (3, _UNIT)):
         shapes[kind == k] = mark
@@ -99,16 +111,15 @@ class Index:
 
     @staticmethod
     def of(ids: list[int], texts: list[str]) -> Index:
-        data, off = flat(pa.array(texts, pa.string()))
-        shapes, values, kind, words = template(data, off)
+        shapes, values, kind, words = template(pa.array(texts, pa.string()))
         at, hashes = _windows(shapes, kind, words)
         order = np.argsort(hashes, kind="stable")
         item = np.searchsorted(words, at, "right") - 1
         return Index(ids, hashes[order], item[order], (at - words[item])[order], values, kind, words, np.bincount(item, minlength=len(ids)))
 
-    def find(self, data: np.ndarray, off: np.ndarray) -> list[tuple[int, int, int, int, float, bool]]:
+    def find(self, column: pa.Array) -> list[tuple[int, int, int, int, float, bool]]:
         """(text, item, first word, last word + 1, share, same) for each item that a text holds."""
-        shapes, values, kind, words = template(data, off)
+        shapes, values, kind, words = template(column)
         at, hashes = _windows(shapes, kind, words)
         lo, hi = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
         n = hi - lo
@@ -179,7 +190,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text", PIECE_BYTES):
-                if found := held.value.find(*flat(batch.column("text"))):
+                if found := held.value.find(batch.column("text")):
                     doc, item, a, b, share, same = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(item, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(share), pa.array(same)], names=["id", "item_id", "first_word", "end_word", "share", "same_values"])
 
@@ -196,7 +207,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, text, PIECE_BYTES):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in held.value.find(*flat(batch.column(text)))]] = False
+                keep[[f[0] for f in held.value.find(batch.column(text))]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -45,7 +45,7 @@ def _send(owners: int):
         times = np.bincount(distinct)
         rank = distinct - distinct[cuts[:-1]].repeat(np.diff(cuts))
         docs = pa.StructArray.from_arrays(
-            [table.column("id").combine_chunks().take(pa.array(order)) if not isinstance(table.column("id"), pa.Array) else table.column("id").take(pa.array(order)), pa.array(fp.view(np.int64)), pa.chunked_array(table.column("sha")).combine_chunks().take(pa.array(order)) if not isinstance(table.column("sha"), pa.Array) else table.column("sha").take(pa.array(order)), pa.array(order.astype(np.int64)), pa.array(rank.astype(np.int32)), pa.array(times[distinct] > 1)],
+            [table.column("id").chunk(0).take(pa.array(order)), pa.array(fp.view(np.int64)), table.column("sha").chunk(0).take(pa.array(order)), pa.array(order.astype(np.int64)), pa.array(rank.astype(np.int32)), pa.array(times[distinct] > 1)],
             fields=list(_DOC),
         )
         codes = [rice_encode(fp[a:b][new[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op3_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .language_id import op7_language_id
+from .lm_scoring import op9_lm_score
 from .mixing import op8_mix
 from .sharding import op6_shard
 from .substring_dedup import OP2_SQL, op2_substring_dedup
@@ -19,9 +20,11 @@ QUERIES = {
     "op6_shard": op6_shard,
     "op7_language_id": op7_language_id,
     "op8_mix": op8_mix,
+    "op9_lm_score": op9_lm_score,
     "op10_exact_dedup": op10_exact_dedup,
 }
 ORACLES = {
     "op2_substring_dedup": OP2_SQL,
+    "op9_lm_score": op9_lm_score,
     "op10_exact_dedup": OP10_SQL,
 }
