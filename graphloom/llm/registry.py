@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import op3_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .language_id import op7_language_id
 from .lm_scoring import op9_lm_score
 from .mixing import op8_mix
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_shard": op6_shard,
     "op7_language_id": op7_language_id,
     "op8_mix": op8_mix,
@@ -26,5 +28,6 @@ QUERIES = {
 ORACLES = {
     "op2_substring_dedup": OP2_SQL,
     "op9_lm_score": op9_lm_score,
+    "op5_jaccard_join": OP5_SQL,
     "op10_exact_dedup": OP10_SQL,
 }

@@ -152,6 +152,19 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return rows.mapInArrow(run, "id long, score double, sentences array<struct<start:bigint,end:bigint,p:double>>")
 
 
+def keep_clean(docs: DataFrame, model: Model, text: str = "text", at: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that score under `at`."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text, PIECE_BYTES):
+            data, off = flat(batch.column(text))
+            raw, cut = data.tobytes(), off.tolist()
+            yield batch.filter(pa.array([held.value.score(raw[a:b])[0] < at for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled documents that are not held out."""
     known = labels.filter((fold_of(F.col("doc_id"), 5) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
