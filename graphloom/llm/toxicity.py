@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import documents, flat, fold_of, pieces
 
 #: Documents of each label to train on, at most about, and the longest text among them, in characters. Scores cover all texts.
-SAMPLE, LONGEST = 3000, 12_000
+SAMPLE, LONGEST = 2500, 8_000
 STEM = 5
 PIECE_BYTES = 2 << 20
 #: Lower case; marks that end a sentence become line ends, other ASCII marks become spaces.
@@ -65,41 +65,50 @@ def _surprise(bad: int, seen: int, base: float) -> float:
     return seen * (q * np.log(q / base) + ((1 - q) * np.log((1 - q) / (1 - base)) if q < 1 else 0.0))
 
 
-def fit(rows: list[tuple[bytes, int]], rounds: int = 250, least: int = 3, shrink: float = 2e-4) -> Model:
-    """rows: (text in UTF-8, label). Terms count that are seen in `least` documents and in toxic ones
-    more often than chance explains, given how many terms are tested."""
-    bags = []
-    for raw, label in rows:
-        sents = [s for s in (set(x.split()) for x in raw.translate(_PLAIN).split(b"\n")) if s]
-        bags.append(([{(0, w) for w in s} | {(1, w[:STEM]) for w in s} for s in sents], label))
-    seen, bad = Counter(), Counter()
-    for sents, label in bags:
-        terms = set().union(*sents) if sents else set()
-        seen.update(terms)
-        if label:
-            bad.update(terms)
-    n, positive = len(bags), sum(label for _, label in bags)
+def fit(rows: list[tuple[bytes, int]], scale: dict[int, float] | None = None, rounds: int = 250, least: int = 3, shrink: float = 2e-4) -> Model:
+    """rows: (text in UTF-8, label); scale: for how many documents a row of a label stands. Terms count that are seen in `least` different sentences and in
+    those of toxic documents more often than chance explains, given how many terms are tested."""
+    seen, bad, known = Counter(), Counter(), set()
+    n, positive = len(rows), sum(label for _, label in rows)
     if not positive or positive == n:
         return Model({}, {}, 0.0)
-    base = positive / n
+    # a sentence counts once, so that copies of a document make no evidence; one that a clean document holds is clean
+    total = toxic = 0
+    for raw, label in sorted(rows, key=lambda r: r[1]):
+        for s in raw.translate(_PLAIN).split(b"\n"):
+            words = set(s.split())
+            if not words or (mark := hash(frozenset(words))) in known:
+                continue
+            known.add(mark)
+            terms = {(0, w) for w in words} | {(1, w[:STEM]) for w in words}
+            seen.update(terms)
+            total, toxic = total + 1, toxic + label
+            if label:
+                bad.update(terms)
+    if not toxic:
+        return Model({}, {}, 0.0)
+    base = toxic / total
     tested = sum(k >= least for k in seen.values())
     names = [t for t, k in seen.items() if k >= least and _surprise(bad[t], k, base) > np.log(tested) + 2]
+    del seen, bad, known
     index = {t: i for i, t in enumerate(sorted(names))}
     if not index:
         return Model({}, {}, 0.0)
     term, sent_of, doc_of = [], [], []
-    for d, (sents, _) in enumerate(bags):
-        for s in sents:
-            ids = [index[t] for t in s if t in index]
+    for d, (raw, _) in enumerate(rows):
+        for s in raw.translate(_PLAIN).split(b"\n"):
+            words = set(s.split())
+            ids = [index[t] for t in {(0, w) for w in words} | {(1, w[:STEM]) for w in words} if t in index]
             if ids:
                 term += ids
                 sent_of += [len(doc_of)] * len(ids)
                 doc_of.append(d)
     term, sent_of, doc_of = np.array(term), np.array(sent_of), np.array(doc_of)
-    y = np.array([label for _, label in bags], float)
+    y = np.array([label for _, label in rows], float)
     w, b = np.zeros(len(index)), -3.0
     m, v = np.zeros(len(index) + 1), np.zeros(len(index) + 1)
-    weigh = np.where(y > 0, 0.5 / positive, 0.5 / (n - positive))
+    weigh = np.where(y > 0, *((scale or {}).get(k, 1.0) for k in (1, 0)))
+    weigh = weigh / weigh.sum()
     for step in range(1, rounds + 1):
         z = np.clip(b + np.bincount(sent_of, w[term], len(doc_of)), -30, 30)
         p = 1 / (1 + np.exp(-z))
@@ -116,17 +125,22 @@ def fit(rows: list[tuple[bytes, int]], rounds: int = 250, least: int = 3, shrink
     return Model({t: x for (k, t), x in kept.items() if k == 0}, {t: x for (k, t), x in kept.items() if k == 1}, float(b))
 
 
-def sample(labelled: DataFrame, key: str, text: str, label: str, most: int = SAMPLE, longest: int = LONGEST) -> list[tuple[bytes, int]]:
-    """Rows of each label, chosen by hash until about `most` are met, with texts of at most `longest` characters."""
-    rows = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    rows = rows.filter(F.col("t").isNotNull() & F.col("y").isNotNull() & (F.length("t") <= longest))
-    counts = dict(labelled.filter(F.col(label).isNotNull()).groupBy(F.col(label).cast("int").alias("y")).count().collect())
+def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = SAMPLE, longest: int = LONGEST) -> tuple[list[tuple[bytes, int]], dict[int, float]]:
+    """Texts of at most `longest` characters of about `most` rows of each label, chosen by hash of the key.
+
+    labels has a row a key. The chosen keys, 2 * most of a label at the utmost, are broadcast; texts are not shuffled.
+    """
+    known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("y")).filter("y IS NOT NULL")
     out: list[tuple[bytes, int]] = []
-    for y, n in sorted(counts.items()):
-        part = min(1.0, most / max(1, n))
-        chosen = rows.filter((F.col("y") == y) & (F.pmod("h", F.lit(1_000_000)) < int(part * 1_000_000))).limit(2 * most)
-        out += [(r.t.encode(), int(r.y > 0)) for r in chosen.select("t", "y").toLocalIterator()]
-    return sorted(out)
+    scale: dict[int, float] = {}
+    for y, n in sorted(known.groupBy("y").count().collect()):  # a row a label
+        part = min(1.0, 1.2 * most / n)
+        chosen = known.filter((F.col("y") == y) & (F.pmod(F.xxhash64("_k"), F.lit(1_000_000)) < int(part * 1_000_000))).limit(2 * most)
+        texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).filter(F.length("t") <= longest).join(F.broadcast(chosen), "_k")
+        got = [(r.t.encode(), int(y > 0)) for r in texts.select("t").limit(2 * most).collect()]
+        out += got
+        scale[int(y > 0)] = n / max(1, len(got))
+    return sorted(out), scale
 
 
 _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))
@@ -168,7 +182,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", at: float = 0.
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled documents that are not held out."""
     known = labels.filter((fold_of(F.col("doc_id"), 5) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return fit(sample(docs.select("doc_id", "text").join(known, "doc_id"), "doc_id", "text", "toxic"))
+    return fit(*sample(docs, known, "doc_id", "text", "toxic"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
