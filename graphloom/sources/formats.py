@@ -49,11 +49,15 @@ def merge_files(old: DataFrame, new: DataFrame, removed: DataFrame) -> DataFrame
     return old.join(gone, "path", "left_anti").unionByName(new)
 
 
-def git_commits(lines: DataFrame) -> DataFrame:
-    """(commit_id, files) from log lines (pos, value): a 40-digit line opens a commit, other lines are its files."""
+def git_commits(lines: DataFrame, log: str | None = None) -> DataFrame:
+    """(commit_id, files) from log lines (pos, value): a 40-digit line opens a commit, other lines are its files.
+
+    log: a column that names the log, where lines of many come together; each log is then read by itself.
+    """
+    w = Window.partitionBy(log).orderBy("pos") if log else Window.orderBy("pos")
     head = F.col("value").rlike("^[0-9a-f]{40}$")
-    run = lines.withColumn("n", F.sum(head.cast("int")).over(Window.orderBy("pos"))).withColumn("head", head)
-    return run.groupBy("n").agg(F.max(F.when(F.col("head"), F.col("value"))).alias("commit_id"), F.sort_array(F.collect_set(F.when(~F.col("head") & (F.trim("value") != ""), F.col("value")))).alias("files")).filter("commit_id IS NOT NULL").select("commit_id", "files")
+    run = lines.withColumn("n", F.sum(head.cast("int")).over(w)).withColumn("head", head)
+    return run.groupBy(*[log] * bool(log), "n").agg(F.max(F.when(F.col("head"), F.col("value"))).alias("commit_id"), F.sort_array(F.collect_set(F.when(~F.col("head") & (F.trim("value") != ""), F.col("value")))).alias("files")).filter("commit_id IS NOT NULL").select("commit_id", "files")
 
 
 def span_counts(spark: SparkSession, path: str) -> DataFrame:
