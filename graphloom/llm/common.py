@@ -175,11 +175,6 @@ def window_starts(words: np.ndarray, width: int) -> np.ndarray:
     return ok
 
 
-def owners(hashes: np.ndarray) -> np.ndarray:
-    """For each position, the number of its text from n + 1 offsets."""
-    return np.repeat(np.arange(len(hashes) - 1), np.diff(hashes))
-
-
 # --- Golomb-Rice coding of sorted 64-bit values ---------------------------------------------------
 
 

@@ -26,7 +26,7 @@ WINDOW = 13
 DIGITS = (6, 3, 3)
 SLOTS = 1 << sum(DIGITS)
 #: Suffixes of a group, at most and at least about; bytes of text handled at once; bytes of text of an output group.
-GROUP_MOST, GROUP_LEAST, BLOCK_BYTES, OUT_BYTES = 2_000_000, 50_000, 16 << 20, 32 << 20
+GROUP_MOST, GROUP_LEAST, BLOCK_BYTES, OUT_BYTES = 4_000_000, 50_000, 8 << 20, 32 << 20
 _LAST = (1 << 63) - 1  # stands for a null key
 
 
@@ -137,43 +137,47 @@ def _by_out(ids: np.ndarray, marks: np.ndarray, pos: np.ndarray, outs: int) -> I
         yield int(out[some[0]]), _pack_hits(ids[some], marks[some], pos[some])
 
 
-_SENT = pa.schema([("grp", pa.int32()), ("out", pa.int32()), ("hits", pa.binary()), ("codes", pa.binary()), ("pos", pa.binary()), ("row", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary())])
-_SENT_SQL = "grp int, out int, hits binary, codes binary, pos binary, row binary, ids binary, marks binary"
+_SENT = pa.schema([("grp", pa.int32()), ("out", pa.int32()), ("hits", pa.binary()), ("codes", pa.binary()), ("at", pa.binary()), ("ids", pa.binary()), ("marks", pa.binary()), ("sizes", pa.binary())])
+_SENT_SQL = "grp int, out int, hits binary, codes binary, at binary, ids binary, marks binary, sizes binary"
+_SIGN = np.uint64(1 << 63)  # turns the order of signed integers into that of unsigned ones
 
 
 def _send(width: int, first: np.ndarray, split: np.ndarray, groups: int, outs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per block: of each sequence only the places in the smallest document go to its group; others are known here."""
+        """Per block: of each sequence only the places in the smallest document go to its group; others are known here.
+
+        A group gets hashed paths, places in the block's words, and the block's keys with their numbers of words.
+        """
         for block in blocks(batches, "text", BLOCK_BYTES):
             table = pa.Table.from_batches([block])
             block = table.set_column(table.schema.get_field_index("id"), "id", table.column("id").fill_null(_LAST)).sort_by("id").combine_chunks().to_batches()[0]
-            ids = block.column("id").to_numpy()
-            marks = block.column("mark").to_numpy().astype(np.uint32)
+            del table
+            ids, marks = block.column("id").to_numpy(), block.column("mark").to_numpy().astype(np.uint32)
             hashes, words = _hashed(block)
             at = np.flatnonzero(window_starts(words, width))
             if not len(at):
                 continue
-            paths = window_hashes(hashes, width)[at]
-            row = np.searchsorted(words, at, "right") - 1
-            pos = (at - words[row]).astype(np.uint32)
-            slot = _slots(hashes, at)
+            paths, slot = window_hashes(hashes, width)[at], _slots(hashes, at).astype(np.uint16)
             order = np.argsort(paths, kind="stable")
-            paths, row, pos, slot = paths[order], row[order], pos[order], slot[order]
-            run_of = np.cumsum(np.append(True, paths[1:] != paths[:-1])) - 1
-            least = ids[row[np.flatnonzero(np.append(True, np.diff(run_of) > 0))]]
-            known = ids[row] > least[run_of]
+            paths, at, slot = paths[order], at[order].astype(np.uint32), slot[order]
+            del hashes, order
+            new = np.append(True, paths[1:] != paths[:-1])
+            owner = ids[np.searchsorted(words, at, "right") - 1]
+            known = owner > owner[np.flatnonzero(new)][np.cumsum(new) - 1]
+            del new, owner
             rows = [[] for _ in _SENT]
-            for out, hits in _by_out(ids[row[known]], marks[row[known]], pos[known], outs):
+            row = np.searchsorted(words, at[known], "right") - 1
+            for out, hits in _by_out(ids[row], marks[row], (at[known] - words[row]).astype(np.uint32), outs):
                 for column, value in zip(rows, (out % groups, out, hits, None, None, None, None, None), strict=True):
                     column.append(value)
-            paths, row, pos, slot = paths[~known], row[~known], pos[~known], slot[~known]
+            paths, at, slot = paths[~known], at[~known], slot[~known]
             grp = first[slot] + (paths % split[slot].astype(np.uint64)).astype(np.int64)
             order = np.argsort(grp, kind="stable")  # paths stay in order within a group
             cut = np.append(np.flatnonzero(np.append(True, np.diff(grp[order]) > 0)), len(grp))
+            keys = (rice_encode(ids.view(np.uint64) ^ _SIGN), _planes(marks), _planes(np.diff(words).astype(np.uint32)))
             for a, b in zip(cut[:-1], cut[1:], strict=True):
                 some = order[a:b]
-                used, where = np.unique(row[some], return_inverse=True)
-                values = (int(grp[some[0]]), None, None, rice_encode(paths[some]), _planes(pos[some]), _planes(where.astype(np.uint32)), ids[used].tobytes(), marks[used].tobytes())
+                values = (int(grp[some[0]]), None, None, rice_encode(paths[some]), _planes(at[some]), *keys)
                 for column, value in zip(rows, values, strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SENT, strict=True)], schema=_SENT)
@@ -185,15 +189,19 @@ def _tree(outs: int):
     def run(table: pa.Table) -> pa.Table:
         """One group: leaves in order of path and document; those below a node with a smaller document repeat it."""
         out, hits, parts = [], [], []
-        for r in table.to_pylist():
+        for i in range(table.num_rows):
+            r = {name: table.column(name)[i].as_py() for name in table.column_names}
             if r["hits"] is not None:
                 out.append(r["out"])
                 hits.append(r["hits"])
                 continue
-            where = _from_planes(r["row"], np.uint32)
-            parts.append((rice_decode(r["codes"]), np.frombuffer(r["ids"], np.int64)[where], np.frombuffer(r["marks"], np.uint32)[where], _from_planes(r["pos"], np.uint32)))
+            ids, at = (rice_decode(r["ids"]) ^ _SIGN).view(np.int64), _from_planes(r["at"], np.uint32)
+            words = np.concatenate([[0], np.cumsum(_from_planes(r["sizes"], np.uint32).astype(np.int64))])
+            row = np.searchsorted(words, at, "right") - 1
+            parts.append((rice_decode(r["codes"]), ids[row], _from_planes(r["marks"], np.uint32)[row], (at - words[row]).astype(np.uint32)))
         if parts:
             paths, ids, marks, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+            del parts
             order = np.lexsort((ids, paths))
             paths, ids, marks, pos = paths[order], ids[order], marks[order], pos[order]
             node = np.append(True, paths[1:] != paths[:-1])
@@ -206,6 +214,28 @@ def _tree(outs: int):
     return run
 
 
+_TEXTS = pa.schema([("out", pa.int32()), ("ids", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("texts", pa.binary())])
+
+
+def _deal(outs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per block: the texts for each output group, end to end and compressed."""
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            ids, marks = block.column("id"), block.column("mark").to_numpy()
+            data, off = flat(block.column("text"))
+            out = (mix(ids.fill_null(_LAST).to_numpy().view(np.uint64) + marks.astype(np.uint64)) % np.uint64(outs)).astype(np.int32)
+            raw, rows = data.tobytes(), [[] for _ in _TEXTS]
+            for o in np.unique(out):
+                some = np.flatnonzero(out == o)
+                values = (int(o), ids.take(pa.array(some)).to_pylist(), marks[some].tolist(), np.diff(off)[some].tolist(), squeeze(b"".join(raw[off[i] : off[i + 1]] for i in some)))
+                for column, value in zip(rows, values, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _TEXTS, strict=True)], schema=_TEXTS)
+
+    return run
+
+
 def _cut(width: int):
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
         """One output group: the words that no repeated place covers."""
@@ -213,23 +243,25 @@ def _cut(width: int):
         for blob in found.column("hits").to_pylist():
             for i, mark, pos in _unpack_hits(blob):
                 places.setdefault((i, mark), []).append(pos)
-        keys = texts.column("id").fill_null(_LAST).to_pylist()
-        n, removed, digests, kept_text = [], [], [], []
-        for key, mark, text in zip(keys, texts.column("mark").to_pylist(), texts.column("text").to_pylist(), strict=True):
-            words = text.encode().split()
-            n.append(len(words))
-            if at := places.get((key, mark)):
-                cover = np.zeros(len(words) + width + 1, np.int32)
-                starts = np.concatenate(at)
-                np.add.at(cover, starts, 1)
-                np.add.at(cover, starts + width, -1)
-                keep = np.cumsum(cover)[: len(words)] == 0
-                words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-            removed.append(n[-1] - len(words))
-            joined = b" ".join(words)
-            digests.append(hashlib.sha256(joined).hexdigest())
-            kept_text.append(joined.decode())
-        return pa.table({"id": texts.column("id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept_text, pa.string())})
+        ids, n, removed, digests, kept_text = [], [], [], [], []
+        for r in texts.to_pylist():
+            raw, at = zstandard.ZstdDecompressor().decompress(r["texts"]), 0
+            for key, mark, size in zip(r["ids"], r["marks"], r["sizes"], strict=True):
+                words, at = raw[at : at + size].split(), at + size
+                ids.append(key)
+                n.append(len(words))
+                if hits := places.get((_LAST if key is None else key, mark)):
+                    cover = np.zeros(len(words) + width + 1, np.int32)
+                    starts = np.concatenate(hits)
+                    np.add.at(cover, starts, 1)
+                    np.add.at(cover, starts + width, -1)
+                    keep = np.cumsum(cover)[: len(words)] == 0
+                    words = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+                removed.append(n[-1] - len(words))
+                joined = b" ".join(words)
+                digests.append(hashlib.sha256(joined).hexdigest())
+                kept_text.append(joined.decode())
+        return pa.table({"id": pa.array(ids, pa.int64()), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string()), "kept": pa.array(kept_text, pa.string())})
 
     return run
 
@@ -247,19 +279,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     summed = rows.select("text").mapInArrow(_count(width), "part int, counts binary").groupBy("part").applyInArrow(_add, "counts binary")
     totals = sum((np.frombuffer(r.counts, np.int64) for r in summed.collect()), np.zeros(SLOTS + 1, np.int64))  # 32 rows of a fixed size
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    most = int(np.clip(totals[:-1].sum() // (3 * partitions), GROUP_LEAST, GROUP_MOST))
+    most = int(np.clip(totals[:-1].sum() // partitions, GROUP_LEAST, GROUP_MOST))
     first, split, groups = plan_groups(totals[:-1], most)
     outs = max(partitions, int(totals[-1]) // OUT_BYTES + 1)
     sent = rows.mapInArrow(_send(width, first, split, groups, outs), _SENT_SQL)
     hits = sent.groupBy("grp").applyInArrow(_tree(outs), "out int, hits binary")
 
-    def with_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, marks = b.column("id").fill_null(_LAST).to_numpy(), b.column("mark").to_numpy()
-            out = mix(ids.view(np.uint64) + marks.astype(np.uint32).astype(np.uint64)) % np.uint64(outs)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.astype(np.int32))], names=["id", "text", "mark", "out"])
-
-    texts = rows.mapInArrow(with_out, "id long, text string, mark long, out int")
+    texts = rows.mapInArrow(_deal(outs), "out int, ids array<bigint>, marks array<bigint>, sizes array<int>, texts binary")
     return texts.groupBy("out").cogroup(hits.groupBy("out")).applyInArrow(_cut(width), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
