@@ -45,13 +45,14 @@ def number(df: DataFrame, shard: str, order: Sequence[str], slot: str = "slot",
     `order` names columns that tell rows apart; rows equal in all of them are numbered in any order.
     The table of offsets has shards * buckets rows at most, and is broadcast.
     """
-    parts = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = parts.groupBy(shard, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(shard).alias("_s"), F.col("_b").alias("_ob"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
-    within = parts.withColumn("_r", F.row_number().over(Window.partitionBy(shard, "_b").orderBy(*order)))
-    joined = within.join(F.broadcast(offsets), (F.col(shard) == F.col("_s")) & (F.col("_b") == F.col("_ob")))
-    return joined.withColumn(slot, (F.col("_o") + F.col("_r") - 1).cast("long")).drop("_b", "_s", "_ob", "_o", "_r")
+    b, n, r, of_shard, of_bucket, before = (f"__slot_{x}" for x in ("bucket", "n", "row", "of_shard", "of_bucket", "before"))
+    parts = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = parts.groupBy(shard, b).agg(F.count("*").alias(n))
+    earlier = Window.partitionBy(shard).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col(shard).alias(of_shard), F.col(b).alias(of_bucket), F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    within = parts.withColumn(r, F.row_number().over(Window.partitionBy(shard, b).orderBy(*order)))
+    joined = within.join(F.broadcast(offsets), (F.col(shard) == F.col(of_shard)) & (F.col(b) == F.col(of_bucket)))
+    return joined.withColumn(slot, (F.col(before) + F.col(r) - 1).cast("long")).drop(b, r, of_shard, of_bucket, before)
 
 
 def op6_shard(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:

@@ -72,6 +72,7 @@ def test_shards_are_even_and_stable(spark):
 def test_slots_are_gapless(make, spark):
     df = sharding.number(sharding.assign(make(["a"] * 40, ids=[*range(30), *[7] * 5, *[None] * 5]), "doc_id", [1.0] * 3), "shard", ["doc_id"], buckets=4)
     by = defaultdict(list)
+    assert {"_b", "_n", "_r"} <= set(df.columns)
     for r in df.collect():
         by[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in by.values()) and sum(map(len, by.values())) == 40
