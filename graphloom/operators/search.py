@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.scratch import written
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -19,10 +21,16 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, score) of rows that hold a term. Only term counts and lengths of rows leave the scan; no postings are shuffled."""
-    tokens = T.word_tokens(F.coalesce(F.col(text), F.lit("")))
-    count = lambda x: F.size(F.filter(tokens, lambda t: t == F.lit(x)))
-    per = docs.select(key, F.size(tokens).alias("len"), *[count(x).alias(f"tf{i}") for i, x in enumerate(terms)])
+    """(key, score) of rows that hold a term, a run of a-z and 0-9 in lower case.
+
+    One scan counts terms and lengths by regular expression; the narrow table of counts is written and read for the
+    statistics and for the scores, so that no postings are shuffled and texts are read once.
+    """
+    if any(not re.fullmatch("[a-z0-9]{2,}", t) for t in terms):
+        raise ValueError(f"terms are runs of a-z and 0-9: {terms}")
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    count = lambda pattern: F.regexp_count(low, F.lit(pattern))
+    per = written(docs.select(key, count("[a-z0-9]{2,}").alias("len"), *[count(f"(?<![a-z0-9]){x}(?![a-z0-9])").alias(f"tf{i}") for i, x in enumerate(terms)]))
     stats = per.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(terms))])
     score = F.lit(0.0)
     for i in range(len(terms)):
