@@ -108,6 +108,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", norma
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the one that stays of each group of equal texts."""
     return exact_groups(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 

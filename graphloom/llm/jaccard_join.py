@@ -311,6 +311,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the least doc_id that links of 0.8 or more over five-word shingles lead to."""
     return groups(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 

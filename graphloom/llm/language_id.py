@@ -161,6 +161,7 @@ def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all whole documents, learned from those that are not held out. A text without a letter is `und` and scores 0."""
     docs = documents(spark, sf_dir)
     model = fit(*sample(docs.filter(fold_of(F.col("doc_id"), 4) != 2), "doc_id", "text", "lang"))
     found = predict(docs, model)

@@ -117,6 +117,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes of each. A null text has size 0 and gives nothing."""
     mixed = copies(stored(sizes(documents(spark, sf_dir))))
     rows = mixed.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "source")

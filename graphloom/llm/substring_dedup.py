@@ -290,6 +290,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 13-word sequences that a document with a smaller doc_id also has."""
     return remove_repeats(documents(spark, sf_dir)).drop("kept").withColumnRenamed("id", "doc_id")
 
 

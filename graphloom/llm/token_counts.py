@@ -86,5 +86,6 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all whole documents, and which have more than LIMIT."""
     counted = count_tokens(documents(spark, sf_dir))
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))

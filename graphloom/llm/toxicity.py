@@ -186,6 +186,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all whole documents, the model trained on labelled ones that are not held out; with the offending sentences."""
     docs = documents(spark, sf_dir)
     scored = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     bad = F.filter("sentences", lambda s: s["p"] >= 0.5)
