@@ -27,7 +27,6 @@ QUERIES = {
 }
 ORACLES = {
     "op2_substring_dedup": OP2_SQL,
-    "op9_lm_score": op9_lm_score,
     "op5_jaccard_join": OP5_SQL,
     "op10_exact_dedup": OP10_SQL,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination as D
 from graphloom.llm import mixing, sharding
-from graphloom.llm.registry import QUERIES
+from graphloom.llm.registry import ORACLES, QUERIES
 
 ITEM = "If a train leaves Boston at 60 km per hour and another from Boston follows after 3 hours at 90 km per hour when do they meet"
 
@@ -153,3 +153,4 @@ def test_pipeline(spark, tmp_path, make):
 
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert set(ORACLES) == {"op2_substring_dedup", "op5_jaccard_join", "op10_exact_dedup"} and all(isinstance(s, str) for s in ORACLES.values())
