@@ -64,7 +64,7 @@ def j21(spark: SS, sf: str) -> DataFrame:
 @query("J22_route_consumers", """WITH r AS (SELECT p_partkey AS route FROM part WHERE p_name ILIKE '%RING%' AND p_partkey < 100), h AS (SELECT DISTINCT route, l_suppkey AS node FROM r JOIN lineitem ON l_partkey = route)
 SELECT route, node, 'handler' AS role FROM h UNION SELECT route, s_nationkey + 100000, 'caller' FROM h JOIN supplier ON s_suppkey = node""")
 def j22(spark: SS, sf: str) -> DataFrame:
-    routes = table(spark, sf, "part").filter("p_partkey < 100").select(F.col("p_partkey").alias("route"), F.col("p_name").alias("path"))
+    routes = table(spark, sf, "part").select(F.col("p_partkey").alias("route"), F.col("p_name").alias("path"))
     handles = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("route"), F.col("l_suppkey").alias("handler")).distinct()
     calls = table(spark, sf, "supplier").select((F.col("s_nationkey") + 100000).cast("long").alias("src"), F.col("s_suppkey").alias("dst"))
     return C.consumers(routes, handles, calls, "RING")
