@@ -101,9 +101,10 @@ def k05(spark: SS, sf: str) -> DataFrame:
 
 @query("K08_runtime_by_suffix", "SELECT page_id, CASE WHEN contains(p, '/fr/1') THEN 1.0::DOUBLE END AS coverage FROM (SELECT page_id, string_split(url, '?')[1] AS p FROM pages) WHERE regexp_matches(p, '/fr/1[0-9]*$')")
 def k08(spark: SS, sf: str) -> DataFrame:
-    files = table(spark, sf, "pages").select("page_id", F.substring_index("url", "?", 1).alias("path")).filter(F.col("path").rlike("/fr/1[0-9]*$"))
-    cover = files.select(F.substring_index("path", "/", -2).alias("suffix")).distinct().withColumn("coverage", F.lit(1.0))
-    return J.suffix_join(cover, files).groupBy("page_id").agg(F.max("coverage").alias("coverage"))
+    files = table(spark, sf, "pages").select("page_id", F.substring_index("url", "?", 1).alias("path"))
+    cover = files.filter(F.col("path").rlike("/fr/1[0-9]*$")).select(F.substring_index("path", "/", -2).alias("suffix")).distinct().withColumn("coverage", F.lit(1.0))
+    every = files.select("page_id", F.lit(None).cast("double").alias("coverage"))
+    return J.suffix_join(cover, files).select("page_id", "coverage").unionAll(every).groupBy("page_id").agg(F.max("coverage").alias("coverage"))
 
 
 @query("A04_module_dependency_counts", "SELECT s_nationkey, p_brand, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE s_nationkey <> p_size GROUP BY 1, 2 ORDER BY n DESC, s_nationkey, p_brand LIMIT 20")

@@ -6,8 +6,11 @@ import pytest
 from graphloom.plans import analytics, codegraph  # noqa: F401
 from graphloom.plans.registry import ORACLES, QUERIES
 
-#: The registered SQL without bounds on ids.
-WHOLE = {"J22_route_consumers": ORACLES["J22_route_consumers"].replace(" AND p_partkey < 100", "")}
+#: SQL of the whole job: the registered one without its bounds.
+WHOLE = {
+    "J22_route_consumers": ORACLES["J22_route_consumers"].replace(" AND p_partkey < 100", ""),
+    "K08_runtime_by_suffix": "SELECT page_id, CASE WHEN regexp_matches(string_split(url, '?')[1], '/fr/1[0-9]*$') THEN 1.0::DOUBLE END AS coverage FROM pages",
+}
 
 
 @pytest.fixture(scope="module")
@@ -42,3 +45,10 @@ def test_equals_sql_without_its_bound(spark, sf_dir, duck, name):
     rel = duck.execute(WHOLE[name])
     at = [[d[0] for d in rel.description].index(c) for c in cols]
     assert sorted(str([r[c] for c in cols]) for r in df.collect()) == sorted(str([r[i] for i in at]) for r in rel.fetchall())
+
+
+def test_pages_without_coverage_stay(spark, tmp_path):
+    urls = ["http://a.org/fr/12?x=1", "http://b.org/en/fr/12", "http://a.org/fr/2", "http://a.org/en/1", "http://a.org/fr/12#top", None, "http://a.org/fr/1"]
+    d = save(spark, tmp_path, pages=([*enumerate(urls), (None, urls[0])], "page_id long, url string"))
+    got = {r.page_id: r.coverage for r in QUERIES["K08_runtime_by_suffix"](spark, d).collect()}
+    assert got == {0: 1.0, 1: 1.0, 2: None, 3: None, 4: None, 5: None, 6: 1.0, None: 1.0}
