@@ -57,7 +57,7 @@ def j18(spark: SS, sf: str) -> DataFrame:
 @query("J21_symmetric_related", "SELECT id, other, round(max(s), 6) AS score FROM (SELECT src AS id, dst AS other, n / (n + 1.0) AS s FROM steps UNION ALL SELECT dst, src, n / (n + 1.0) FROM steps) WHERE s >= 0.7 AND id < 500 GROUP BY 1, 2".replace("SELECT id", f"WITH {STEPS_SQL.format(least=1)} SELECT id", 1))
 def j21(spark: SS, sf: str) -> DataFrame:
     e = part_steps(spark, sf, 1).select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.lit("semantic_related").alias("kind"), (F.col("n") / (F.col("n") + 1.0)).alias("score"))
-    ids = table(spark, sf, "part").filter("p_partkey < 500").select(F.col("p_partkey").alias("id"))
+    ids = table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
     return C.related(e, ids).withColumn("score", F.round("score", 6))
 
 

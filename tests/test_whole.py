@@ -8,6 +8,8 @@ from graphloom.plans.registry import ORACLES, QUERIES
 
 #: SQL of the whole job: the registered one without its bounds.
 WHOLE = {
+    "G11_data_flow": ORACLES["G11_data_flow"].replace(" WHERE dst < 100", ""),
+    "J21_symmetric_related": ORACLES["J21_symmetric_related"].replace(" AND id < 500", ""),
     "J22_route_consumers": ORACLES["J22_route_consumers"].replace(" AND p_partkey < 100", ""),
     "K08_runtime_by_suffix": "SELECT page_id, CASE WHEN regexp_matches(string_split(url, '?')[1], '/fr/1[0-9]*$') THEN 1.0::DOUBLE END AS coverage FROM pages",
 }
@@ -52,3 +54,21 @@ def test_pages_without_coverage_stay(spark, tmp_path):
     d = save(spark, tmp_path, pages=([*enumerate(urls), (None, urls[0])], "page_id long, url string"))
     got = {r.page_id: r.coverage for r in QUERIES["K08_runtime_by_suffix"](spark, d).collect()}
     assert got == {0: 1.0, 1: 1.0, 2: None, 3: None, 4: None, 5: None, 6: 1.0, None: 1.0}
+
+
+def orders(*baskets):
+    rows = [(i, n, p, 1, 1.0, 1.0) for i, parts in enumerate(baskets) for n, p in enumerate(parts)]
+    return rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double"
+
+
+def test_data_flow_from_all_roots(spark, tmp_path):
+    d = save(spark, tmp_path, lineitem=orders(*[(5, 900, 1000, 2000, 3000)] * 2, (7, 8)))
+    got = sorted(map(tuple, QUERIES["G11_data_flow"](spark, d).collect()))
+    path = [5, 900, 1000, 2000, 3000]
+    assert got == sorted((path[i], path[j], i - j) for i in range(5) for j in range(i) if i - j <= 3)
+
+
+def test_related_of_all_ids(spark, tmp_path):
+    d = save(spark, tmp_path, lineitem=orders(*[(1, 800)] * 3, *[(900, 1000)] * 4, *[(1000, 900)] * 3, *[(1, 2)] * 2), part=([(k,) for k in (1, 2, 800, 900, 1000)], "p_partkey long"))
+    got = sorted(map(tuple, QUERIES["J21_symmetric_related"](spark, d).collect()))
+    assert got == [(1, 800, 0.75), (800, 1, 0.75), (900, 1000, 0.8), (1000, 900, 0.8)]
