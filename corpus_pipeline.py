@@ -26,10 +26,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked at 0.8 or more over five-word shingles, the document of the smallest doc_id."""
-    found = jaccard_join.groups(docs)
-    gone = stored(found.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct())
-    return docs.join(sized(gone, FEW), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of texts linked at 0.8 or more over five-word shingles.
+
+    Rows are decided one by one, whatever keys repeat: of a group, the row of the smallest doc_id stays (null is last; then
+    by a hash of the row). Rows of one text are a group, also under one doc_id; texts that link with nothing stay, as do
+    all rows without a word.
+    """
+    text = F.xxhash64("text")
+    found = jaccard_join.groups(docs.select(text.alias("doc_id"), "text")).filter("n_shingles > 0")
+    texts = stored(found.groupBy(F.col("id").alias("_h"), F.col("component_id").alias("_g")).agg(F.count("*").alias("n")))
+    several = stored(texts.groupBy("_g").agg(F.sum("n").alias("n")).filter("n > 1").select("_g"))
+    linked = stored(texts.select("_h", "_g").join(sized(several, FEW), "_g"))
+    row = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"))
+    marked = docs.withColumns({"_h": text, "_k": row}).join(sized(linked, FEW), "_h", "left")
+    keys = marked.filter("_g IS NOT NULL").groupBy("_g", "_k").agg(F.count("*").alias("n"))
+    first = stored(keys.groupBy("_g").agg(F.min(F.struct("_k", "n")).alias("_f")))
+    kept = marked.join(sized(first, FEW), "_g", "left").filter("_g IS NULL OR _k <=> _f._k")
+    if first.filter("_f.n > 1").limit(1).count():  # rows that are equal in all columns
+        twin = F.coalesce(F.col("_f.n") > 1, F.lit(False))
+        return kept.filter(~twin).select(docs.columns).unionAll(kept.filter(twin).select(docs.columns).distinct())
+    return kept.select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

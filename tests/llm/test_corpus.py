@@ -151,6 +151,24 @@ def test_pipeline(spark, tmp_path, make):
     assert P.run(spark, d).count() == sum(kept["mixing"].values())
 
 
+def test_near_duplicates_are_dropped_by_row(make):
+    import corpus_pipeline as P
+
+    body = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [
+        (1, body("a")), (1, body("a")), (1, body("a")),  # one key and text: one row stays
+        (2, body("b")), (None, body("b") + " z"), (None, body("b")),  # copies under a null key
+        (3, body("c")), (4, body("c") + " z"), (4, body("d")), (4, body("e")),  # one of key 4's texts links to key 3
+        (None, body("f")), (None, body("f")), (None, None), (None, None), (5, ""), (5, ""), (6, "short"), (7, "short"),
+    ]
+    docs = make([t for _, t in rows], ids=[i for i, _ in rows])
+    kept = P.drop_near_duplicates(None, docs, "")
+    want = [(1, body("a")), (2, body("b")), (3, body("c")), (4, body("d")), (4, body("e")), (None, body("f")), (None, None), (None, None), (5, ""), (5, ""), (6, "short")]
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(want) and kept.columns == docs.columns
+    other = make([rows[0][1]] * 4, ids=[9, 9, 8, 8], sources=["p", "q", "r", "s"])
+    assert [r.doc_id for r in P.drop_near_duplicates(None, other, "").collect()] == [8]
+
+
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert set(ORACLES) == {"op2_substring_dedup", "op5_jaccard_join", "op10_exact_dedup"} and all(isinstance(s, str) for s in ORACLES.values())
