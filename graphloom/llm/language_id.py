@@ -67,7 +67,7 @@ def fit(texts: list[bytes], langs: list[str], steps: int = 700, batch: int = 128
     if not names:
         return None
     rng = np.random.default_rng(seed)
-    used = sorted(set(b"".join(texts[:4000])) - {0})
+    used = sorted(set(b"".join(texts)) - {0})
     byte_class = np.zeros(256, np.int32)
     byte_class[used] = np.arange(1, len(used) + 1)
     k = len(used) + 1

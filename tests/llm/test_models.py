@@ -168,3 +168,9 @@ def test_token_cache_is_bounded(monkeypatch):
     got = [n for b in run(iter([batch])) for n in b.column("n_tokens").to_pylist()]
     tok = token_counts._tokenizer(token_counts.tokenizer_path())[0]
     assert got == [len(tok.encode(t, add_special_tokens=False)) for t in batch.column("text").to_pylist()]
+
+
+def test_language_alphabet_is_of_all_windows():
+    texts = [f"a{i:05}".encode() for i in range(4100)] + ["ภาษาไทย".encode()] * 3
+    m = language_id.fit(texts, ["x"] * 4100 + ["th"] * 3, steps=1)
+    assert all(m.byte_class[b] > 0 for b in set("ภาษาไทย".encode())) and len({int(c) for c in m.byte_class if c}) == len(set(b"".join(texts)))
