@@ -173,7 +173,7 @@ def x09(spark: SS, sf: str) -> DataFrame:
 @query("X07_random_index")
 def x07(spark: SS, sf: str) -> DataFrame:
     """Hashed random vectors; the tests hold it against a plain loop."""
-    return S.random_index(table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.xxhash64("conv_id", "turn").alias("id"), "text"), "id", "text", dims=64).select("id", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
+    return S.random_index(table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("k"), F.xxhash64("conv_id", "turn").alias("id"), "text"), "id", "text").select("id", F.size("vector").alias("dims"), F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2"))
 
 
 @query("X15_task_class", "SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'setup' WHEN role = 'assistant' AND length(text) > 400 THEN 'long_answer' WHEN role = 'assistant' THEN 'answer' WHEN contains(text, '?') THEN 'question' WHEN regexp_matches(lower(text), '(the|der|les|los) ') THEN 'statement' ELSE 'other' END AS task FROM conversations")

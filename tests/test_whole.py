@@ -72,3 +72,8 @@ def test_related_of_all_ids(spark, tmp_path):
     d = save(spark, tmp_path, lineitem=orders(*[(1, 800)] * 3, *[(900, 1000)] * 4, *[(1000, 900)] * 3, *[(1, 2)] * 2), part=([(k,) for k in (1, 2, 800, 900, 1000)], "p_partkey long"))
     got = sorted(map(tuple, QUERIES["J21_symmetric_related"](spark, d).collect()))
     assert got == [(1, 800, 0.75), (800, 1, 0.75), (900, 1000, 0.8), (1000, 900, 0.8)]
+
+
+def test_random_index_has_all_dimensions(spark, sf_dir):
+    got = QUERIES["X07_random_index"](spark, sf_dir).collect()
+    assert got and {r.dims for r in got} <= {768}
