@@ -23,8 +23,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """A new path in the folder that all executors share: spark.checkpoint.dir, or else the context's checkpoint folder.
+
+    Without either, a local folder serves where the executors run in this process; elsewhere that is an error.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = LOCAL_SCRATCH
     return f"{base.rstrip('/')}/graphloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
@@ -35,6 +43,11 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone. lower() is the fast way where a text has no other letters to change."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
@@ -179,17 +192,18 @@ def window_starts(words: np.ndarray, width: int) -> np.ndarray:
 
 
 def rice_encode(values: np.ndarray) -> bytes:
-    """Ascending uint64 values as Rice-coded differences: a header, the unary parts, then the remainders."""
+    """Ascending uint64 values as the first one and Rice-coded differences: a header, the unary parts, then the remainders."""
     n = len(values)
     if not n:
         return b""
-    gaps = np.diff(values, prepend=np.uint64(0))
-    k = max(0, min(58, int(np.log2(max(1.0, float(values[-1]) / n)))))
+    first = np.uint64(values[0])
+    gaps = np.diff(values, prepend=first)
+    k = max(0, min(58, int(np.log2(max(1.0, float(values[-1] - first) / n)))))
     high = (gaps >> np.uint64(k)).astype(np.int64)
     ends = np.cumsum(high + 1)
     unary = np.ones(int(ends[-1]), np.uint8)
     unary[ends - 1] = 0
-    head = np.array([n, k, len(unary)], np.int64).tobytes()
+    head = np.array([n, k, len(unary)], np.int64).tobytes() + first.tobytes()
     if not k:
         return head + np.packbits(unary).tobytes()
     low = gaps & np.uint64((1 << k) - 1)
@@ -201,8 +215,8 @@ def rice_decode(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.uint64)
     n, k, m = (int(x) for x in np.frombuffer(blob, np.int64, 3))
-    at = 24 + (m + 7) // 8
-    unary = np.unpackbits(np.frombuffer(blob, np.uint8, at - 24, 24), count=m)
+    at = 32 + (m + 7) // 8
+    unary = np.unpackbits(np.frombuffer(blob, np.uint8, at - 32, 32), count=m)
     high = np.diff(np.flatnonzero(unary == 0), prepend=-1) - 1
     gaps = high.astype(np.uint64) << np.uint64(k)
     if k:
@@ -210,7 +224,7 @@ def rice_decode(blob: bytes) -> np.ndarray:
         wide = np.zeros((n, 64), np.uint8)
         wide[:, 64 - k :] = bits
         gaps |= np.packbits(wide, axis=1).view(">u8").ravel().astype(np.uint64)
-    return np.cumsum(gaps, dtype=np.uint64)
+    return np.cumsum(gaps, dtype=np.uint64) + np.frombuffer(blob, np.uint64, 1, 24)[0]
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
