@@ -3,6 +3,9 @@
 A document is toxic if any of its sentences is: P(document) = 1 - prod(1 - p(sentence)), a noisy-or. A sentence's
 probability is logistic in the words and word beginnings that it holds. Weights are trained through the noisy-or from
 document labels alone, so the sentences that carry a label are found without being labelled.
+
+Two kinds of terms have weights, of either sign: signs, which sentences of toxic documents hold beyond chance, and
+contexts, which tell apart the sentences that hold a sign. A sentence without any sign has probability 0.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, flat, fold_of, pieces
 
-#: Documents of each label to train on, at most about, and the longest text among them, in characters. Scores cover all texts.
+#: Keys of each label to train on, at most, and the longest text among them, in characters. Scores cover all texts.
 SAMPLE, LONGEST = 2500, 8_000
 STEM = 5
 PIECE_BYTES = 2 << 20
@@ -28,24 +31,27 @@ _PLAIN = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".!?\r\n" else 32 if c <
 
 @dataclass
 class Model:
-    """Weights of whole words and of beginnings of words, and the log odds of a sentence that holds any of them."""
+    """Weights of whole words and of beginnings of words, the log odds of a sentence, and which terms are signs."""
 
     words: dict[bytes, float]
     stems: dict[bytes, float]
     bias: float
+    sign_words: frozenset[bytes] = frozenset()
+    sign_stems: frozenset[bytes] = frozenset()
 
     def sentences(self, raw: bytes) -> list[tuple[int, int, float]]:
-        """(start, end, probability) in bytes of the sentences that hold evidence."""
+        """(start, end, probability) in bytes of the sentences that hold a sign."""
         plain = raw.translate(_PLAIN)
         distinct = set(plain.split())
-        if self.words.keys().isdisjoint(distinct) and self.stems.keys().isdisjoint({w[:STEM] for w in distinct}):
+        if self.sign_words.isdisjoint(distinct) and self.sign_stems.isdisjoint({w[:STEM] for w in distinct}):
             return []
         out, at = [], 0
         for s in plain.split(b"\n"):
             held = set(s.split())
-            z = [self.words[w] for w in held if w in self.words] + [self.stems[k] for k in {w[:STEM] for w in held} if k in self.stems]
-            if z:
-                out.append((at, at + len(s), 1 / (1 + float(np.exp(-min(60.0, self.bias + sum(z)))))))
+            stems = {w[:STEM] for w in held}
+            if not (self.sign_words.isdisjoint(held) and self.sign_stems.isdisjoint(stems)):
+                z = [self.words[w] for w in held if w in self.words] + [self.stems[k] for k in stems if k in self.stems]
+                out.append((at, at + len(s), 1 / (1 + float(np.exp(-max(-60.0, min(60.0, self.bias + sum(z))))))))
             at += len(s) + 1
         return out
 
@@ -57,49 +63,65 @@ class Model:
         return 1 - clear, found
 
 
-def _surprise(bad: int, seen: int, base: float) -> float:
-    """Minus the log of a bound on the chance that so many of the documents with a term are toxic by accident."""
+def _surprise(bad: int, seen: int, base: float, less: bool = False) -> float:
+    """Minus the log of a bound on the chance that so many (with less: so few) of `seen` sentences are toxic by accident."""
     q = bad / seen
-    if q <= base:
+    if (q >= base) if less else (q <= base):
         return 0.0
-    return seen * (q * np.log(q / base) + ((1 - q) * np.log((1 - q) / (1 - base)) if q < 1 else 0.0))
+    part = lambda x, y: x * np.log(x / y) if x else 0.0
+    return seen * (part(q, base) + part(1 - q, 1 - base))
+
+
+def _terms(words: set[bytes]) -> set[tuple[int, bytes]]:
+    return {(0, w) for w in words} | {(1, w[:STEM]) for w in words}
+
+
+def _tell(sentences: list[tuple[set, int]], least: int, both: bool) -> list[tuple[int, bytes]]:
+    """Terms whose share of toxic sentences is above chance (with both: or below it), for the number of terms tested."""
+    seen, bad = Counter(), Counter()
+    for terms, label in sentences:
+        seen.update(terms)
+        if label:
+            bad.update(terms)
+    toxic = sum(label for _, label in sentences)
+    if not toxic or toxic == len(sentences):
+        return []
+    base, bar = toxic / len(sentences), np.log(max(1, sum(k >= least for k in seen.values()))) + 2
+    return sorted(t for t, k in seen.items() if k >= least and (_surprise(bad[t], k, base) > bar or (both and _surprise(bad[t], k, base, less=True) > bar)))
 
 
 def fit(rows: list[tuple[bytes, int]], scale: dict[int, float] | None = None, rounds: int = 250, least: int = 3, shrink: float = 2e-4) -> Model:
-    """rows: (text in UTF-8, label); scale: for how many documents a row of a label stands. Terms count that are seen in `least` different sentences and in
-    those of toxic documents more often than chance explains, given how many terms are tested."""
-    seen, bad, known = Counter(), Counter(), set()
+    """rows: (text in UTF-8, label); scale: for how many documents a row of a label stands.
+
+    Terms count that are seen in `least` different sentences, if chance does not explain their share of toxic ones, given
+    how many terms are tested. Every weight that training leaves is kept, whatever its sign. Without both labels, or
+    without any sign, nothing is learned and all texts score 0.
+    """
     n, positive = len(rows), sum(label for _, label in rows)
     if not positive or positive == n:
         return Model({}, {}, 0.0)
     # a sentence counts once, so that copies of a document make no evidence; one that a clean document holds is clean
-    total = toxic = 0
+    known, different = set(), []
     for raw, label in sorted(rows, key=lambda r: r[1]):
         for s in raw.translate(_PLAIN).split(b"\n"):
-            words = set(s.split())
-            if not words or (mark := hash(frozenset(words))) in known:
-                continue
-            known.add(mark)
-            terms = {(0, w) for w in words} | {(1, w[:STEM]) for w in words}
-            seen.update(terms)
-            total, toxic = total + 1, toxic + label
-            if label:
-                bad.update(terms)
-    if not toxic:
-        return Model({}, {}, 0.0)
-    base = toxic / total
-    tested = sum(k >= least for k in seen.values())
-    names = [t for t, k in seen.items() if k >= least and _surprise(bad[t], k, base) > np.log(tested) + 2]
-    del seen, bad, known
-    index = {t: i for i, t in enumerate(sorted(names))}
-    if not index:
+            words = frozenset(s.split())
+            if words and words not in known:
+                known.add(words)
+                different.append((_terms(words), label))
+    del known
+    signs = _tell(different, least, both=False)
+    if not signs:
         return Model({}, {}, 0.0)
+    marked = set(signs)
+    contexts = _tell([(terms - marked, label) for terms, label in different if not marked.isdisjoint(terms)], least, both=True)
+    del different
+    index = {t: i for i, t in enumerate([*signs, *contexts])}
     term, sent_of, doc_of = [], [], []
     for d, (raw, _) in enumerate(rows):
         for s in raw.translate(_PLAIN).split(b"\n"):
-            words = set(s.split())
-            ids = [index[t] for t in {(0, w) for w in words} | {(1, w[:STEM]) for w in words} if t in index]
-            if ids:
+            terms = _terms(set(s.split()))
+            if not marked.isdisjoint(terms):
+                ids = [index[t] for t in terms if t in index]
                 term += ids
                 sent_of += [len(doc_of)] * len(ids)
                 doc_of.append(d)
@@ -121,25 +143,29 @@ def fit(rows: list[tuple[bytes, int]], scale: dict[int, float] | None = None, ro
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
         w = np.sign(w) * np.maximum(0, np.abs(w) - 0.1 * shrink / (np.sqrt(v[:-1] / (1 - 0.99**step)) + 1e-4) * 0.1)
-    kept = {t: float(w[i]) for t, i in index.items() if w[i] > 0.5}
-    return Model({t: x for (k, t), x in kept.items() if k == 0}, {t: x for (k, t), x in kept.items() if k == 1}, float(b))
+    held = {t: float(w[i]) for t, i in index.items() if w[i]}
+    pick = lambda kind, some: {t: x for (k, t), x in some.items() if k == kind}
+    both = {t: held.get(t, 0.0) for t in signs}
+    return Model(pick(0, held), pick(1, held), float(b), frozenset(pick(0, both)), frozenset(pick(1, both)))
 
 
 def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int = SAMPLE, longest: int = LONGEST) -> tuple[list[tuple[bytes, int]], dict[int, float]]:
-    """Texts of at most `longest` characters of about `most` rows of each label, chosen by hash of the key.
+    """The texts of `most` keys of each label, the least by a 64-bit hash; of these, texts of over `longest` characters stay out.
 
-    labels has a row a key. The chosen keys, 2 * most of a label at the utmost, are broadcast; texts are not shuffled.
+    labels has a row a key; a null label does not count. Also for how many labelled keys of its label a row stands. The
+    chosen keys are broadcast, at most `most` of a label; texts are not shuffled. Where keys repeat in docs, the least
+    texts of a label are taken, 2 * most at the utmost.
     """
     known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("y")).filter("y IS NOT NULL")
     out: list[tuple[bytes, int]] = []
     scale: dict[int, float] = {}
-    for y, n in sorted(known.groupBy("y").count().collect()):  # a row a label
-        part = min(1.0, 1.2 * most / n)
-        chosen = known.filter((F.col("y") == y) & (F.pmod(F.xxhash64("_k"), F.lit(1_000_000)) < int(part * 1_000_000))).limit(2 * most)
-        texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).filter(F.length("t") <= longest).join(F.broadcast(chosen), "_k")
-        got = [(r.t.encode(), int(y > 0)) for r in texts.select("t").limit(2 * most).collect()]
-        out += got
-        scale[int(y > 0)] = n / max(1, len(got))
+    for y, n in sorted((r.y, r["count"]) for r in known.groupBy((F.col("y") > 0).alias("y")).count().collect()):  # two rows
+        chosen = known.filter((F.col("y") > 0) == y).select("_k").orderBy(F.xxhash64("_k"), "_k").limit(most)
+        short = F.when(F.length("t") <= longest, F.col("t"))
+        texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).filter("t IS NOT NULL").join(F.broadcast(chosen), "_k")
+        got = texts.select(F.xxhash64("_k").alias("h"), short.alias("t")).orderBy("h", "t").limit(2 * most).collect()
+        out += [(r.t.encode(), int(y)) for r in got if r.t is not None]
+        scale[int(y)] = n / max(1, len(got))  # long texts are left out in proportion
     return sorted(out), scale
 
 
@@ -147,9 +173,9 @@ _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", p
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, score, sentences (start and end in bytes of the text, p) that hold evidence, for each row of docs.
+    """id, score, sentences (start and end in bytes of the text, p) that hold a sign, for each row of docs.
 
-    Texts that are null, empty or without evidence score 0 and have no sentences. Repeated rows stay repeated.
+    Texts that are null, empty or without a sign score 0 and have no sentences. Repeated rows stay repeated.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE * LONGEST
 
@@ -167,7 +193,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text", at: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, that score under `at`."""
+    """The rows of docs, with all their columns, that score under `at`.
+
+    Null and empty texts score 0 and stay. Rows are decided one by one, so repeated rows stay or go together, and keys
+    are not read. An empty table stays empty.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +210,20 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", at: float = 0.
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labelled documents that are not held out."""
+    """A model from the labelled documents that are not held out.
+
+    Of several labels of a key the largest counts; null labels, null keys and labels of keys that docs lacks do not.
+    Null texts are not learned from. Without documents of both labels nothing is learned.
+    """
     known = labels.filter((fold_of(F.col("doc_id"), 5) != 0) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     return fit(*sample(docs, known, "doc_id", "text", "toxic"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of all whole documents, the model trained on labelled ones that are not held out; with the offending sentences."""
+    """Scores of all whole documents, the model trained on labelled ones that are not held out; with the offending sentences.
+
+    A row for each row of documents, repeated ones too; null and empty texts score 0; a null doc_id has a null held_out.
+    """
     docs = documents(spark, sf_dir)
     scored = score(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     bad = F.filter("sentences", lambda s: s["p"] >= 0.5)
