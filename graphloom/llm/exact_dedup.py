@@ -21,6 +21,8 @@ from .common import ascii_lower, documents, rice_decode, rice_encode, stored
 
 #: A table of at most so many rows is broadcast (16 bytes a row, or 80); a larger one is shuffled.
 BROADCAST_KEYS, BROADCAST_ROWS = 1_000_000, 100_000
+#: Rows whose fingerprints one owner compares, about.
+OWNER_ROWS = 4_000_000
 
 _DOC = pa.struct([("id", pa.int64()), ("fp", pa.int64()), ("sha", pa.binary()), ("pos", pa.int64()), ("rank", pa.int32()), ("twice", pa.bool_())])
 _SENT = pa.schema([("pid", pa.int32()), ("owner", pa.int32()), ("codes", pa.binary()), ("docs", pa.list_(_DOC))])
@@ -74,6 +76,11 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def owners_for(rows: int, partitions: int, most: int = OWNER_ROWS) -> int:
+    """Owners of the fingerprints of so many rows: their tasks stay as large when the data grow."""
+    return max(partitions, -(-rows // most), 1)
+
+
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", normal=ascii_lower, owners: int | None = None) -> DataFrame:
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256, for texts equal after `normal`.
 
@@ -81,7 +88,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", norma
     both key and text, one stays. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    owners = owners or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    owners = owners or owners_for(docs.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     norm: Column = normal(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     texts = docs.select(F.col(f"`{key}`").cast("long").alias("id"), norm.alias("norm")).withColumn("fp", F.xxhash64("norm"))
     sent = stored(texts.select("id", "fp", F.unhex(F.sha2("norm", 256)).alias("sha")).mapInArrow(_send(owners), _SENT_SQL))
@@ -91,12 +98,9 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", norma
     rows = stored(flagged.select("pid", "d.pos", "d.id", "d.fp", "d.sha", (F.col("d.twice") | (bit == 1)).alias("suspect")))
 
     suspects = rows.filter("suspect")
-    keys = stored(suspects.select("fp").distinct())
-    few = sized(keys, BROADCAST_KEYS)
-    if few is not keys:
-        same = texts.join(few, "fp", "left_semi").groupBy("fp", "norm").agg(F.count("*").alias("n"))
-    else:  # combined on the map side first, so that a group of many copies is a few rows of the join
-        same = texts.groupBy("fp", "norm").agg(F.count("*").alias("n")).join(keys, "fp", "left_semi")
+    # suspects alone are grouped; copies are combined on the map side, so a group of many is a few rows of the shuffle
+    keys = sized(stored(suspects.select("fp").distinct()), BROADCAST_KEYS)
+    same = texts.join(keys, "fp", "left_semi").groupBy("fp", "norm").agg(F.count("*").alias("n"))
     verified = same.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "n")
     last = suspects.groupBy("fp", "sha").agg(F.max(F.struct("id", "pid", "pos")).alias("k"))
     classes = stored(verified.join(last, ["fp", "sha"]))
