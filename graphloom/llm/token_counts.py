@@ -20,6 +20,8 @@ from .common import documents, flat, pieces
 LIMIT = 2048
 #: Bytes of text handled at once, bytes in a batch for the library, and parts whose counts a worker keeps.
 PIECE_BYTES, BATCH_BYTES, KEPT_PARTS = 4 << 20, 256 << 10, 600_000
+#: Longer parts are counted each time they occur in a piece, not kept: a worker's table holds KEPT_PARTS * KEPT_BYTES at the utmost.
+KEPT_BYTES = 64
 
 _loaded: dict[str, tuple] = {}
 
@@ -70,6 +72,9 @@ def _counter(path: str):
                 counts.update(kept)
             _encode(tok, [p for p in distinct if p not in counts], counts)
             n = [sum(map(counts.__getitem__, t)) for t in texts]
+            for p in distinct:
+                if len(p) > KEPT_BYTES:
+                    del counts[p]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(off)), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     return run
