@@ -200,7 +200,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item."""
+    """The rows of docs, with all their columns, that hold no benchmark item.
+
+    Null, empty and short texts hold none and stay. Rows are decided one by one, so repeated rows stay or go together;
+    keys are not read. An empty table stays empty, and with an empty benchmark all rows stay.
+    """
     for index in indexes(benchmark):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -215,6 +219,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark items found in whole documents."""
+    """The benchmark items found in whole documents: a row for each pair of a row of documents and an item that it holds."""
     found = matches(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.withColumnRenamed("id", "doc_id")

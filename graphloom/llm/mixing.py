@@ -113,6 +113,7 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float
 
 
 def sizes(docs: DataFrame) -> DataFrame:
+    """(id, source, size) for each row of docs, size in words. A null or empty text has size 0; null ids and sources stay null."""
     return docs.select(F.col("doc_id").alias("id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 

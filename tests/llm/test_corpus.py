@@ -169,6 +169,31 @@ def test_near_duplicates_are_dropped_by_row(make):
     assert [r.doc_id for r in P.drop_near_duplicates(None, other, "").collect()] == [8]
 
 
+def test_stages_keep_columns_of_any_name(spark, make, tmp_path):
+    """Clashing extra columns, null and repeated keys, nulls in all columns, and empty tables, through all stages."""
+    import corpus_pipeline as P
+
+    d = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([(0, ITEM), (1, None)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    body = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    texts = [None, "", body("a"), body("a"), body("b"), body("c") + " z" * 3000, body("d")]
+    docs = make(texts, ids=[None, None, 3, 3, 4, None, 6], sources=["s", None, None, "s", "s", "s", None])
+    own = {c: F.lit(f"own {c}") for c in ("copies", "_i", "_crc", "_h", "_g", "_k", "_f", "_id", "_src", "_size", "text_crc32", "doc id")}
+    docs = docs.withColumns(own)
+    for at in (docs, docs.limit(0)):
+        for name, stage in P.STAGES:
+            got = stage(spark, at, d)
+            rows = got.collect()
+            if name != "sharding":
+                assert got.columns == docs.columns
+            assert all(r[c] == f"own {c}" for r in rows for c in own)
+            if at is docs and name in ("toxicity", "benchmark_decontamination", "sharding"):
+                assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in docs.collect())
+            if at is not docs:
+                assert not rows
+
+
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert set(ORACLES) == {"op2_substring_dedup", "op5_jaccard_join", "op10_exact_dedup"} and all(isinstance(s, str) for s in ORACLES.values())

@@ -33,6 +33,20 @@ def test_exact_ties_and_nulls(make):
     assert exact_dedup.exact_groups(make([])).count() == 0
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_exact_semi_join_is_below_the_aggregate(make, prose, monkeypatch, few):
+    """Only suspects' texts are grouped, whether their fingerprints are broadcast or not."""
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", few)
+    plan = exact_dedup.exact_groups(make(prose(40, 4)))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    monkeypatch.undo()
+    reads = [i for i, line in enumerate(plan) if "norm" in line and "Aggregate [fp" in line]
+    assert all(any("Join LeftSemi" in line for line in plan[i:]) for i in reads)
+
+
+def test_owners_grow_with_rows():
+    assert exact_dedup.owners_for(0, 8) == 8 and exact_dedup.owners_for(50_000_000_000, 200) == 12_500
+
+
 def test_exact_shuffle_path(make, prose, monkeypatch):
     texts = prose(60, 4)
     want = sorted(map(tuple, exact_dedup.exact_groups(make(texts)).collect()))

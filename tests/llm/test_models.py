@@ -43,6 +43,35 @@ def test_toxicity_finds_documents_and_sentences(make):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1] and "norm" in kept.columns
 
 
+def test_toxicity_weighs_contexts_both_ways():
+    """A sign that a context excuses scores below the sign alone."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(900):
+        sents = [" ".join(f"w{rng.randrange(300)}" for _ in range(8)) for _ in range(3)]
+        if i % 3 == 0:
+            sents[1] += " vile"
+        if i % 3 == 1:
+            sents[1] += " vile jest"
+        rows.append((". ".join(sents).encode(), int(i % 3 == 0)))
+    model = toxicity.fit(rows)
+    assert min(model.words[b"jest"], model.stems.get(b"jest", 0)) < 0 < model.words[b"vile"]
+    assert model.score(b"how vile it is")[0] > 0.9 > 0.1 > model.score(b"how vile jest it is")[0]
+    assert model.score(b"only a jest")[0] == 0 and model.score(b"")[0] == 0
+
+
+def test_samples_of_huge_tables_are_not_empty(spark):
+    """Sampling takes the least hashes, so no rate rounds to zero however many rows there are."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 100 == 0, F.lit("aa")).alias("lang"))
+    windows, langs = language_id.sample(docs, "doc_id", "text", "lang", most=20)
+    assert len(langs) == 20  # short texts: the windows of a row are equal
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    rows, scale = toxicity.sample(docs, labels, "doc_id", "text", "toxic", most=50)
+    assert Counter(y for _, y in rows) == {0: 50, 1: 50} and scale == {0: 54.0, 1: 6.0}
+    rows, scale = toxicity.sample(docs, labels, "doc_id", "text", "toxic", most=50, longest=8)
+    assert scale == {0: 54.0, 1: 6.0} and 0 < len(rows) < 100 and all(len(t) <= 8 for t, _ in rows)
+
+
 def test_toxicity_without_labels(spark, make):
     docs, none = make(["a", "b"]), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(docs, none)
@@ -80,8 +109,8 @@ def test_language_accuracy_and_edges(make):
     assert [r.lang for r in language_id.predict(make(["abc"]), language_id.fit([], [])).collect()] == ["und"]
 
 
-def test_language_tables_equal_the_network():
-    """Sums of table rows against a direct convolution of one window."""
+def test_language_batches_equal_single_texts():
+    """A text's logits do not depend on the texts around it."""
     rng = np.random.default_rng(1)
     m = language_id.fit([bytes(rng.integers(97, 110, 60).astype(np.uint8)) for _ in range(50)], ["x", "y"] * 25, steps=3)
     data = rng.integers(97, 115, 300).astype(np.uint8)
@@ -91,6 +120,22 @@ def test_language_tables_equal_the_network():
     assert np.allclose(both, np.concatenate(alone), atol=1e-5) and (both[0] == 0).all()
 
 
+def test_language_learns_scripts_alike(make):
+    """Three scripts, one of them rare and with more windows of another than any alphabet sample would hold."""
+    rng = random.Random(6)
+    letters = {"la": "abcdefghijklmnop", "cy": "абвгдежзиклмнопр", "gr": "αβγδεζηθικλμνξοπ"}
+    word = lambda v: "".join(rng.choice(letters[v]) for _ in range(rng.randrange(2, 9)))
+    text = lambda v: " ".join(word(v) for _ in range(rng.randrange(4, 30)))
+    rows = [(text(v), v) for v, n in (("la", 4500), ("cy", 1500), ("gr", 1500)) for _ in range(n)]
+    model = language_id.fit(*map(list, zip(*[(t.encode(), v) for t, v in sorted(rows)], strict=True)), steps=150)
+    for v in letters:
+        held = pa.array([text(v) for _ in range(100)])
+        from graphloom.llm.common import flat
+
+        best = model.logits(*flat(held)).argmax(axis=1)
+        assert np.mean([model.langs[i] == v for i in best]) > 0.97
+
+
 def test_lm_gradients():
     rng = np.random.default_rng(0)
     p = {k: v.astype(np.float64) for k, v in lm_scoring.fit([np.array([3, 4, 5, 0])] * 3, steps=1).items()}
@@ -170,6 +215,16 @@ def test_token_cache_is_bounded(monkeypatch):
     assert got == [len(tok.encode(t, add_special_tokens=False)) for t in batch.column("text").to_pylist()]
 
 
+def test_long_token_parts_are_not_kept():
+    batch = pa.RecordBatch.from_pydict({"id": [0, 1], "text": ["x" * 5000 + " ab", "x" * 5000 + " " + "y" * 70]})
+    path = token_counts.tokenizer_path()
+    counts = token_counts._tokenizer(path)[1]
+    got = [n for b in token_counts._counter(path)(iter([batch])) for n in b.column("n_tokens").to_pylist()]
+    tok = token_counts._tokenizer(path)[0]
+    assert got == [len(tok.encode(t, add_special_tokens=False)) for t in batch.column("text").to_pylist()]
+    assert b"ab" in counts and max(map(len, counts)) <= token_counts.KEPT_BYTES
+
+
 def test_language_alphabet_is_of_all_windows():
     texts = [f"a{i:05}".encode() for i in range(4100)] + ["ภาษาไทย".encode()] * 3
     m = language_id.fit(texts, ["x"] * 4100 + ["th"] * 3, steps=1)
