@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, jaccard_join, mixing, sharding, toxicity
-from graphloom.llm.common import WORD, stored
+from graphloom.llm.common import WORD, columns, stored
 from graphloom.llm.exact_dedup import sized
 
 SHARDS = 40
@@ -21,7 +21,11 @@ FEW = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under 0.5, trained on those of docs that have a label."""
+    """Documents that score under 0.5, trained on those of docs that have a label.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty table stays empty. Without labels of both
+    kinds all rows stay.
+    """
     return toxicity.keep_clean(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -30,41 +34,56 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are decided one by one, whatever keys repeat: of a group, the row of the smallest doc_id stays (null is last; then
     by a hash of the row). Rows of one text are a group, also under one doc_id; texts that link with nothing stay, as do
-    all rows without a word.
+    all rows without a word. An empty table stays empty. Columns of any name stay as they are, but for names that start
+    with __dup_.
     """
     text = F.xxhash64("text")
     found = jaccard_join.groups(docs.select(text.alias("doc_id"), "text")).filter("n_shingles > 0")
-    texts = stored(found.groupBy(F.col("id").alias("_h"), F.col("component_id").alias("_g")).agg(F.count("*").alias("n")))
-    several = stored(texts.groupBy("_g").agg(F.sum("n").alias("n")).filter("n > 1").select("_g"))
-    linked = stored(texts.select("_h", "_g").join(sized(several, FEW), "_g"))
-    row = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*docs.columns).alias("hash"))
-    marked = docs.withColumns({"_h": text, "_k": row}).join(sized(linked, FEW), "_h", "left")
-    keys = marked.filter("_g IS NOT NULL").groupBy("_g", "_k").agg(F.count("*").alias("n"))
-    first = stored(keys.groupBy("_g").agg(F.min(F.struct("_k", "n")).alias("_f")))
-    kept = marked.join(sized(first, FEW), "_g", "left").filter("_g IS NULL OR _k <=> _f._k")
-    if first.filter("_f.n > 1").limit(1).count():  # rows that are equal in all columns
-        twin = F.coalesce(F.col("_f.n") > 1, F.lit(False))
-        return kept.filter(~twin).select(docs.columns).unionAll(kept.filter(twin).select(docs.columns).distinct())
-    return kept.select(docs.columns)
+    texts = stored(found.groupBy(F.col("id").alias("__dup_h"), F.col("component_id").alias("__dup_g")).agg(F.count("*").alias("n")))
+    several = stored(texts.groupBy("__dup_g").agg(F.sum("n").alias("n")).filter("n > 1").select("__dup_g"))
+    linked = stored(texts.select("__dup_h", "__dup_g").join(sized(several, FEW), "__dup_g"))
+    row = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*columns(docs)).alias("hash"))
+    marked = docs.withColumns({"__dup_h": text, "__dup_k": row}).join(sized(linked, FEW), "__dup_h", "left")
+    keys = marked.filter("__dup_g IS NOT NULL").groupBy("__dup_g", "__dup_k").agg(F.count("*").alias("__dup_n"))
+    first = stored(keys.groupBy("__dup_g").agg(F.min(F.struct("__dup_k", "__dup_n")).alias("__dup_f")))
+    kept = marked.join(sized(first, FEW), "__dup_g", "left").filter("__dup_g IS NULL OR __dup_k <=> __dup_f.__dup_k")
+    if first.filter("__dup_f.__dup_n > 1").limit(1).count():  # rows that are equal in all columns
+        twin = F.coalesce(F.col("__dup_f.__dup_n") > 1, F.lit(False))
+        return kept.filter(~twin).select(columns(docs)).unionAll(kept.filter(twin).select(columns(docs)).distinct())
+    return kept.select(columns(docs))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null, empty and short texts stay; repeated rows stay or go together; with an empty benchmark all rows stay.
+    """
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks for; documents with no copy are left out."""
-    decided = mixing.copies(stored(mixing.sizes(docs))).select(F.col("id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), "copies").filter("copies > 0")
+    """Each document as often as its source's target weight asks for; documents with no copy are left out.
+
+    Null doc_ids and sources are values like any other; a null or empty text has size 0. Rows of one doc_id, source and
+    size share a decision. An empty table stays empty. Columns of any name stay as they are, but for names that start
+    with __mix_.
+    """
+    taken = mixing.copies(stored(mixing.sizes(docs))).filter("copies > 0")
+    decided = taken.select(F.col("id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), F.col("copies").alias("__mix_copies")).distinct()
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = docs["doc_id"].eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_src")) & (size == F.col("_size"))
-    return docs.join(sized(stored(decided), FEW), key).withColumn("_i", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    key = docs["doc_id"].eqNullSafe(F.col("__mix_id")) & docs["source"].eqNullSafe(F.col("__mix_source")) & (size == F.col("__mix_size"))
+    return docs.join(sized(stored(decided), FEW), key).withColumn("__mix_i", F.explode(F.sequence(F.lit(1), "__mix_copies"))).select(columns(docs))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows with their shard and a gapless slot in it."""
-    rows = sharding.assign(docs, "doc_id", [1.0] * SHARDS).withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    return sharding.number(rows, "shard", ["doc_id", "_crc"]).drop("_crc")
+    """All rows with their shard and a gapless slot in it.
+
+    Null doc_ids are one key; repeated rows are numbered in any order; an empty table stays empty. Columns named shard and
+    slot are replaced; all others stay, but for names that start with __slot_.
+    """
+    crc = "__slot_crc"
+    rows = sharding.assign(docs, "doc_id", [1.0] * SHARDS).withColumn(crc, F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    return sharding.number(rows, "shard", ["doc_id", crc]).drop(crc)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
