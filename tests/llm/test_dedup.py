@@ -4,7 +4,9 @@ import hashlib
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
+import zstandard
 
 from graphloom.llm import exact_dedup, jaccard_join, substring_dedup
 from graphloom.llm.links import components
@@ -72,7 +74,7 @@ def repeats(texts, ids, width=13):
 def test_repeats(make, prose, monkeypatch, most):
     monkeypatch.setattr(substring_dedup, "GROUP_LEAST", most)
     monkeypatch.setattr(substring_dedup, "GROUP_MOST", most)
-    texts = [*prose(80, 2), "a " * 60, "a " * 30, "A " * 30, "x y", None]
+    texts = [*prose(80, 2), "a " * 60, "a " * 30, "A " * 30, "x y", None, "", " ".join(f"long{i % 5000}" for i in range(30_000))]
     got = substring_dedup.remove_repeats(make(texts)).drop("kept").collect()
     assert sorted(map(tuple, got)) == sorted(repeats(texts, range(len(texts))))
 
@@ -85,6 +87,79 @@ def test_repeats_of_one_key(make):
     assert substring_dedup.remove_repeats(make([])).count() == 0
 
 
+def brute_maximal(texts, width):
+    """Every sequence of words that occurs twice and that no word before or after all its places makes longer."""
+    words = [tuple((t or "").encode().split()) for t in texts]
+    places = defaultdict(list)
+    for d, ws in enumerate(words):
+        for i in range(len(ws)):
+            for j in range(i + width, len(ws) + 1):
+                places[ws[i:j]].append((d, i, j))
+    out = []
+    for seq, at in places.items():
+        left = {words[d][i - 1] if i else (d, i) for d, i, _ in at}
+        right = {words[d][j] if j < len(words[d]) else (d, j) for d, _, j in at}
+        if len(at) > 1 and len(left) > 1 and len(right) > 1:
+            out.append((b" ".join(seq).decode(), len(seq), len(at), min(d for d, _, _ in at)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("most", [50_000, 30])
+def test_maximal_repeats(make, prose, monkeypatch, most):
+    monkeypatch.setattr(substring_dedup, "GROUP_LEAST", most)
+    monkeypatch.setattr(substring_dedup, "GROUP_MOST", most)
+    texts = [*prose(40, 3, words=25, vocabulary=30), "a b c d e f", "x a b c d e f", "x a b c d", None, "", "a a a a a a a"]
+    got = substring_dedup.maximal_repeats(make(texts), width=4).collect()
+    assert sorted((r.words, r.n_words, r.places, r.least_id) for r in got) == brute_maximal(texts, 4) and not any(r.cut for r in got)
+    assert substring_dedup.maximal_repeats(make([])).count() == 0
+
+
+def test_nodes_of_a_subtree():
+    import numpy as np
+
+    tails = [b"d e", b"d f", b"d e", b"", b"z"]
+    tree = substring_dedup.Subtree.of([b"a b c"] * 4 + [b"a b x"], tails, np.array([5, 3, 9, 4, 1]), 3)
+    assert sorted((d, sorted(tree.order[a:b])) for d, a, b in tree.nodes()) == [(3, [0, 1, 2, 3]), (4, [0, 1, 2]), (5, [0, 2])]
+    assert sorted(tree.repeated()) == [0, 2, 3]  # 4 has a path of its own
+
+
+def test_equal_hashes_of_different_words_are_no_repeat(make, monkeypatch):
+    """All windows share one hash, and all words a prefix: words alone tell them apart."""
+    import numpy as np
+
+    monkeypatch.setattr(substring_dedup, "window_hashes", lambda h, w: np.zeros(max(0, len(h) - w + 1), np.uint64))
+    texts = [" ".join(f"{k}{i}" for i in range(20)) for k in "abca"]
+    bucket = [(i, t.encode(), False) for i, t in enumerate(texts)]
+    table = pa.table({"out": pa.array([0], pa.int32()), "ids": [[0, 1, 2, 3]], "sizes": [[len(t) for t in texts]], "texts": [zstandard.compress("".join(texts).encode())]})
+    flags = pa.table({"owner": [0], "bits": [np.packbits([True]).tobytes()]})
+    first, split, groups = substring_dedup.plan_groups(np.zeros(substring_dedup.SLOTS, np.int64), 10)
+    sent = substring_dedup._send(13, 16, 16, 1, first, split, groups, False)(table, flags)
+    hits = substring_dedup._tree(13)(sent)
+    places = sorted(int(x) for h in hits.column("hits").to_pylist() for x in substring_dedup._unpack(h, np.uint32))
+    assert places == list(range(60, 68)) and len(bucket) == 4
+
+
+def test_sent_bytes_do_not_grow_with_groups():
+    """What a bucket sends for one text is as much for 1,250 groups as for 32, but for a fixed cost of a record."""
+    import numpy as np
+
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(5000)}" for _ in range(200_000))
+    table = pa.table({"out": pa.array([0], pa.int32()), "ids": [[7]], "sizes": [[len(text)]], "texts": [zstandard.compress(text.encode())]})
+    owners, bits = 4, 24
+    bucket = substring_dedup._Bucket.of([(7, text.encode(), False)], 13, True)
+    _, _, cuts = bucket.codes(bits, owners)
+    flags = pa.table({"owner": cuts[:, 2], "bits": [np.packbits(np.ones(b - a, bool)).tobytes() for a, b, _ in cuts]})
+    counts = np.bincount(bucket.slots, minlength=substring_dedup.SLOTS)
+    size = {}
+    for groups in (32, 1250):
+        first, split, n = substring_dedup.plan_groups(counts, -(-int(counts.sum()) // groups))
+        sent = substring_dedup._send(13, 16, bits, owners, first, split, n, False)(table, flags)
+        size[groups] = sum(len(x) for c in ("heads", "tails", "ids", "at") for x in sent.column(c).to_pylist())
+        assert groups <= n <= 2 * groups + 64
+    assert size[1250] < 1.35 * size[32]
+
+
 def test_groups_of_prefixes_cover_all():
     import numpy as np
 
