@@ -39,7 +39,7 @@ SLOTS = 1 << sum(DIGITS)
 #: Suffixes of a group, at most and at least about, before the filter; windows of an owner of the filter, about.
 GROUP_MOST, GROUP_LEAST, OWNER_WINDOWS = 4_000_000, 50_000, 4_000_000
 #: Bytes of text handled at once, and of a bucket. Bits of the filter's hashes beyond those that number all windows.
-BLOCK_BYTES, OUT_BYTES, FILTER_BITS = 8 << 20, 16 << 20, 5
+BLOCK_BYTES, OUT_BYTES, FILTER_BITS = 8 << 20, 6 << 20, 5
 _LAST = (1 << 63) - 1  # stands for a null key
 
 
@@ -184,6 +184,7 @@ class _Bucket:
     at: np.ndarray  # words that start a window
     paths: np.ndarray  # hash of each window
     slots: np.ndarray  # its prefix
+    lead: np.ndarray  # the first bits of the hashes of its first two words
 
     @staticmethod
     def of(rows: list[tuple[int, bytes, bool]], width: int, whole: bool) -> _Bucket:
@@ -193,8 +194,9 @@ class _Bucket:
         at = np.flatnonzero(window_starts(words, width))
         paths = window_hashes(hashes, width)[at] if len(at) else np.zeros(0, np.uint64)
         slots = _slots(hashes, at).astype(np.uint16) if whole else np.zeros(0, np.uint16)
+        lead = (hashes[at] >> np.uint64(32) << np.uint64(32)) | (hashes[at + 1] >> np.uint64(32)) if whole else np.zeros(0, np.uint64)
         body = b" ".join(b" ".join(t.split()) for _, t, _ in rows if t and not t.isspace()) if whole else b""
-        return _Bucket(np.array([k for k, _, _ in rows], np.int64), body, words, np.cumsum(length + 1) - length - 1, length, at, paths, slots)
+        return _Bucket(np.array([k for k, _, _ in rows], np.int64), body, words, np.cumsum(length + 1) - length - 1, length, at, paths, slots, lead)
 
     def codes(self, bits: int, owners: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct short hashes, which of them each window has, and where owners change."""
@@ -256,16 +258,16 @@ def _send(width: int, depth: int, bits: int, owners: int, first: np.ndarray, spl
             del code, where
             order = np.argsort(b.paths, kind="stable")
             new = np.append(True, b.paths[order][1:] != b.paths[order][:-1])
-            lead = np.empty(len(order), np.int64)  # the first place of a window in the bucket, which a smallest document holds
-            lead[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+            least = np.empty(len(order), np.int64)  # the first place of a window in the bucket, which a smallest document holds
+            least[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
             runs = np.diff(np.append(np.flatnonzero(new), len(new)))
             twice = np.empty(len(order), bool)
             twice[order] = np.repeat(runs > 1, runs)
             key = b.ids[np.searchsorted(b.words, b.at, "right") - 1]
-            later = np.flatnonzero(key > key[lead])
+            later = np.flatnonzero(key > key[least])
             begin, end = b.begin[b.at], b.begin[b.at + width - 1] + b.length[b.at + width - 1]
             body = b.body
-            same = np.fromiter((body[p:q] == body[x:y] for p, q, x, y in zip(begin[later].tolist(), end[later].tolist(), begin[lead[later]].tolist(), end[lead[later]].tolist(), strict=True)), bool, len(later))
+            same = np.fromiter((body[p:q] == body[x:y] for p, q, x, y in zip(begin[later].tolist(), end[later].tolist(), begin[least[later]].tolist(), end[least[later]].tolist(), strict=True)), bool, len(later))
             known = np.zeros(len(key), bool)
             known[later[same]] = True
             if known.any() and not every:
@@ -274,16 +276,15 @@ def _send(width: int, depth: int, bits: int, owners: int, first: np.ndarray, spl
             at = b.at[sent]
             grp = first[b.slots[sent]] + (b.paths[sent] % split[b.slots[sent]].astype(np.uint64)).astype(np.int64)
             last = np.minimum(at + depth, b.words[np.searchsorted(b.words, at, "right")])  # of the suffix' words
+            order = np.lexsort((b.lead[sent], grp))  # suffixes that begin alike lie together, for the compression
+            sent, at, grp, last = sent[order], at[order], grp[order], last[order]
             heads = [body[p:q] for p, q in zip(begin[sent].tolist(), end[sent].tolist(), strict=True)]
-            stop = np.minimum(b.begin[last - 1] + b.length[last - 1], len(body))
-            order = sorted(range(len(heads)), key=lambda i, g=grp.tolist(): (g[i], heads[i]))
-            cut = np.append(np.flatnonzero(np.append(True, np.diff(grp[order]) > 0)), len(order)) if order else [0]
-            begins, stops = (end[sent] + 1).tolist(), stop.tolist()
+            tails = [body[p:q] for p, q in zip((end[sent] + 1).tolist(), (b.begin[last - 1] + b.length[last - 1]).tolist(), strict=True)]
+            cut = np.append(np.flatnonzero(np.append(True, np.diff(grp) > 0)), len(grp)) if len(grp) else np.zeros(1, np.int64)
             inside = at > b.words[np.searchsorted(b.words, at, "right") - 1]
-            for p, q in zip(cut[:-1], cut[1:], strict=True):
-                some = order[p:q]
-                came = [body[b.begin[at[i] - 1] : b.begin[at[i]] - 1] if inside[i] else b"" for i in some] if every else None
-                add(int(grp[some[0]]), out, None, _lines([heads[i] for i in some]), _lines([body[begins[i] : stops[i]] for i in some]), _lines(came) if every else None, _pack(key[sent[some]]), _pack(at[some].astype(np.uint32)))
+            for p, q in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                came = _lines([body[b.begin[at[i] - 1] : b.begin[at[i]] - 1] if inside[i] else b"" for i in range(p, q)]) if every else None
+                add(int(grp[p]), out, None, _lines(heads[p:q]), _lines(tails[p:q]), came, _pack(key[sent[p:q]]), _pack(at[p:q].astype(np.uint32)))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _SENT, strict=True)], schema=_SENT)
 
     return run
