@@ -32,12 +32,12 @@ from .common import blocks, documents, flat, mix, rice_decode, rice_encode, wind
 
 WINDOW = 13
 #: Words of a suffix that its group gets. Nodes below are not told apart.
-DEPTH = 16
+DEPTH = 14
 #: Bits of the hashes of the first, second and third word of a suffix, as the prefixes that are counted.
 DIGITS = (6, 3, 3)
 SLOTS = 1 << sum(DIGITS)
 #: Suffixes of a group, at most and at least about, before the filter; windows of an owner of the filter, about.
-GROUP_MOST, GROUP_LEAST, OWNER_WINDOWS = 4_000_000, 50_000, 4_000_000
+GROUP_MOST, GROUP_LEAST, OWNER_WINDOWS = 2_000_000, 50_000, 4_000_000
 #: Bytes of text handled at once, and of a bucket. Bits of the filter's hashes beyond those that number all windows.
 BLOCK_BYTES, OUT_BYTES, FILTER_BITS = 8 << 20, 6 << 20, 5
 _LAST = (1 << 63) - 1  # stands for a null key
@@ -122,7 +122,7 @@ def _unpack(b: bytes, kind) -> np.ndarray:
 
 def _lines(parts: list[bytes]) -> bytes:
     """Word sequences end to end; no word holds a line end."""
-    return zstandard.ZstdCompressor(level=3).compress(b"\n".join(parts))
+    return zstandard.ZstdCompressor(level=5).compress(b"\n".join(parts))
 
 
 def _unline(b: bytes) -> list[bytes]:
@@ -137,7 +137,7 @@ _TEXTS = pa.schema([("out", pa.int32()), ("ids", pa.list_(pa.int64())), ("sizes"
 def _deal(outs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per block: the texts for each bucket, end to end and compressed. Rows equal in key and text go to different ones."""
-        squeeze = zstandard.ZstdCompressor(level=1).compress
+        squeeze = zstandard.ZstdCompressor(level=3).compress
         for block in blocks(batches, "text", BLOCK_BYTES):
             ids = block.column("id")
             mark = ids.fill_null(_LAST).to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + block.column("mark").to_numpy().astype(np.uint64)
