@@ -136,13 +136,17 @@ def test_language_learns_scripts_alike(make):
         assert np.mean([model.langs[i] == v for i in best]) > 0.97
 
 
+def lm_windows(rng, rows, high):
+    return rng.integers(2, high, (rows, lm_scoring.CONTEXT + 1)).astype(np.int16)
+
+
 def test_lm_gradients():
     rng = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in lm_scoring.fit([np.array([3, 4, 5, 0])] * 3, steps=1).items()}
+    p = {k: v.astype(np.float64) for k, v in lm_scoring.learn(lm_scoring.start(np.ones(lm_scoring.SUBWORDS)), lm_windows(rng, 4, 9), 0.01).items()}
     x, y = rng.integers(0, lm_scoring.SUBWORDS, (2, lm_scoring.CONTEXT)), rng.integers(-1, lm_scoring.SUBWORDS, (2, lm_scoring.CONTEXT))
     _, d = lm_scoring.gradients(p, x, y)
     for k in p:
-        at = tuple(rng.integers(0, s) for s in p[k].shape) if k != "E" else (int(x[0, 0]), 1)
+        at = {"E": (int(x[0, 0]), 1), "M": (int(y.max()) // lm_scoring.MEMBERS, 2, int(y.max()) % lm_scoring.MEMBERS), "m": (int(y.max()) // lm_scoring.MEMBERS, 3)}.get(k) or tuple(rng.integers(0, s) for s in p[k].shape)
         keep, eps = p[k][at], 1e-5
         p[k][at] = keep + eps
         hi, _ = lm_scoring.gradients(p, x, y)
@@ -152,12 +156,12 @@ def test_lm_gradients():
         assert d[k][at] == pytest.approx((hi - lo) / (2 * eps), abs=2e-5), k
 
 
-def test_lm_scores_each_token_once():
+def test_lm_scores_each_subword_once():
     rng = np.random.default_rng(0)
-    p = lm_scoring.fit([rng.integers(0, 9, 50) for _ in range(5)], steps=5)
+    p = lm_scoring.learn(lm_scoring.start(np.ones(lm_scoring.SUBWORDS)), lm_windows(rng, 40, 9), 0.01)
     lengths = [1, 2, 24, 25, 80, 3]
     off = np.concatenate([[0], np.cumsum(lengths)])
-    ids = rng.integers(0, 9, off[-1]).astype(np.uint8)
+    ids = rng.integers(0, 9, off[-1]).astype(np.int16)
     got = lm_scoring.log_probs(p, ids, off)
     step = lm_scoring.CONTEXT - lm_scoring.OVERLAP
     for d, n in enumerate(lengths):
@@ -165,12 +169,52 @@ def test_lm_scores_each_token_once():
         for t in range(n):
             since = (t // step) * step - lm_scoring.OVERLAP
             x = [doc[i - 1] if 1 <= i <= n else lm_scoring.BEGIN for i in range(since, since + lm_scoring.CONTEXT)]
-            x = [v if i - 1 < n else lm_scoring.BEGIN for i, v in zip(range(since, since + lm_scoring.CONTEXT), x, strict=True)]
-            z = lm_scoring.forward(p, np.array([x]))["z"][0, t - since]
+            z = lm_scoring.distribution(p, lm_scoring.forward(p, np.array([x])))[0, t - since]
             assert got[off[d] + t] == pytest.approx(z[doc[t]], abs=1e-4)
             assert np.exp(z).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_stream_and_windows_by_loop():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 5, 30)
+    pieces = rng.integers(0, 1000, sizes.sum()).astype(np.uint16)
+    per_word = np.split(pieces, np.cumsum(sizes)[:-1])
+    lengths = np.array([0, 3, 0, 50, 1, 0])
+    tokens = rng.integers(0, 30, lengths.sum())
+    stream, off = lm_scoring._stream(tokens, lengths, pieces, sizes)
+    at = 0
+    for i, n in enumerate(lengths):
+        want = [int(x) for t in tokens[at : at + n] for x in per_word[t]] + [lm_scoring.RAW_END]
+        assert stream[off[i] : off[i + 1]].tolist() == want
+        at += n
+    keep = np.array([True, True, False, True, True, True])
+    windows = lm_scoring._windows(stream, off, keep)
+    assert len(windows) == 5  # one of each learning text, the empty ones too
+    assert all(w[-1] != lm_scoring.RAW_BEGIN for w in windows)
+
+
+def test_lm_is_a_distribution_and_learns_from_all_rows(spark, monkeypatch):
+    """Shares of raw ids add up to one within their output; training helps held-out rows; each learning row gives windows."""
+    rng = random.Random(3)
+    syl = ["ta", "ri", "mo", "ne", "ka", "su"]
+    texts = [" ".join("".join(rng.choice(syl) for _ in range(rng.randrange(2, 5))) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = lm_scoring.score(df, F.col("doc_id") % 7 == 2).collect()
+    held = [r for r in rows if r.held_out]
+    monkeypatch.setattr(lm_scoring, "ROUNDS", 0)
+    plain = {r.id: r.score for r in lm_scoring.score(df, F.col("doc_id") % 7 == 2).collect()}
+    monkeypatch.undo()
+    assert sum(r.score for r in held) > 0.85 * sum(plain[r.id] for r in held) and all(r.score < 0 for r in rows)
+    read = df.select(F.col("doc_id").alias("id"), "text", F.lit(False).alias("held")).mapInArrow(lm_scoring._read(token_counts.tokenizer_path(), 2), lm_scoring._BLOCK_SQL)
+    m = lm_scoring.train(read)
+    share = np.bincount(m.outputs[: lm_scoring.RAW_END], np.where(m.outputs[: lm_scoring.RAW_END] == lm_scoring.OTHER, 10 ** m.inside[: lm_scoring.RAW_END], 0), lm_scoring.SUBWORDS)
+    valid = [*range(lm_scoring.IDS), lm_scoring.RAW_NONE]
+    assert sum(10 ** m.inside[i] for i in valid if m.outputs[i] == lm_scoring.OTHER) == pytest.approx(1) and share[lm_scoring.OTHER] >= 1
+    assert all(m.inside[i] == 0 for i in valid if m.outputs[i] != lm_scoring.OTHER) and len({int(m.outputs[i]) for i in valid if m.outputs[i] > 1}) == (m.outputs[valid] > 1).sum()
+    windows = sum(len(lm_scoring._spread(r.windows, np.uint16)) // (lm_scoring.CONTEXT + 1) for r in read.collect())
+    assert windows == sum(1 + 1 // lm_scoring.EVERY for _ in texts)
+
+
 def test_lm_counts_by_loop(make, prose):
     texts = [*prose(70, 5), "Neu neu NEU", None]
     df = make(texts)
