@@ -205,10 +205,11 @@ def test_lm_is_a_distribution_and_learns_from_all_rows(spark, monkeypatch):
     plain = {r.id: r.score for r in lm_scoring.score(df, F.col("doc_id") % 7 == 2).collect()}
     monkeypatch.undo()
     assert sum(r.score for r in held) > 0.85 * sum(plain[r.id] for r in held) and all(r.score < 0 for r in rows)
-    read = df.select(F.col("doc_id").alias("id"), "text", F.lit(False).alias("held")).mapInArrow(lm_scoring._read(token_counts.tokenizer_path(), 2), lm_scoring._BLOCK_SQL)
+    assert {b"".join(lm_scoring.subwords([w], lm_scoring.vocabulary_path())) for w in (b"", b"a" * 511, b"\xff")} and all(np.frombuffer(b, np.uint16).max() < lm_scoring.IDS for b in lm_scoring.subwords([b"the", b"z" * 3000, "naïve🙂".encode()], lm_scoring.vocabulary_path()))
+    read = df.select(F.col("doc_id").alias("id"), "text", F.lit(False).alias("held")).mapInArrow(lm_scoring._read(lm_scoring.vocabulary_path(), 2), lm_scoring._BLOCK_SQL)
     m = lm_scoring.train(read)
     share = np.bincount(m.outputs[: lm_scoring.RAW_END], np.where(m.outputs[: lm_scoring.RAW_END] == lm_scoring.OTHER, 10 ** m.inside[: lm_scoring.RAW_END], 0), lm_scoring.SUBWORDS)
-    valid = [*range(lm_scoring.IDS), lm_scoring.RAW_NONE]
+    valid = range(lm_scoring.IDS)
     assert sum(10 ** m.inside[i] for i in valid if m.outputs[i] == lm_scoring.OTHER) == pytest.approx(1) and share[lm_scoring.OTHER] >= 1
     assert all(m.inside[i] == 0 for i in valid if m.outputs[i] != lm_scoring.OTHER) and len({int(m.outputs[i]) for i in valid if m.outputs[i] > 1}) == (m.outputs[valid] > 1).sum()
     windows = sum(len(lm_scoring._spread(r.windows, np.uint16)) // (lm_scoring.CONTEXT + 1) for r in read.collect())
