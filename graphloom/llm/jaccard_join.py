@@ -25,8 +25,10 @@ from .exact_dedup import sized
 from .links import components
 
 SHINGLE, PERCENT = 5, 80
-#: Hashes of a set in one range, about and at least; hashes in one range's task; texts of a cluster in one block.
-RANGE_HASHES, LEAST_HASHES, TASK_HASHES, CLUSTER_BLOCK = 32, 6, 4_000_000, 1000
+#: Hashes of a set in one range, about and at least; hashes in one range's task.
+RANGE_HASHES, LEAST_HASHES, TASK_HASHES = 32, 6, 4_000_000
+#: Texts of a cluster in one block, and their shingles; shingles of the blocks that are dealt to one group.
+CLUSTER_BLOCK, BLOCK_HASHES, GROUP_HASHES = 500, 1_000_000, 1_000_000
 BLOCK_BYTES, BROADCAST_ROWS = 8 << 20, 500_000
 _LAST = (1 << 63) - 1  # stands for a null key
 
@@ -158,21 +160,33 @@ def _band(n: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.floor(np.log2(np.maximum(n, 1) / RANGE_HASHES))).astype(np.int64)
 
 
-def plan_ranges(counts: dict[int, int], partitions: int) -> dict[int, int]:
-    """How many ranges a band has: RANGE_HASHES of a set in each, or fewer where its sets are too many for a task."""
+def plan_ranges(counts: dict[int, int], partitions: int) -> dict[int, tuple[int, int]]:
+    """How many ranges a band has, and splits of a range.
+
+    A range takes RANGE_HASHES of a set, or fewer where its sets are too many for a task. A range that is too large with
+    the fewest is split: a part goes to the splits of its first hashes, of which any partner has one among its own.
+    """
     out = {}
     for band, n in counts.items():
         size = RANGE_HASHES << band
-        out[band] = int(max(1 << band, min(-(-n * size * 3 // 2 // TASK_HASHES), size // LEAST_HASHES)))
+        ranges = int(max(1 << band, min(-(-n * size * 3 // 2 // TASK_HASHES), size // LEAST_HASHES)))
+        load = n * size * 3 // 2 // ranges
+        out[band] = (ranges, 1 if load <= 2 * TASK_HASHES else -(-2 * load // TASK_HASHES))
     return out
 
 
-def _spread(ranges: dict[int, int], percent: int, width: int):
-    """ranges: of each band."""
-    first = {b: sum(n for c, n in ranges.items() if c < b) for b in ranges}
+def first_hashes(sizes: np.ndarray, percent: int, slack: int = 1) -> np.ndarray:
+    """How many of a part's least hashes are sure to hold one that any partner has among its own least ones."""
+    need = -(-(percent * (sizes + slack)) // 100) - slack
+    return np.clip(sizes - need + 1, 1, sizes)
+
+
+def _spread(ranges: dict[int, tuple[int, int]], percent: int, width: int):
+    """ranges: of each band, how many and in how many splits."""
+    first = {b: sum(n * k for c, (n, k) in ranges.items() if c < b) for b in ranges}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per block: the parts of its distinct sets, by band and range. Hashes are cut to 32 bits here."""
+        """Per block: the parts of its distinct sets, by band, range and split. Hashes are cut to 32 bits here."""
         for block in blocks(batches, "text", BLOCK_BYTES):
             h, off = shingles(block.column("text"), width)
             cid, _ = _signature(h, off)
@@ -181,21 +195,33 @@ def _spread(ranges: dict[int, int], percent: int, width: int):
             one = one[size[one] > 0]
             low, high = _band(size[one] * percent // 100), _band(size[one])
             rows = {k: [] for k in ("grp", "cids", "sizes", "hashes")}
+
+            def add(grp: int, sets: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, rows=rows, cid=cid) -> None:
+                for name, value in zip(rows, (grp, cid[sets].tobytes(), sizes.astype(np.uint32).tobytes(), hashes.tobytes()), strict=True):
+                    rows[name].append(value)
+
             for band, sets in [(b, one[(low == b) | (high == b)]) for b in sorted(set(low) | set(high))]:
                 if band not in ranges or not len(sets):
                     continue
+                many, splits = ranges[band]
                 at = np.concatenate([np.arange(off[i], off[i + 1]) for i in sets])
                 owner = np.repeat(np.arange(len(sets)), size[sets])
-                part = ((h[at] >> np.uint64(32)) * np.uint64(ranges[band])) >> np.uint64(32)
+                part = ((h[at] >> np.uint64(32)) * np.uint64(many)) >> np.uint64(32)
                 order = np.argsort(part, kind="stable")  # sets stay in order within a range
                 cut = np.append(np.flatnonzero(np.append(True, np.diff(part[order].astype(np.int64)) > 0)), len(part))
                 for a, b in zip(cut[:-1], cut[1:], strict=True):
                     some = order[a:b]
                     used, times = np.unique(owner[some], return_counts=True)
-                    rows["grp"].append(first[band] + int(part[some[0]]))
-                    rows["cids"].append(cid[sets[used]].tobytes())
-                    rows["sizes"].append(times.astype(np.uint32).tobytes())
-                    rows["hashes"].append(h[at[some]].astype(np.uint32).tobytes())
+                    grp, hashes = first[band] + int(part[some[0]]) * splits, h[at[some]].astype(np.uint32)
+                    if splits == 1:
+                        add(grp, sets[used], times, hashes)
+                        continue
+                    begin, take = np.cumsum(times) - times, first_hashes(times, percent)
+                    lead = np.repeat(begin - (np.cumsum(take) - take), take) + np.arange(int(take.sum()))
+                    goes = np.unique(np.stack([(hashes[lead] % np.uint32(splits)).astype(np.int64), np.repeat(np.arange(len(used)), take)], 1), axis=0)
+                    for split in np.unique(goes[:, 0]):
+                        those = goes[goes[:, 0] == split, 1]
+                        add(grp + int(split), sets[used[those]], times[those], hashes[np.concatenate([np.arange(begin[i], begin[i] + times[i]) for i in those])])
             yield pa.RecordBatch.from_arrays([pa.array(rows["grp"], pa.int32()), *(pa.array(rows[k], pa.binary()) for k in ("cids", "sizes", "hashes"))], names=list(rows))
 
     return run
@@ -275,11 +301,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     loose = components(rows.mapInArrow(_spread(plan_ranges(counts, partitions), percent, width), "grp int, cids binary, sizes binary, hashes binary").groupBy("grp").applyInArrow(_candidates(percent), "a long, b long"))
 
     # loose clusters, as nodes with the texts' keys; the hub of a cluster is its smallest key
-    clustered = loose.unionAll(loose.select(F.col("root").alias("node"), "root")).distinct().join(classes.select(F.col("cid").alias("node"), "rep"), "node")
-    sums = clustered.groupBy("root").agg(F.count("*").alias("size"), F.min("rep").alias("hub"))
-    need = stored(clustered.join(sums, "root").select(F.col("rep").alias("id"), F.col("root").alias("comp"), F.ceil(F.col("size") / CLUSTER_BLOCK).cast("long").alias("blocks"), "hub").dropDuplicates(["id", "comp"]))
+    clustered = loose.unionAll(loose.select(F.col("root").alias("node"), "root")).distinct().join(classes.select(F.col("cid").alias("node"), "rep", "n"), "node")
+    sums = clustered.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min("rep").alias("hub"))
+    in_blocks = F.greatest(F.ceil(F.col("size") / CLUSTER_BLOCK), F.ceil(F.col("total") / BLOCK_HASHES)).cast("long")
+    need = stored(clustered.join(sums, "root").groupBy(F.col("rep").alias("id"), F.col("root").alias("comp"), in_blocks.alias("blocks"), "hub").agg(F.sum("n").alias("n")))
+    load = need.agg(F.sum("n")).first()[0] or 0
+    need = need.drop("n")
     texts = rows.join(sized(need, BROADCAST_ROWS), "id").select("id", "comp", "blocks", "hub", "text")
-    n_groups = 4 * partitions
+    n_groups = max(4 * partitions, -(-load // GROUP_HASHES))
     home = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")))
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     grp = F.pmod(F.xxhash64("comp", "block"), F.lit(n_groups)).alias("grp")

@@ -202,14 +202,37 @@ def near(n, seed, length, edits):
         yield " ".join(ws)
 
 
-@pytest.mark.parametrize("block", [1000, 7])
-def test_links(make, prose, monkeypatch, block):
+@pytest.mark.parametrize(("block", "task", "group"), [(1000, 4_000_000, 1_000_000), (7, 4_000_000, 50), (500, 60, 1_000_000), (500, 400, 1_000_000)])
+def test_links(make, prose, monkeypatch, block, task, group):
+    """In one block and in many, with whole ranges and with split ones."""
     monkeypatch.setattr(jaccard_join, "CLUSTER_BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "TASK_HASHES", task)
+    monkeypatch.setattr(jaccard_join, "GROUP_HASHES", group)
     texts = [*prose(60, 7), *near(40, 1, 60, 3), *near(30, 2, 300, 12), *near(10, 3, 64, 1), "A b", "a B", "a b c", None, "\n"]
     got = jaccard_join.groups(make(texts))
     assert sorted(map(tuple, got.collect())) == brute_components(texts)
 
 
+def test_ranges_of_huge_tables_fit_in_tasks():
+    for n in (10**3, 10**7, 10**11):
+        for band, (ranges, splits) in jaccard_join.plan_ranges({0: n, 3: n}, 8).items():
+            size = jaccard_join.RANGE_HASHES << band
+            assert n * size * 3 // 2 // (ranges * splits) <= 2 * jaccard_join.TASK_HASHES and size // ranges >= jaccard_join.LEAST_HASHES
+
+
+def test_first_hashes_meet_in_a_split():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 500, 40))
+        y = np.unique(np.append(rng.permutation(x)[: rng.integers(1, len(x) + 1)], rng.integers(0, 500, rng.integers(0, 6))))
+        shared = len(np.intersect1d(x, y))
+        if 100 * (shared + 1) >= 80 * (len(np.union1d(x, y)) + 1):
+            a, b = jaccard_join.first_hashes(np.array([len(x), len(y)]), 80)
+            assert len(np.intersect1d(x[:a], y[:b]))
+
+
 def test_links_of_repeated_and_null_keys(make):
     a, b, c = (" ".join(f"{k}{i}" for i in range(20)) for k in "abc")
     got = sorted(map(str, jaccard_join.groups(make([a, b, b, c, c, a], ids=[1, 1, 2, 7, None, 9])).collect()))
