@@ -94,7 +94,7 @@ def g10(spark: SS, sf: str) -> DataFrame:
     return G.reach(part_steps(spark, sf), sources, 5).join(sinks, "node").select("root", "node", F.col("depth").alias("hops"))
 
 
-@query("G11_data_flow", f"""WITH RECURSIVE {_STEPS2}, r(root, node, depth) AS (SELECT DISTINCT dst, src, 1 FROM steps WHERE dst < 100 UNION SELECT root, src, depth + 1 FROM r JOIN steps ON dst = node WHERE depth < 3) SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2""")
+@query("G11_data_flow", f"""WITH RECURSIVE {_STEPS2}, r(root, node, depth) AS (SELECT DISTINCT dst, src, 1 FROM steps UNION SELECT root, src, depth + 1 FROM r JOIN steps ON dst = node WHERE depth < 3) SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1, 2""")
 def g11(spark: SS, sf: str) -> DataFrame:
     back = part_steps(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return G.reach(back, back.select(F.col("src").alias("node")), 3).select("root", "node", "depth")
