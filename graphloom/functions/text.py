@@ -82,6 +82,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.5)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def merged(a: Column, b: Column) -> Column:
+    """The elements of both, each once, those of the first first."""
+    return F.array_union(a, b)
+
+
+def subset(a: Column, b: Column) -> Column:
+    """Whether all elements of a are in b."""
+    return F.size(F.array_except(a, b)) == 0
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

@@ -80,3 +80,16 @@ def attention(events: DataFrame, item: str, at: str, as_of: Column, edited: Colu
     age = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.max(at).cast("timestamp"))) / 60e6
     g = events.groupBy(item).agg(F.max(edited.cast("int")).alias("edited"), F.sum(dwell_s).alias("dwell_s"), F.count("*").alias("opens"), age.alias("age_min"))
     return g.withColumn("score", 30 * F.col("edited") + 0.5 * F.col("dwell_s") + 5 * F.col("opens") + 20 / (1 + F.col("age_min")))
+
+
+def attention(events: DataFrame, window: int = 300, most: int = 300, long: int = 10) -> DataFrame:
+    """(user, path, opens, dwell, category) in the `window` seconds before each user's last event (user, path, ts, edited).
+
+    A visit lasts until the user's next one, or the last event, at most `most` seconds. An edited path is editing, one of over
+    `long` seconds reference, others glanced.
+    """
+    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    e = events.withColumn("_t", at("ts")).withColumn("_now", F.max("_t").over(Window.partitionBy("user"))).filter(F.col("_t") >= F.col("_now") - window * 1_000_000)
+    e = e.withColumn("_d", F.least(F.coalesce(F.lead("_t").over(Window.partitionBy("user").orderBy("ts")), F.col("_now")) - F.col("_t"), F.lit(most * 1_000_000)) / 1e6)
+    category = F.when(F.max(F.col("edited").cast("int")) == 1, "editing").when(F.sum("_d") > long, "reference").otherwise("glanced")
+    return e.groupBy("user", "path").agg(F.count("*").alias("opens"), F.sum("_d").alias("dwell"), category.alias("category"))

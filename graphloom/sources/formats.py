@@ -68,6 +68,13 @@ def span_counts(spark: SparkSession, path: str) -> DataFrame:
     return d.groupBy(F.col("p.name").alias("name")).agg(F.count("*").alias("n"))
 
 
+def spans_in(exports: DataFrame) -> DataFrame:
+    """(name, n) of spans in trace exports in JSON, one a row (value)."""
+    schema = "resourceSpans array<struct<scopeSpans: array<struct<spans: array<struct<name: string>>>>>>"
+    d = exports.select(F.explode(F.from_json("value", schema)["resourceSpans"]).alias("r")).select(F.explode("r.scopeSpans").alias("s")).select(F.explode("s.spans").alias("p"))
+    return d.groupBy(F.col("p.name").alias("name")).agg(F.count("*").alias("n"))
+
+
 def coverage(lines: DataFrame) -> DataFrame:
     """(file, covered, total, coverage) from cover profile lines (value): file:from,to statements hits."""
     m = lambda i: F.regexp_extract("value", r"^(.+):(\S+) (\d+) (\d+)$", i)
@@ -167,4 +174,4 @@ def crash_lines(lines: DataFrame, patterns: dict[str, str], most: int = 10) -> D
     for k, p in patterns.items():
         label = F.when(F.col("value").rlike(p), k) if label is None else label.when(F.col("value").rlike(p), k)
     hit = lines.filter(F.length("value") >= 5).select("pos", F.substring("value", 1, 200).alias("line"), label.alias("label")).filter("label IS NOT NULL")
-    return hit.groupBy("label", "line").agg(F.min("pos").alias("pos")).orderBy("pos").limit(most)
+    return hit.groupBy("label", "line").agg(F.min("pos").alias("pos")).orderBy("pos", "line").limit(most)
