@@ -22,7 +22,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, c
     listed and not expanded.
     """
     step = edges.select(F.col("dst").alias("a"), F.col("src").alias("b")) if reverse else edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    step = step.distinct()
+    step = written(step.distinct())
     seen = written(seeds.select("node").distinct().select("node", F.lit(0).alias("depth"), F.array("node").alias("path")))
     front = seen
     for d in range(1, depth + 1):
@@ -40,7 +40,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False, c
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
     """(root, node, depth): what each root reaches in 1 to `depth` steps, at the least depth. A root may reach itself."""
-    step = edges.select("src", "dst").distinct()
+    step = written(edges.select("src", "dst").distinct())
     front = written(roots.select(F.col("node").alias("root")).distinct().join(step, F.col("root") == F.col("src")).select("root", F.col("dst").alias("node"), F.lit(1).alias("depth")))
     seen = front
     for d in range(2, depth + 1):
@@ -54,6 +54,7 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that is connected, by alternating large and small stars."""
+    edges = written(edges.select("src", "dst").distinct())
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     e = written(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).filter("a <> b").distinct())
     seen = None
@@ -115,7 +116,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 def spread_effects(edges: DataFrame, seeds: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, effect): each caller (src) takes on the effects of what it calls (dst), until nothing is added."""
-    step = edges.select("src", "dst").distinct()
+    step = written(edges.select("src", "dst").distinct())
     have = front = written(seeds.select("node", "effect").distinct())
     for _ in range(rounds):
         new = front.join(step, front.node == step.dst).select(F.col("src").alias("node"), "effect").distinct().join(have, ["node", "effect"], "left_anti")

@@ -63,8 +63,15 @@ def dedupe_within(events: DataFrame, keys: Sequence[str], at: str, seconds: int)
 
 
 def completion(runs: DataFrame, touches: DataFrame, seconds: int = 120) -> DataFrame:
-    """runs (run, user, ended) with completed: no touch (user, at) within `seconds` after the end."""
-    near = runs.join(touches, "user").filter((F.col("at") > F.col("ended")) & (F.unix_micros(F.col("at").cast("timestamp")) <= F.unix_micros(F.col("ended").cast("timestamp")) + seconds * 1_000_000)).select("run").distinct().withColumn("_t", F.lit(True))
+    """runs (run, user, ended) with completed: no touch (user, at) within `seconds` after the end.
+
+    Runs and touches meet by user and span of `seconds`, so a user of any length of history is not one key.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    span = seconds * 1_000_000
+    r = runs.select("run", "user", micros("ended").alias("_e")).withColumn("_b", F.explode(F.array(F.floor(F.col("_e") / span), F.floor(F.col("_e") / span) + 1)))
+    t = touches.select("user", micros("at").alias("_a")).withColumn("_b", F.floor(F.col("_a") / span)).distinct()
+    near = r.join(t, ["user", "_b"]).filter((F.col("_a") > F.col("_e")) & (F.col("_a") <= F.col("_e") + span)).select("run").distinct().withColumn("_t", F.lit(True))
     return runs.join(near, "run", "left").select("run", "user", "ended", F.col("_t").isNull().alias("completed"))
 
 
@@ -82,7 +89,7 @@ def attention(events: DataFrame, item: str, at: str, as_of: Column, edited: Colu
     return g.withColumn("score", 30 * F.col("edited") + 0.5 * F.col("dwell_s") + 5 * F.col("opens") + 20 / (1 + F.col("age_min")))
 
 
-def attention(events: DataFrame, window: int = 300, most: int = 300, long: int = 10) -> DataFrame:
+def attention_visits(events: DataFrame, window: int = 300, most: int = 300, long: int = 10) -> DataFrame:
     """(user, path, opens, dwell, category) in the `window` seconds before each user's last event (user, path, ts, edited).
 
     A visit lasts until the user's next one, or the last event, at most `most` seconds. An edited path is editing, one of over

@@ -70,13 +70,15 @@ def token_pairs(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
     return full.withColumn("jaccard", T.jaccard(F.col("ta"), F.col("tb"))).filter(F.col("jaccard") >= least).select("a", "b", "jaccard")
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str, least: float, blocks: int = 16) -> DataFrame:
-    """(a, b, cosine) of rows at `least` or more, a < b: exact, by blocks of rows, for sets of vectors of moderate size.
+def cosine_pairs(df: DataFrame, key: str, vector: str, least: float, rows: int = 2000) -> DataFrame:
+    """(a, b, cosine) of rows at `least` or more, a < b: exact, by blocks of about `rows` rows.
 
-    Each row goes to the blocks of its row and column in a triangle of block pairs; a task holds two blocks at a time.
+    Each row goes to the blocks of its row and column in a triangle of block pairs; a task holds two blocks at a time,
+    whatever the number of rows. All pairs of blocks are compared, so this is for sets of vectors of moderate size.
     """
     import numpy as np
 
+    blocks = max(4, -(-df.count() // rows))
     part = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     sent = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), part.alias("p")).withColumn("q", other)
@@ -153,3 +155,19 @@ def retrieval_score(base: Column, path: Column, here: Column, weight: Column, sa
     a, b = F.split(T.parent_dir(path), "/"), F.split(T.parent_dir(here), "/")
     shared = F.aggregate(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.struct(F.lit(True).alias("go"), F.lit(0).alias("n")), lambda s, same: F.struct((s["go"] & same).alias("go"), (s["n"] + (s["go"] & same).cast("int")).alias("n")))["n"]
     return base * (0.7 + 0.3 * shared / F.greatest(F.size(a), F.size(b))) * weight * F.when(same_community, 1.2).otherwise(1.0)
+
+
+def name_candidates(names: DataFrame, name: str) -> DataFrame:
+    """(a, b) of names that may be more than 0.3 alike, a < b; names are distinct and in lower case.
+
+    Without one holding the other, 0.7 * prefix / longer length > 0.3 asks for more than 3/7 of the longer name: its prefix of
+    that length meets all prefixes of the others. Where one holds the other, the held one's words are looked up in the whole
+    words of the holder.
+    """
+    x = F.col(name)
+    own = names.select(x.alias("a"), F.concat(F.lit("p:"), F.substring(x, F.lit(1), (F.floor(F.length(x) * 3 / 7) + 1).cast("int"))).alias("k"))
+    every = names.select(x.alias("b"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.lit("p:"), F.substring(x, F.lit(1), i)))).alias("k"))
+    words = names.select(x.alias("a"), F.explode(F.array_distinct(F.split(x, " "))).alias("k"))
+    held = words.join(words.withColumnRenamed("a", "b"), "k").filter("instr(a, b) > 0 OR instr(b, a) > 0")
+    pairs = own.join(every, "k").select("a", "b").unionAll(held.select("a", "b")).filter("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import code as C
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import joins as J
@@ -114,7 +115,10 @@ def g13(spark: SS, sf: str) -> DataFrame:
 
 @query("G14_parameter_edges", "SELECT p_partkey, CAST(i - 1 AS INTEGER) AS idx, string_split(p_name, ' ')[i] AS param FROM (SELECT p_partkey, p_name, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part)")
 def g14(spark: SS, sf: str) -> DataFrame:
-    return table(spark, sf, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("idx", "param"))
+    p = table(spark, sf, "part")
+    edges = p.select(F.lit("call").alias("kind"), F.col("p_partkey").alias("source_id"), F.col("p_partkey").alias("target_id"))
+    symbols = p.select(F.col("p_partkey").alias("id"), F.concat(F.lit("f("), F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit(")")).alias("signature"))
+    return C.parameter_edges(edges, symbols).select(F.col("target_id").alias("p_partkey"), F.col("param_idx").alias("idx"), "param")
 
 
 @query("Y19_adjacency", f"WITH {_STEPS2} SELECT a, b, CAST(sum(n) AS BIGINT) AS w FROM (SELECT src AS a, dst AS b, n FROM steps UNION ALL SELECT dst, src, n FROM steps) GROUP BY 1, 2")
@@ -154,9 +158,7 @@ _PRE = "list_max(list_filter(range(0, least(length(a), length(b)) + 1), lambda i
 @query("X05_name_similarity", f"""WITH n AS (SELECT DISTINCT lower(p_name) AS x FROM part), p AS (SELECT t.x AS a, u.x AS b FROM n t, n u WHERE t.x < u.x) SELECT a, b, round(s, 6) AS sim FROM (SELECT a, b, 0.7 * {_PRE} / greatest(length(a), length(b)) + CASE WHEN contains(a, b) OR contains(b, a) THEN 0.3 ELSE 0 END AS s FROM p) WHERE s > 0.3""")
 def x05(spark: SS, sf: str) -> DataFrame:
     n = table(spark, sf, "part").select(F.lower("p_name").alias("x")).distinct()
-    # names above 0.3 share a first letter (or one holds the other, then their words meet)
-    keys = n.withColumn("k", F.explode(F.array_union(F.split("x", " "), F.array(F.substring("x", 1, 1)))))
-    pairs = keys.alias("t").join(keys.alias("u"), F.expr("t.k = u.k AND t.x < u.x")).select(F.col("t.x").alias("a"), F.col("u.x").alias("b")).distinct()
+    pairs = S.name_candidates(n, "x")
     return pairs.withColumn("sim", F.round(T.name_similarity(F.col("a"), F.col("b")), 6)).filter("sim > 0.3")
 
 

@@ -250,7 +250,7 @@ def t10(spark: SS, sf: str) -> DataFrame:
 SELECT user_id, path, count(*) AS opens, round(sum(dwell), 3) AS dwell, CASE WHEN max(CASE WHEN path = 'error' THEN 1 ELSE 0 END) = 1 THEN 'editing' WHEN sum(dwell) > 3600 THEN 'reference' ELSE 'glanced' END AS category FROM f GROUP BY 1, 2""")
 def t04(spark: SS, sf: str) -> DataFrame:
     e = table(spark, sf, "events").filter("event_type <> 'purchase'").select(F.col("user_id").alias("user"), F.col("event_type").alias("path"), "ts", (F.col("event_type") == "error").alias("edited"))
-    return H.attention(e, window=20 * 86400, most=86400, long=3600).select(F.col("user").alias("user_id"), "path", "opens", F.round("dwell", 3).alias("dwell"), "category")
+    return H.attention_visits(e, window=20 * 86400, most=86400, long=3600).select(F.col("user").alias("user_id"), "path", "opens", F.round("dwell", 3).alias("dwell"), "category")
 
 
 # --- predicates and paths ----------------------------------------------------------------------------

@@ -21,18 +21,22 @@ def flush(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def promote(df: DataFrame, root: str, version: str, least_rows: int = 1) -> str:
-    """Writes root/version and, once it has `least_rows`, names it in root/_current; readers follow that name."""
+    """Writes root/version and, once it has `least_rows`, adds its name to root/_current; readers follow the last name added.
+
+    A version that exists is not written again, and names are only added, so readers find a whole version at any time.
+    """
     path = f"{root.rstrip('/')}/{version}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("errorifexists").parquet(path)
     spark = df.sparkSession
     if spark.read.parquet(path).limit(least_rows).count() < least_rows:
         raise ValueError(f"{path} has fewer than {least_rows} rows; the current version stays")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{root.rstrip('/')}/_current")
+    row = spark.createDataFrame([(version,)], "version string").withColumn("at", F.unix_micros(F.current_timestamp()))
+    row.coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/_current")
     return path
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    version = spark.read.schema("version string").json(f"{root.rstrip('/')}/_current").first().version
+    version = spark.read.schema("version string, at long").json(f"{root.rstrip('/')}/_current").orderBy(F.col("at").desc()).first().version
     return spark.read.parquet(f"{root.rstrip('/')}/{version}")
 
 

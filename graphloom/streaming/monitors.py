@@ -47,9 +47,9 @@ def recent_lines(lines: DataFrame, key: str, value: str, pattern: str, keep: int
 
 
 def snapshot_sink(path: str):
-    """A foreachBatch function that appends each batch with its number."""
+    """A foreachBatch function that writes each batch to its own folder, batch=number: a replayed batch replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
 
     return write
