@@ -180,7 +180,8 @@ def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", most
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, item_id, first_word, end_word, share, same_values: one row for each item that a row of docs holds.
 
-    same_values: all slots have the item's own values. Null and short texts hold none; repeated rows each give rows.
+    same_values: all slots have the item's own values. Null and short texts hold none; repeated rows each give rows. Keys
+    are integers. An empty table or benchmark gives an empty result.
     """
     spark, rows = docs.sparkSession, docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     schema = "id long, item_id long, first_word long, end_word long, share double, same_values boolean"

@@ -85,7 +85,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", norma
     """One row per row of docs: id, keep_id, group_size, kept, text_sha256, for texts equal after `normal`.
 
     The largest key of a group stays. Null texts count as empty; null keys sort below all others. Of rows that repeat
-    both key and text, one stays. An empty table gives an empty result; other columns are not read.
+    both key and text, one stays. An empty table gives an empty result; other columns are not read. Keys are integers.
+    Beyond BROADCAST_KEYS suspect fingerprints the texts are joined to them by a shuffle.
     """
     spark = docs.sparkSession
     owners = owners or owners_for(docs.count(), int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -288,7 +288,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
 
     Two texts link if 100 * shared shingles >= percent * shingles of either. Texts that are null or have no word link
     with nothing. Rows that repeat a key are one node, linked by any of their texts; a null key sorts last. An empty
-    table gives an empty result. Shingles are compared by 64-bit hashes.
+    table gives an empty result. Shingles are compared by 64-bit hashes. Keys are integers.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -138,7 +138,8 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, most: int = SAMPLE)
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, lang, score for each row of docs.
 
-    Texts that are null or have no letter get `und` and score 0, as all do when nothing was learned.
+    Texts that are null or have no letter get `und` and score 0, as all do when nothing was learned. Repeated rows stay
+    repeated; an empty table gives an empty result. Keys are integers.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

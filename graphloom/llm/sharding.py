@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, stored
 
 #: Groups within a shard by which slots are numbered; SHARDS * BUCKETS bounds the offsets' table.
 BUCKETS = 256
@@ -59,5 +59,6 @@ def op6_shard(spark: SparkSession, sf_dir: str, shards: int = 40) -> DataFrame:
     """All documents over equal shards by doc_id. A null text has 16 bytes and the checksum of an empty one."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = number(assign(rows, "doc_id", [1.0] * shards, grown="grown_shard"), "shard", ["doc_id", "text_crc32", "size"])
+    rows = stored(assign(rows, "doc_id", [1.0] * shards, grown="grown_shard"))  # read twice: hashes are made once
+    out = number(rows, "shard", ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

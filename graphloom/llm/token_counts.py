@@ -83,7 +83,7 @@ def _counter(path: str):
 def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """id, n_bytes, n_tokens for each row. Null texts count as empty, with no tokens; repeated rows stay repeated.
 
-    `path` is the file of a tokenizer that splits at white space before it encodes, as word_bpe_49k.json does.
+    Keys are integers. `path` is the file of a tokenizer that splits at white space before it encodes, as word_bpe_49k.json does.
     """
     path = path or tokenizer_path()
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))

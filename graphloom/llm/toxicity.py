@@ -176,6 +176,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """id, score, sentences (start and end in bytes of the text, p) that hold a sign, for each row of docs.
 
     Texts that are null, empty or without a sign score 0 and have no sentences. Repeated rows stay repeated.
+    An empty table gives an empty result. Keys are integers.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE * LONGEST
 
