@@ -76,17 +76,31 @@ def _terms(words: set[bytes]) -> set[tuple[int, bytes]]:
     return {(0, w) for w in words} | {(1, w[:STEM]) for w in words}
 
 
-def _tell(sentences: list[tuple[set, int]], least: int, both: bool) -> list[tuple[int, bytes]]:
+def _different(rows: list[tuple[bytes, int]]) -> Iterator[tuple[set[bytes], int]]:
+    """The words of each different sentence, and whether its document is toxic; one that a clean document holds is clean.
+
+    So copies of a document make no evidence. Sentences are remembered by hash and gone through twice, not kept.
+    """
+    known: set[int] = set()
+    for raw, label in sorted(rows, key=lambda r: r[1]):
+        for s in raw.translate(_PLAIN).split(b"\n"):
+            words = set(s.split())
+            if words and (mark := hash(frozenset(words))) not in known:
+                known.add(mark)
+                yield words, label
+
+
+def _tell(sentences: Iterator[tuple[set, int]], least: int, both: bool) -> list[tuple[int, bytes]]:
     """Terms whose share of toxic sentences is above chance (with both: or below it), for the number of terms tested."""
-    seen, bad = Counter(), Counter()
+    seen, bad, total, toxic = Counter(), Counter(), 0, 0
     for terms, label in sentences:
         seen.update(terms)
+        total, toxic = total + 1, toxic + label
         if label:
             bad.update(terms)
-    toxic = sum(label for _, label in sentences)
-    if not toxic or toxic == len(sentences):
+    if not toxic or toxic == total:
         return []
-    base, bar = toxic / len(sentences), np.log(max(1, sum(k >= least for k in seen.values()))) + 2
+    base, bar = toxic / total, np.log(max(1, sum(k >= least for k in seen.values()))) + 2
     return sorted(t for t, k in seen.items() if k >= least and (_surprise(bad[t], k, base) > bar or (both and _surprise(bad[t], k, base, less=True) > bar)))
 
 
@@ -100,21 +114,12 @@ def fit(rows: list[tuple[bytes, int]], scale: dict[int, float] | None = None, ro
     n, positive = len(rows), sum(label for _, label in rows)
     if not positive or positive == n:
         return Model({}, {}, 0.0)
-    # a sentence counts once, so that copies of a document make no evidence; one that a clean document holds is clean
-    known, different = set(), []
-    for raw, label in sorted(rows, key=lambda r: r[1]):
-        for s in raw.translate(_PLAIN).split(b"\n"):
-            words = frozenset(s.split())
-            if words and words not in known:
-                known.add(words)
-                different.append((_terms(words), label))
-    del known
-    signs = _tell(different, least, both=False)
+    signs = _tell(((_terms(words), label) for words, label in _different(rows)), least, both=False)
     if not signs:
         return Model({}, {}, 0.0)
     marked = set(signs)
-    contexts = _tell([(terms - marked, label) for terms, label in different if not marked.isdisjoint(terms)], least, both=True)
-    del different
+    near = ((terms - marked, label) for terms, label in ((_terms(words), label) for words, label in _different(rows)) if not marked.isdisjoint(terms))
+    contexts = _tell(near, least, both=True)
     index = {t: i for i, t in enumerate([*signs, *contexts])}
     term, sent_of, doc_of = [], [], []
     for d, (raw, _) in enumerate(rows):
