@@ -307,7 +307,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     need = stored(clustered.join(sums, "root").groupBy(F.col("rep").alias("id"), F.col("root").alias("comp"), in_blocks.alias("blocks"), "hub").agg(F.sum("n").alias("n")))
     load = need.agg(F.sum("n")).first()[0] or 0
     need = need.drop("n")
-    texts = rows.join(sized(need, BROADCAST_ROWS), "id").select("id", "comp", "blocks", "hub", "text")
+    found = rows.join(sized(need, BROADCAST_ROWS), "id").withColumn("mark", F.xxhash64("text"))
+    # rows that repeat a key and its text are one, combined before the shuffle
+    texts = found.groupBy("id", "comp", "blocks", "hub", "mark").agg(F.first("text").alias("text")).select("id", "comp", "blocks", "hub", "text")
     n_groups = max(4 * partitions, -(-load // GROUP_HASHES))
     home = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")))
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)

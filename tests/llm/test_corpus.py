@@ -151,9 +151,14 @@ def test_pipeline(spark, tmp_path, make):
     assert P.run(spark, d).count() == sum(kept["mixing"].values())
 
 
-def test_near_duplicates_are_dropped_by_row(make):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_near_duplicates_are_dropped_by_row(make, monkeypatch, few):
     import corpus_pipeline as P
 
+    from graphloom.llm import jaccard_join
+
+    monkeypatch.setattr(P, "FEW", few)  # decisions are broadcast, or shuffled
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", few)
     body = lambda k: " ".join(f"{k}{i}" for i in range(30))
     rows = [
         (1, body("a")), (1, body("a")), (1, body("a")),  # one key and text: one row stays
