@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, flat, fold_of, pieces, softmax
+from .common import about, documents, flat, fold_of, pieces, softmax
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4, 5), 8, 8
 #: Documents to train on, and windows from each, at places chosen by hash.
@@ -126,10 +126,11 @@ def fit(texts: list[bytes], langs: list[str], steps: int = 700, batch: int = 128
 
 def sample(docs: DataFrame, key: str, text: str, lang: str, most: int = SAMPLE) -> tuple[list[bytes], list[str]]:
     """Windows of `most` rows that have a language and a text, the least by a 64-bit hash of key and text: as many of them
-    whatever the size of the table. Each partition keeps its least rows, without their texts."""
+    whatever the size of the table. Rows with a language are counted first, so that partitions send few rows more."""
     h = F.xxhash64(F.col(key), F.col(text))
     places = F.array(*[F.substring(F.col(text), (F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.greatest(F.length(text) - WINDOW + 1, F.lit(1))) + 1).cast("int"), F.lit(WINDOW)) for i in range(PLACES)])
     rows = docs.filter(F.col(lang).isNotNull() & (F.length(F.trim(F.col(text))) > 0))
+    rows = rows.filter(about(h, most, docs.filter(F.col(lang).isNotNull()).count()))
     got = rows.select(places.alias("w"), F.col(lang).alias("lang"), h.alias("h")).orderBy("h", "lang").limit(most).collect()
     pairs = sorted({(w, r.lang) for r in got for w in r.w})
     return [w.encode() for w, _ in pairs], [v for _, v in pairs]

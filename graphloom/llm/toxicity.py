@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, flat, fold_of, pieces
+from .common import about, documents, flat, fold_of, pieces
 
 #: Keys of each label to train on, at most, and the longest text among them, in characters. Scores cover all texts.
 SAMPLE, LONGEST = 2500, 8_000
@@ -165,7 +165,7 @@ def sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
     out: list[tuple[bytes, int]] = []
     scale: dict[int, float] = {}
     for y, n in sorted((r.y, r["count"]) for r in known.groupBy((F.col("y") > 0).alias("y")).count().collect()):  # two rows
-        chosen = known.filter((F.col("y") > 0) == y).select("_k").orderBy(F.xxhash64("_k"), "_k").limit(most)
+        chosen = known.filter(((F.col("y") > 0) == y) & about(F.xxhash64("_k"), most, n)).select("_k").orderBy(F.xxhash64("_k"), "_k").limit(most)
         short = F.when(F.length("t") <= longest, F.col("t"))
         texts = docs.select(F.col(key).alias("_k"), F.col(text).alias("t")).filter("t IS NOT NULL").join(F.broadcast(chosen), "_k")
         got = texts.select(F.xxhash64("_k").alias("h"), short.alias("t")).orderBy("h", "t").limit(2 * most).collect()

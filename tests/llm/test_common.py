@@ -40,3 +40,13 @@ def test_pieces_and_blocks_keep_rows(most):
     batch = pa.RecordBatch.from_pydict({"text": ["abc", None, "", "defghijk", "l"] * 3})
     for f in (C.pieces, C.blocks):
         assert [t for b in f(iter([batch, batch]), "text", most) for t in b.column("text").to_pylist()] == batch.column("text").to_pylist() * 2
+
+
+@pytest.mark.parametrize(("most", "total"), [(50, 10), (50, 3000), (500, 100_000)])
+def test_about_keeps_enough_and_not_much_more(spark, most, total):
+    from pyspark.sql import functions as F
+
+    kept = spark.range(total).filter(C.about(F.xxhash64("id"), most, total)).count()
+    assert min(most, total) <= kept <= 2 * most + 60
+    huge = C.about(F.lit(-(1 << 63) + 1000), 5000, 10**13)  # a share that is no multiple of a millionth
+    assert spark.range(1).filter(huge).count() == 1
