@@ -70,9 +70,10 @@ def _counter(path: str):
                 kept = {p: counts[p] for p in distinct if p in counts}
                 counts.clear()
                 counts.update(kept)
-            _encode(tok, [p for p in distinct if p not in counts], counts)
+            new = [p for p in distinct if p not in counts]
+            _encode(tok, new, counts)
             n = [sum(map(counts.__getitem__, t)) for t in texts]
-            for p in distinct:
+            for p in new:
                 if len(p) > KEPT_BYTES:
                     del counts[p]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.diff(off)), pa.array(n, pa.int64())], names=["id", "n_bytes", "n_tokens"])
