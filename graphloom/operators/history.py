@@ -100,3 +100,25 @@ def attention_visits(events: DataFrame, window: int = 300, most: int = 300, long
     e = e.withColumn("_d", F.least(F.coalesce(F.lead("_t").over(Window.partitionBy("user").orderBy("ts")), F.col("_now")) - F.col("_t"), F.lit(most * 1_000_000)) / 1e6)
     category = F.when(F.max(F.col("edited").cast("int")) == 1, "editing").when(F.sum("_d") > long, "reference").otherwise("glanced")
     return e.groupBy("user", "path").agg(F.count("*").alias("opens"), F.sum("_d").alias("dwell"), category.alias("category"))
+
+
+def health_changes(probes: DataFrame, key: str, order: Sequence[str], ok: str, least: int = 3) -> DataFrame:
+    """probes with a column event, those alone that change a key's state: `unhealthy` at the `least`-th failure in a row, `healthy`
+    at the first success after as many failures and at the very first success. Null in `ok` is a failure."""
+    w = Window.partitionBy(key).orderBy(*order)
+    up = F.coalesce(F.col(ok), F.lit(False))
+    failed = F.when(up, 0).otherwise(1)
+    down = ~up & (F.sum(failed).over(w.rowsBetween(1 - least, 0)) == least) & F.coalesce(F.lag(up, least).over(w), F.lit(True))
+    first = F.sum(1 - failed).over(w.rowsBetween(Window.unboundedPreceding, 0)) == 1
+    back = up & (first | (F.coalesce(F.sum(failed).over(w.rowsBetween(-least, -1)), F.lit(0)) == least))
+    return probes.withColumn("event", F.when(down, "unhealthy").when(back, "healthy")).filter("event IS NOT NULL")
+
+
+def breaker(tries: DataFrame, key: str, order: Sequence[str], found: str, most: int = 2) -> DataFrame:
+    """tries with skipped: after `most` empty answers in a row a key is asked no more. Null in `found` is an empty answer.
+
+    A key's tries are sorted in one task, which spills."""
+    w = Window.partitionBy(key).orderBy(*order)
+    empty = F.when(F.coalesce(F.col(found), F.lit(False)), 0).otherwise(1)
+    t = tries.withColumn("_o", F.sum(empty).over(w.rowsBetween(1 - most, 0)) == most)
+    return t.withColumn("skipped", F.coalesce(F.max("_o").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))).drop("_o")

@@ -10,19 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL = "/tmp/checkpoints/graphloom"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that all executors share; a lost executor costs no recomputation of df.
+def folder(spark: SparkSession) -> str:
+    """The path of a new folder that all executors share.
 
-    The folder is spark.checkpoint.dir, or else the context's checkpoint folder. Without either, a local folder serves
+    It is below is spark.checkpoint.dir, or else the context's checkpoint folder. Without either, a local folder serves
     where the executors run in this process; elsewhere that is an error.
     """
-    spark: SparkSession = df.sparkSession
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = LOCAL
-    path = f"{base.rstrip('/')}/graph-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/graph-{sc.applicationId}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in a folder that all executors share; a lost executor costs no recomputation of df."""
+    spark: SparkSession = df.sparkSession
+    path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

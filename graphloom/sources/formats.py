@@ -175,3 +175,32 @@ def crash_lines(lines: DataFrame, patterns: dict[str, str], most: int = 10) -> D
         label = F.when(F.col("value").rlike(p), k) if label is None else label.when(F.col("value").rlike(p), k)
     hit = lines.filter(F.length("value") >= 5).select("pos", F.substring("value", 1, 200).alias("line"), label.alias("label")).filter("label IS NOT NULL")
     return hit.groupBy("label", "line").agg(F.min("pos").alias("pos")).orderBy("pos", "line").limit(most)
+
+
+def dataset_cases(files: DataFrame) -> DataFrame:
+    """(path, id, type, error) of the cases in YAML files (path, content): one a file, or a list of them.
+
+    Cases of a list without an id or a type are left out; a file that cannot be read, or whose only case lacks either, is one
+    row with an error. Other files and null contents give none. Needs the yaml library on the workers.
+    """
+
+    def cases(path: str, content: str) -> list[tuple]:
+        import yaml
+
+        try:
+            held = yaml.safe_load(content)
+        except yaml.YAMLError:
+            return [(path, None, None, "invalid")]
+        text = lambda c, k: "" if not isinstance(c, dict) or c.get(k) is None else str(c[k])
+        if isinstance(held, list) and held and text(held[0], "id"):
+            return [(path, text(c, "id"), text(c, "type"), None) for c in held if text(c, "id") and text(c, "type")]
+        if text(held, "id") and text(held, "type"):
+            return [(path, text(held, "id"), text(held, "type"), None)]
+        return [(path, None, None, "missing id or type")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([row for path, content in zip(f["path"], f["content"], strict=True) for row in cases(path, content)], columns=["path", "id", "type", "error"])
+
+    asked = files.filter(F.col("path").rlike(r"(?i)\.ya?ml$") & F.col("content").isNotNull()).select("path", "content")
+    return asked.mapInPandas(run, "path string, id string, type string, error string")

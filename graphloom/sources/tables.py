@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def attach(spark: SparkSession, sf_dir: str, names: Sequence[str], prefix: str = "ro_") -> dict[str, str]:
+    """The view of each table that is attached for reading alone: queries by name, which no statement can insert into."""
+    views = {n: f"{prefix}{n}" for n in names}
+    for name, view in views.items():
+        table(spark, sf_dir, name).createOrReplaceTempView(view)
+    return views
+
+
 def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier to part, one edge a line: a bipartite call graph."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))

@@ -3,7 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import checkers as Q
 from graphloom.operators import code as C
+from graphloom.operators import history as H
+from graphloom.sources import formats as R
 from graphloom.sources import sinks as K
 from graphloom.sources.schema import EDGES, SYMBOLS, edge_violations, known
 
@@ -142,3 +145,41 @@ def test_sinks(spark, symbols, edges, tmp_path):
     assert rows(K.upsert(old, new, ["k"])) == [(1, 5), (2, 7), (3, 8)] and rows(K.add_counts(old, new, ["k"], "v")) == [(1, 5), (2, 13), (3, 8)]
     K.write_predictions(spark.createDataFrame([("i", " ")], "instance_id string, patch string"), str(tmp_path / "p"))
     assert spark.read.json(str(tmp_path / "p")).first().patch == "# no changes"
+
+
+def test_file_checks(spark):
+    files = spark.createDataFrame(
+        [
+            ("a.go", "func A() {}\n\n// B does.\nfunc B() {\n\tmu.Lock()\n\tif x {\n\t\tdefer mu.Unlock()\n\t}\n}\n\nfunc init() {\n\tpanic(1)\n}\n"),
+            ("b.go", None),
+            ("c.go", ""),
+            ("d.py", "func A() {}\n"),
+            ("e_test.go", "func A() {\n\tpanic(1)\n\tv, _ := g()\n\t_ = err\n}\n"),
+            ("f.go", "// C does.\r\nfunc (s *S) C(ctx context.Context, n int) {\r\n\tp := \"x\"\r\n\ttoken := \"x\"\r\n}\r\n"),
+        ],
+        "path string, content string",
+    )
+    got = {(r.path, r.rule, r.function) for r in Q.file_failures(files).collect()}
+    assert got == {("a.go", "exported_without_comment", "A"), ("a.go", "mutex_without_defer", "B")}
+    assert Q.file_failures(files.filter("path IS NULL")).count() == 0
+
+
+def test_project_rules(spark):
+    line = "func F(ctx context.Context) {}\n"
+    files = [("p", "go.mod", ""), ("p", "a.go", line * 9), ("p", "a_test.go", line * 9), ("p", "vendor/a.go", line * 9), ("q", "go.mod", None), ("q", "a.go", line * 10), ("q", "b.go", None), ("r", "pkg/account/x", ""), ("r", "authors/x", "")]
+    got = rows(Q.project_rules(spark.createDataFrame(files, "project string, path string, content string")))
+    assert sorted(got) == sorted([("p", "no_panic", 0.75, "candidate"), ("q", "no_panic", 0.75, "candidate"), ("q", "context_propagation", 0.8, "active"), ("r", "hashed_passwords_account", 0.7, "candidate")])
+
+
+def test_health_and_breaker(spark):
+    probes = spark.createDataFrame([(k, i, c == "+" if c != "?" else None) for k, s in (("a", "---+--?-+-"), ("b", "+--+"), ("c", "--")) for i, c in enumerate(s)], "k string, at int, ok boolean")
+    got = {(r.k, r.at, r.event) for r in H.health_changes(probes, "k", ["at"], "ok").collect()}
+    assert got == {("a", 2, "unhealthy"), ("a", 3, "healthy"), ("a", 6, "unhealthy"), ("a", 8, "healthy"), ("b", 0, "healthy")}
+    left = {k: sum(1 for r in H.breaker(probes, "k", ["at"], "ok").filter("NOT skipped").collect() if r.k == k) for k in "abc"}
+    assert left == {"a": 2, "b": 3, "c": 2}
+
+
+def test_dataset_cases(spark):
+    files = [("x/a.yml", "[]"), ("a.yaml", ""), ("b.yaml", "- id: 1\n  type: t\n- 5\n- id: 2\n"), ("c.txt", "id: 1\ntype: t"), ("d.yaml", None)]
+    got = [tuple(r) for r in R.dataset_cases(spark.createDataFrame(files, "path string, content string")).collect()]
+    assert sorted(got, key=str) == sorted([("x/a.yml", None, None, "missing id or type"), ("a.yaml", None, None, "missing id or type"), ("b.yaml", "1", "t", None)], key=str)

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from graphloom.plans import analytics, codegraph, indexing, relational  # noqa: F401
+from graphloom.plans import analytics, checking, codegraph, indexing, relational  # noqa: F401
 from graphloom.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
