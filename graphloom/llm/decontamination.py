@@ -3,7 +3,9 @@
 Windows of WINDOW template words of the benchmark are hashed; documents' windows are joined to them by hash. Where many
 windows of an item lie on one stretch of a document, their slots are compared: an item's value must always stand for
 the same value in the document, and the other way round. A question asked again with other numbers or names keeps its
-template and its pattern of slots, so it is caught; windows whose slots contradict the others do not count.
+template and its pattern of slots, so it is caught; windows whose slots contradict the others do not count. A stretch may
+be interrupted: its parts keep their order. Items whose words are nearly all slots have no window; they are found by all
+of their words and values. Items of fewer than WINDOW words are not looked for.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .common import documents, flat, pieces, window_hashes, window_starts, word_
 WINDOW = 5
 #: Literal words that a window needs, the share of an item's windows that a document must hold, and how far windows may shift.
 LITERALS, SHARE, SHIFT = 3, 0.5, 8
+#: Words that may stand between two parts of an item, and the most parts among which the needed windows may be dealt evenly.
+GAP, PARTS = 64, 4
 #: Bytes of benchmark text in one broadcast index; a larger benchmark takes several passes.
 INDEX_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
 UNITS = "mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hour hours minute minutes second seconds day days week weeks month months year years dollar dollars cent cents euro euros percent meter meters metre metres mile miles pound pounds gram grams liter liters litre litres degree degrees".split()
@@ -108,6 +112,8 @@ class Index:
     kind: np.ndarray
     words: np.ndarray
     windows: np.ndarray
+    plain: np.ndarray
+    plain_hashes: np.ndarray
 
     @staticmethod
     def of(ids: list[int], texts: list[str]) -> Index:
@@ -115,17 +121,22 @@ class Index:
         at, hashes = _windows(shapes, kind, words)
         order = np.argsort(hashes, kind="stable")
         item = np.searchsorted(words, at, "right") - 1
-        return Index(ids, hashes[order], item[order], (at - words[item])[order], values, kind, words, np.bincount(item, minlength=len(ids)))
+        windows = np.bincount(item, minlength=len(ids))
+        plain = np.flatnonzero((windows == 0) & (np.diff(words) >= WINDOW))
+        begins = window_hashes(values, WINDOW)[words[plain]] if len(plain) else np.zeros(0, np.uint64)
+        by = np.argsort(begins, kind="stable")
+        return Index(ids, hashes[order], item[order], (at - words[item])[order], values, kind, words, windows, plain[by], begins[by])
 
     def find(self, column: pa.Array) -> list[tuple[int, int, int, int, float, bool]]:
         """(text, item, first word, last word + 1, share, same) for each item that a text holds."""
         shapes, values, kind, words = template(column)
+        out = self._whole(values, words) if len(self.plain) else []
         at, hashes = _windows(shapes, kind, words)
         lo, hi = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
         n = hi - lo
         hit = np.flatnonzero(n)
         if not len(hit):
-            return []
+            return out
         where = np.repeat(hit, n[hit])
         entry = np.arange(len(where)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit]) + lo[where]
         doc = np.searchsorted(words, at[where], "right") - 1
@@ -134,7 +145,6 @@ class Index:
         order = np.lexsort((q, item, doc))
         doc, item, q, r = doc[order], item[order], q[order], r[order]
         cut = np.append(np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))), len(doc))
-        out = []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             need = SHARE * self.windows[item[a]]
             if b - a >= need:
@@ -143,11 +153,55 @@ class Index:
                     out.append((int(doc[a]), self.ids[item[a]], *found))
         return out
 
+    def _whole(self, values: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int, int, float, bool]]:
+        """Items without a window that stand in a text with all their words and values; the first place of each."""
+        at = np.flatnonzero(window_starts(words, WINDOW))
+        hashes = window_hashes(values, WINDOW)[at]
+        hit = np.isin(hashes, self.plain_hashes)
+        at, hashes = at[hit], hashes[hit]
+        out = []
+        for j in np.flatnonzero(np.isin(self.plain_hashes, hashes)):
+            i = int(self.plain[j])
+            own = self.values[self.words[i] : self.words[i + 1]]
+            here = at[hashes == self.plain_hashes[j]]
+            doc = np.searchsorted(words, here, "right") - 1
+            fits = here + len(own) <= words[doc + 1]
+            here, doc = here[fits], doc[fits]
+            for k, value in enumerate(own):
+                same = values[here + k] == value
+                here, doc = here[same], doc[same]
+            for d, first in zip(*np.unique(doc, return_index=True), strict=True):
+                a = int(here[first] - words[d])
+                out.append((int(d), self.ids[i], a, a + len(own), 1.0, True))
+        return out
+
     def _stretch(self, item: int, q: np.ndarray, r: np.ndarray, values: np.ndarray, need: float) -> tuple[int, int, float, bool] | None:
-        shift = r - q
-        best = Counter(shift.tolist()).most_common(1)[0][0]
-        near = np.abs(shift - best) <= SHIFT
-        q, r = q[near], r[near]
+        """The first stretch, in order of windows, that holds enough of an item: around one shift, or else in parts."""
+        if len(np.unique(q)) < need:
+            return None
+        order = np.lexsort((q, r))
+        q, r = q[order], r[order]
+        shifts, counts = np.unique(r - q, return_counts=True)
+        sums, long = np.concatenate([[0], np.cumsum(counts)]), int(self.words[item + 1] - self.words[item])
+        near = sums[np.searchsorted(shifts, shifts + SHIFT, "right")] - sums[np.searchsorted(shifts, shifts - SHIFT, "left")]
+        tried = near * PARTS < need
+        for best in np.lexsort((shifts, -counts)):
+            if tried[best]:
+                continue
+            s = shifts[best]
+            tried[np.abs(shifts - s) <= SHIFT] = True
+            lo, hi = np.searchsorted(r, s - long - GAP), np.searchsorted(r, s + 2 * long + GAP, "right")
+            x, y = q[lo:hi], r[lo:hi]
+            held = np.abs(y - x - s) <= SHIFT
+            found = self._agree(item, x[held], y[held], values, need)
+            if not found and len(np.unique(x)) >= need:
+                held = _parts(x, y, held)
+                found = self._agree(item, x[held], y[held], values, need)
+            if found:
+                return found
+        return None
+
+    def _agree(self, item: int, q: np.ndarray, r: np.ndarray, values: np.ndarray, need: float) -> tuple[int, int, float, bool] | None:
         own, kind = self.values[self.words[item] : self.words[item + 1]], self.kind[self.words[item] : self.words[item + 1]]
         slots = [(j, [(int(own[a + i]), int(values[b + i])) for i in range(WINDOW) if kind[a + i]]) for j, (a, b) in enumerate(zip(q.tolist(), r.tolist(), strict=True))]
         votes = Counter(p for _, ps in slots for p in ps)
@@ -163,6 +217,23 @@ class Index:
         return int(at.min()), int(at.max()) + WINDOW, min(1.0, share), all(x == y for x, y in there.items())
 
 
+def _parts(q: np.ndarray, r: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """held and the windows before and after it that go on in order, with at most GAP more words between; the most frequent shift first."""
+    held = held.copy()
+    while True:
+        a, b, c, d = q[held].min(), q[held].max(), r[held].min(), r[held].max()
+        before = (q < a) & (r < c) & (c - r <= a - q + GAP)
+        after = (q > b) & (r > d) & (r - d <= q - b + GAP)
+        rest = np.flatnonzero(before | after)
+        if not len(rest):
+            return held
+        away = np.where(before, (c - r) - (a - q), (r - d) - (q - b))[rest]
+        shift = (r - q)[rest]
+        kinds, counts = np.unique(shift, return_counts=True)
+        best = np.lexsort((np.abs(away), -counts[np.searchsorted(kinds, shift)]))[0]
+        held[rest[np.abs(shift - shift[best]) <= SHIFT]] = True
+
+
 def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", most: int = INDEX_BYTES) -> Iterator[Index]:
     """Indexes of at most about `most` bytes of benchmark text each. Null texts and items without a window have no place."""
     ids, texts, size = [], [], 0
@@ -181,7 +252,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     """id, item_id, first_word, end_word, share, same_values: one row for each item that a row of docs holds.
 
     same_values: all slots have the item's own values. Null and short texts hold none; repeated rows each give rows. Keys
-    are integers. An empty table or benchmark gives an empty result.
+    are integers. An empty table or benchmark gives an empty result. Null items and those of fewer than WINDOW words are not
+    found. Of an item that a text holds several times, the place with the most windows is given.
     """
     spark, rows = docs.sparkSession, docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     schema = "id long, item_id long, first_word long, end_word long, share double, same_values boolean"

@@ -41,6 +41,35 @@ def test_clean_texts_are_left_alone():
     assert D.Index.of([1], ["too short"]).find(pa.array(["too short", None, ""], pa.string())) == []
 
 
+def test_interrupted_items():
+    words, filler = ITEM.split(), [f"w{i}" for i in range(200)]
+    for cut, gap in ((8, 9), (13, 40), (13, 64), (18, 20)):
+        text = " ".join(["x y z", *words[:cut], *filler[:gap], *words[cut:], "and so on"])
+        ((_, _, a, b, share, same),) = found(text)
+        assert same and share >= 0.5 and b - a <= len(words) + gap
+    three = " ".join([*words[:10], *filler[:20], *words[10:18], *filler[20:50], *words[18:]])
+    assert len(found(three)) == 1
+    assert found(" ".join([*words[13:], *filler[:20], *words[:13]])) == []  # out of order
+    assert found(" ".join([*words[:13], *filler[:150], *words[13:]])) == []  # too far apart
+    wrong = " ".join(["if a train leaves Boston at 60 km per", *filler[:5], "nothing.", ITEM])
+    assert [f[:2] for f in found(wrong)] == [(0, 0)]
+
+
+def test_another_shift_is_tried_when_the_best_one_fails():
+    item = "take Anna and then Bert and then Carl and give Anna the box of Bert and then the box of Carl"
+    mixed = "take Paul and then Paul and then Paul and give Paul the box of Paul and then the box of Paul"
+    got = found(f"so {mixed} . . . . . . . . . . . . . and so {item} .", (item,))
+    assert len(got) == 1 and got[0][5] and got[0][4] > 0.9
+
+
+def test_items_of_slots_are_found_whole():
+    items = ["5 6 7 8 9 10 11 12", "12 kg 14 kg 16 kg", "1 2 3", "7 7 7 7 7 8", "7 7 7 7 7"]
+    texts = ["a 5 6 7 8 9 10 11 12 b", "5 6 7 8 9 10 11 13", "(12 kg, 14 kg, 16 kg)", "12 kg 14 kg 16", "1 2 3", "7 " * 500, None, "", "x " + "7 " * 9 + "8"]
+    got = D.Index.of(list(range(5)), items).find(pa.array(texts, pa.string()))
+    assert sorted(f[:4] for f in got) == [(0, 0, 1, 9), (2, 1, 0, 6), (5, 4, 0, 5), (8, 3, 5, 11), (8, 4, 1, 6)]
+    assert all(f[4:] == (1.0, True) for f in got)
+
+
 def test_matches_and_clean(spark, make, monkeypatch):
     items = [ITEM, "the second item of this benchmark is all about nothing much at all", None, "", "tiny one"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
