@@ -13,10 +13,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +29,9 @@ WINDOW = 5
 LITERALS, SHARE, SHIFT = 3, 0.5, 8
 #: Words that may stand between two parts of an item, and the most parts among which the needed windows may be dealt evenly.
 GAP, PARTS = 64, 4
-#: Bytes of benchmark text in one broadcast index; a larger benchmark takes several passes.
-INDEX_BYTES, PIECE_BYTES = 8 << 20, 1 << 20
+#: Bytes of benchmark text in one broadcast index, and indexes that one pass of the documents serves (some 40 MB each in a
+#: worker); a larger benchmark takes several passes.
+INDEX_BYTES, TOGETHER, PIECE_BYTES = 8 << 20, 4, 1 << 20
 UNITS = "mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hour hours minute minutes second seconds day days week weeks month months year years dollar dollars cent cents euro euros percent meter meters metre metres mile miles pound pounds gram grams liter liters litre litres degree degrees".split()
 _NUMBER, _NAME, _UNIT = (np.uint64(0x9D39247E33776D41 + i) for i in range(3))
 _OPEN, _CLOSE, _STOP, _DIGIT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
@@ -125,11 +128,14 @@ class Index:
         plain = np.flatnonzero((windows == 0) & (np.diff(words) >= WINDOW))
         begins = window_hashes(values, WINDOW)[words[plain]] if len(plain) else np.zeros(0, np.uint64)
         by = np.argsort(begins, kind="stable")
-        return Index(ids, hashes[order], item[order], (at - words[item])[order], values, kind, words, windows, plain[by], begins[by])
+        return Index(ids, hashes[order], item[order].astype(np.int32), (at - words[item])[order].astype(np.int32), values, kind, words, windows, plain[by], begins[by])
 
     def find(self, column: pa.Array) -> list[tuple[int, int, int, int, float, bool]]:
         """(text, item, first word, last word + 1, share, same) for each item that a text holds."""
-        shapes, values, kind, words = template(column)
+        return self.search(*template(column))
+
+    def search(self, shapes: np.ndarray, values: np.ndarray, kind: np.ndarray, words: np.ndarray) -> list[tuple[int, int, int, int, float, bool]]:
+        """find() in texts that are templates already."""
         out = self._whole(values, words) if len(self.plain) else []
         at, hashes = _windows(shapes, kind, words)
         lo, hi = np.searchsorted(self.hashes, hashes, "left"), np.searchsorted(self.hashes, hashes, "right")
@@ -143,7 +149,7 @@ class Index:
         item, q = self.item[entry], self.pos[entry]
         r = at[where] - words[doc]
         order = np.lexsort((q, item, doc))
-        doc, item, q, r = doc[order], item[order], q[order], r[order]
+        doc, item, q, r = doc[order], item[order], q[order].astype(np.int64), r[order]
         cut = np.append(np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]))), len(doc))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             need = SHARE * self.windows[item[a]]
@@ -248,6 +254,19 @@ def indexes(benchmark: DataFrame, key: str = "item_id", text: str = "text", most
         yield Index.of(ids, texts)
 
 
+def passes(benchmark: DataFrame) -> Iterator[Broadcast[list[Index]]]:
+    """The indexes that one pass of the documents serves, broadcast."""
+    found = indexes(benchmark)
+    while held := list(islice(found, TOGETHER)):
+        yield benchmark.sparkSession.sparkContext.broadcast(held)
+
+
+def search(held: list[Index], column: pa.Array) -> list[tuple[int, int, int, int, float, bool]]:
+    """What any of the indexes finds in the texts."""
+    parts = template(column)
+    return [f for index in held for f in index.search(*parts)]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, item_id, first_word, end_word, share, same_values: one row for each item that a row of docs holds.
 
@@ -258,12 +277,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     spark, rows = docs.sparkSession, docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     schema = "id long, item_id long, first_word long, end_word long, share double, same_values boolean"
     out = None
-    for index in indexes(benchmark):
-        held = spark.sparkContext.broadcast(index)
+    for held in passes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, "text", PIECE_BYTES):
-                if found := held.value.find(batch.column("text")):
+                if found := search(held.value, batch.column("text")):
                     doc, item, a, b, share, same = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(item, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(share), pa.array(same)], names=["id", "item_id", "first_word", "end_word", "share", "same_values"])
 
@@ -278,13 +296,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     Null, empty and short texts hold none and stay. Rows are decided one by one, so repeated rows stay or go together;
     keys are not read. An empty table stays empty, and with an empty benchmark all rows stay.
     """
-    for index in indexes(benchmark):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    for held in passes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches, text, PIECE_BYTES):
                 keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in held.value.find(batch.column(text))]] = False
+                keep[[f[0] for f in search(held.value, batch.column(text))]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -74,7 +74,8 @@ def test_matches_and_clean(spark, make, monkeypatch):
     items = [ITEM, "the second item of this benchmark is all about nothing much at all", None, "", "tiny one"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     docs = make([f"x {ITEM} y", "clean", None, "", f"a {items[1]} b {ITEM} c", f"x {ITEM} y"], ids=[0, 1, 2, 3, 4, None])
-    for size in (8 << 20, 10):  # one index, and one for each item
+    for size, together in ((8 << 20, 4), (10, 4), (10, 1)):  # one index, and one for each item; one pass, and several
+        monkeypatch.setattr(D, "TOGETHER", together)
         monkeypatch.setattr(D, "indexes", lambda b, size=size, f=D.indexes: f(b, most=size))
         got = Counter((str(r.id), r.item_id) for r in D.matches(docs, bench).collect())
         assert got == Counter({("0", 0): 1, ("4", 0): 1, ("4", 1): 1, ("None", 0): 1})
