@@ -1,4 +1,4 @@
-"""Queries of the checkers of files and projects, of health and breakers, of datasets and of the sinks that are read back."""
+"""Queries of the checkers of files and projects, of health and breakers, of routes of files, of datasets and of the sinks that are read back."""
 
 from __future__ import annotations
 
@@ -121,3 +121,30 @@ def k07(spark: SS, sf: str) -> DataFrame:
     path = folder(spark)
     S.write_predictions(table(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("instance_id"), patch.alias("patch")), path)
     return spark.read.schema("instance_id string, patch string").json(path)
+
+
+# --- every reason of the router and every flag of a content -------------------------------------------
+
+#: A path of each reason of the router, in its order; {k} is the part's key.
+_ROUTED = [
+    ("symlink", "src/{k}.go"), ("empty", "src/{k}.go"), ("junk", "d{k}/.DS_Store"), ("editor_temp", "src/{k}.go~"), ("binary", "img/{k}.PNG"), ("too_large", "src/{k}.py"), ("lock_file", "d{k}/go.sum"), ("generated", "web/{k}.min.js"),
+    ("pruned_dir", "vendor/m{k}/a.go"), ("code", "src/{k}.rs"), ("doc", "docs/{k}.md"), ("other", "data/{k}.bin2"),
+]
+_ROUTED_SQL = ", ".join(f"({i}, '{r}', '{p}')" for i, (r, p) in enumerate(_ROUTED))
+
+
+@query("S04_all_reasons", f"""SELECT replace(form, '{{k}}', p_partkey::VARCHAR) AS path, reason, CASE WHEN reason IN ('code', 'doc') THEN reason ELSE 'skip' END AS pipeline FROM part JOIN (VALUES {_ROUTED_SQL}) v(i, reason, form) ON p_partkey % {len(_ROUTED)} = i""")
+def s04_all(spark: SS, sf: str) -> DataFrame:
+    at = (F.col("p_partkey") % len(_ROUTED)).cast("int")
+    path = F.replace(F.get(F.array(*[F.lit(p) for _, p in _ROUTED]), at), F.lit("{k}"), F.col("p_partkey").cast("string"))
+    size = F.when(at == 1, 0).when(at == 5, 2 << 20).otherwise(F.col("p_size"))
+    return R.route_files(table(spark, sf, "part").select(path.alias("path"), size.alias("size"), (at == 0).alias("is_link"))).select("path", "reason", "pipeline")
+
+
+@query("S06_all_flags", """SELECT p_partkey, p_partkey % 4 = 1 AS minified, p_partkey % 4 = 2 AS generated, p_partkey % 4 = 3 AND p_size > 10 AS binary FROM part""")
+def s06_all(spark: SS, sf: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    nuls = F.rpad(F.repeat(F.lit("\x00"), F.col("p_size")), 100, "x")
+    text = F.when(k == 1, F.repeat("p_name", F.lit(2000))).when(k == 2, F.concat(F.lit("// Code generated by p. DO NOT EDIT.\n"), "p_name")).when(k == 3, nuls).otherwise(F.repeat(F.concat("p_name", F.lit("\n")), F.lit(2000)))
+    flags = R.content_flags(text)
+    return table(spark, sf, "part").select("p_partkey", *[flags[f].alias(f) for f in ("minified", "generated", "binary")])
