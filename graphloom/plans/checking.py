@@ -10,6 +10,7 @@ from ..operators import history as H
 from ..sources import formats as R
 from ..sources import sinks as S
 from ..sources.tables import attach, table
+from ..streaming.monitors import snapshot_sink
 from .registry import query
 from .scratch import folder
 
@@ -123,6 +124,16 @@ def k07(spark: SS, sf: str) -> DataFrame:
     return spark.read.schema("instance_id string, patch string").json(path)
 
 
+@query("T12_flushed_metrics", "SELECT user_id % 3 AS batch, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def t12(spark: SS, sf: str) -> DataFrame:
+    """Three batches of metrics are flushed, two of them again, as after a restart: nothing counts twice."""
+    path = folder(spark)
+    write, e = snapshot_sink(path), table(spark, sf, "events")
+    for number in (0, 1, 2, 1, 2):
+        write(e.filter(F.col("user_id") % 3 == number).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), number)
+    return spark.read.schema("event_type string, n long, total double, batch long").parquet(path)
+
+
 # --- every reason of the router and every flag of a content -------------------------------------------
 
 #: A path of each reason of the router, in its order; {k} is the part's key.
