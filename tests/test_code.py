@@ -8,6 +8,7 @@ from graphloom.operators import code as C
 from graphloom.operators import history as H
 from graphloom.sources import formats as R
 from graphloom.sources import sinks as K
+from graphloom.sources.tables import attach
 from graphloom.sources.schema import EDGES, SYMBOLS, edge_violations, known
 
 
@@ -183,3 +184,11 @@ def test_dataset_cases(spark):
     files = [("x/a.yml", "[]"), ("a.yaml", ""), ("b.yaml", "- id: 1\n  type: t\n- 5\n- id: 2\n"), ("c.txt", "id: 1\ntype: t"), ("d.yaml", None)]
     got = [tuple(r) for r in R.dataset_cases(spark.createDataFrame(files, "path string, content string")).collect()]
     assert sorted(got, key=str) == sorted([("x/a.yml", None, None, "missing id or type"), ("a.yaml", None, None, "missing id or type"), ("b.yaml", "1", "t", None)], key=str)
+
+
+def test_attached_views_refuse_inserts(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/x.parquet")
+    view = attach(spark, str(tmp_path), ["x"])["x"]
+    with pytest.raises(Exception, match="UNSUPPORTED_INSERT"):
+        spark.sql(f"INSERT INTO {view} VALUES (9)")
+    assert spark.table(view).count() == spark.read.parquet(f"{tmp_path}/x.parquet").count() == 3
