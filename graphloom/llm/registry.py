@@ -8,6 +8,7 @@ from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .language_id import op7_language_id
 from .lm_scoring import op9_lm_score
 from .mixing import op8_mix
+from .piece_codec import op11_sentencepiece
 from .sharding import op6_shard
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .token_counts import op4_token_counts
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mix": op8_mix,
     "op9_lm_score": op9_lm_score,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 ORACLES = {
     "op2_substring_dedup": OP2_SQL,
