@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .conversation_repair import OP12_SQL, op12_conversation_repair
 from .decontamination import op3_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .jaccard_join import OP5_SQL, op5_jaccard_join
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_lm_score": op9_lm_score,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 ORACLES = {
     "op2_substring_dedup": OP2_SQL,
     "op5_jaccard_join": OP5_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
