@@ -5,6 +5,7 @@ from __future__ import annotations
 from .conversation_repair import OP12_SQL, op12_conversation_repair
 from .decontamination import op3_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .itemsets import OP13_SQL, op13_itemsets
 from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .language_id import op7_language_id
 from .lm_scoring import op9_lm_score
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_itemsets": op13_itemsets,
 }
 ORACLES = {
     "op2_substring_dedup": OP2_SQL,
     "op5_jaccard_join": OP5_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op12_conversation_repair": OP12_SQL,
+    "op13_itemsets": OP13_SQL,
 }
