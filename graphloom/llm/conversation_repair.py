@@ -211,10 +211,13 @@ class _Block:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order. A conversation that neither opens nor ends the partition and fits into one block is finished here."""
-    pid, held, now, begun, cut = TaskContext.get().partitionId(), [], None, 0, False
-    names = ("conv_id", "turn", "role", "text", "n", "blank", "seen", "ended")
+    pid, held, now, begun, cut, seen = TaskContext.get().partitionId(), [], None, 0, False, False
+    names = ("conv_id", "turn", "role", "text", "n", "blank", "ended", "seen")
     for batch in batches:
-        for conv, turn, role, text, n, blank, seen, ended in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+        for conv, turn, role, text, n, blank, ended, mark in zip(*(batch.column(x).to_pylist() for x in names), strict=True):
+            if mark:
+                seen = True
+                continue
             if now is not None and (now.conv != conv or now.full()):
                 same = now.conv == conv
                 held.append(now.row(pid, same or cut or begun == 1))
@@ -229,6 +232,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if n:
                     held.append(now.row(pid, True))
                     cut, now = True, _Block(conv, now.idx + 1)
+            seen = False
         if held:
             yield pa.RecordBatch.from_pylist(held, schema=_BLOCK)
             held = []
@@ -279,15 +283,18 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def ordered(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, n, blank, seen, ended: different rows in order over ranges, n of each. seen: the role and
-    text stood in an earlier turn."""
-    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("times").alias("n")).withColumn("digest", F.unhex(F.sha2("text", 256)))
+    """conv_id, turn, role, text, n, blank, ended, seen: different rows in order over ranges, n of each. A row with `seen` has no
+    text: it says that the next one's role and text stood in an earlier turn, so that texts move but twice."""
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    texts = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("times").alias("n"))
+    texts = texts.select("conv_id", "turn", "role", "text", "n", (~F.rlike("text", F.lit(_BLANK))).alias("blank"), F.rlike("text", F.lit(_ENDED)).alias("ended"), F.lit(False).alias("seen"), digest)
     turn = F.struct(F.isnotnull("turn").alias("some"), F.col("turn").alias("turn"))
-    often = rows.filter("n > 0").groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("digest").alias("d")).agg(F.min(turn).alias("first"), F.count("*").alias("m")).filter("m > 1")
-    met = rows.join(often, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("digest") == F.col("d")), "left")
-    marked = met.select("conv_id", "turn", "role", "text", "n", "digest", (~F.rlike("text", F.lit(_BLANK))).alias("blank"), F.coalesce(turn > F.col("first"), F.lit(False)).alias("seen"), F.rlike("text", F.lit(_ENDED)).alias("ended"))
+    short = rows.filter("times > 0").select("conv_id", "turn", "role", digest).distinct()
+    often = short.groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("digest").alias("d")).agg(F.min(turn).alias("first"), F.count("*").alias("m")).filter("m > 1")
+    again = short.join(often, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("digest") == F.col("d"))).filter(turn > F.col("first"))
+    marks = again.select("conv_id", "turn", "role", F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit(False), F.lit(False), F.lit(True), "digest")
     key = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role"), F.col("digest")]
-    return marked.repartitionByRange(*key).sortWithinPartitions(*key).drop("digest")
+    return texts.unionAll(marks).repartitionByRange(*key).sortWithinPartitions(*key, F.col("seen").desc()).drop("digest")
 
 
 def repair(conversations: DataFrame, times: str | None = None) -> DataFrame:
