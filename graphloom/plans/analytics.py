@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import code as C
+from ..operators import community as M
 from ..operators import graph as G
 from ..operators import history as H
 from ..operators import joins as J
@@ -65,8 +66,8 @@ def g05(spark: SS, sf: str) -> DataFrame:
 
 @query("G06_communities")
 def g06(spark: SS, sf: str) -> DataFrame:
-    """Labels have no SQL form; the tests check that communities are connected and no worse than singletons."""
-    return G.communities(J.cooccurrence(order_baskets(spark, sf), jaccard=0.0).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    """Communities have no SQL form; the tests check their modularity, that they are connected, and the same each time."""
+    return M.leiden(J.cooccurrence(order_baskets(spark, sf), jaccard=0.0).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 @query("G07_components", f"""WITH RECURSIVE {BASKETS_SQL}, p AS (SELECT x.item AS a, y.item AS b FROM baskets x JOIN baskets y ON x.basket = y.basket AND x.item < y.item GROUP BY 1, 2 HAVING count(*) >= 3), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
