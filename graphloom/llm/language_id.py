@@ -22,6 +22,8 @@ WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4, 5), 8, 8
 #: Documents to train on, and windows from each, at places chosen by hash.
 SAMPLE, PLACES = 5000, 3
 PIECE_BYTES = 256 << 10
+#: Windows that are looked at together.
+WINDOWS = 2048
 UNKNOWN = "und"
 
 
@@ -44,18 +46,19 @@ class Model:
         result = np.zeros((len(lengths), len(self.langs)), np.float32)
         if not total:
             return result
-        codes = np.zeros((total, WINDOW + 4), np.int32)
         first_window = np.concatenate([[0], np.cumsum(counts)])
-        at = np.arange(len(data)) - np.repeat(off[:-1], lengths)
-        codes[np.repeat(first_window[:-1], lengths) + at // WINDOW, at % WINDOW] = self.byte_class[data]
-        k = len(self.third)
-        pairs = codes[:, :-1] * k + codes[:, 1:]
-        r = self.first.take(pairs[:, :WINDOW], axis=0)
-        r += self.second.take(pairs[:, 2 : WINDOW + 2], axis=0)
-        wide = self.third.shape[1]
-        r[:, :, -wide:] += self.third.take(codes[:, 4:], axis=0)
-        best = np.maximum(r.max(axis=1) + self.bias, 0)
-        z = best @ self.out + self.out_bias
+        owner = np.repeat(np.arange(len(counts)), counts)
+        begin = off[:-1][owner] + (np.arange(total) - first_window[:-1][owner]) * WINDOW
+        end = np.minimum(begin + WINDOW, off[1:][owner])
+        k, wide, z = len(self.third), self.third.shape[1], np.empty((total, len(self.langs)), np.float32)
+        for w in range(0, total, WINDOWS):  # so a text of any length takes the memory of so many windows, and of their logits
+            at = begin[w : w + WINDOWS, None] + np.arange(WINDOW + 4)
+            codes = np.where(at < end[w : w + WINDOWS, None], self.byte_class[data[np.minimum(at, len(data) - 1)]], 0)
+            pairs = codes[:, :-1] * k + codes[:, 1:]
+            r = self.first.take(pairs[:, :WINDOW], axis=0)
+            r += self.second.take(pairs[:, 2 : WINDOW + 2], axis=0)
+            r[:, :, -wide:] += self.third.take(codes[:, 4:], axis=0)
+            z[w : w + WINDOWS] = np.maximum(r.max(axis=1) + self.bias, 0) @ self.out + self.out_bias
         some = counts > 0
         result[some] = np.add.reduceat(z, first_window[:-1][some], axis=0) / counts[some, None]
         return result
@@ -139,7 +142,7 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, most: int = SAMPLE)
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, lang, score for each row of docs.
 
-    Texts that are null or have no letter get `und` and score 0, as all do when nothing was learned. Repeated rows stay
+    Very long texts are read whole, WINDOWS windows at a time. Texts that are null or have no letter get `und` and score 0, as all do when nothing was learned. Repeated rows stay
     repeated; an empty table gives an empty result. Keys are integers.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
