@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import decontamination, jaccard_join, mixing, sharding, toxicity
@@ -42,14 +42,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     texts = stored(found.groupBy(F.col("id").alias("__dup_h"), F.col("component_id").alias("__dup_g")).agg(F.count("*").alias("n")))
     several = stored(texts.groupBy("__dup_g").agg(F.sum("n").alias("n")).filter("n > 1").select("__dup_g"))
     linked = stored(texts.select("__dup_h", "__dup_g").join(sized(several, FEW), "__dup_g"))
-    row = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*columns(docs)).alias("hash"))
+    row = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(columns(docs), docs.schema, strict=True)]).alias("hash"))
     marked = docs.withColumns({"__dup_h": text, "__dup_k": row}).join(sized(linked, FEW), "__dup_h", "left")
     keys = marked.filter("__dup_g IS NOT NULL").groupBy("__dup_g", "__dup_k").agg(F.count("*").alias("__dup_n"))
     first = stored(keys.groupBy("__dup_g").agg(F.min(F.struct("__dup_k", "__dup_n")).alias("__dup_f")))
     kept = marked.join(sized(first, FEW), "__dup_g", "left").filter("__dup_g IS NULL OR __dup_k <=> __dup_f.__dup_k")
     if first.filter("__dup_f.__dup_n > 1").limit(1).count():  # rows that are equal in all columns
         twin = F.coalesce(F.col("__dup_f.__dup_n") > 1, F.lit(False))
-        return kept.filter(~twin).select(columns(docs)).unionAll(kept.filter(twin).select(columns(docs)).distinct())
+        return kept.filter(~twin).select(columns(docs)).unionAll(kept.filter(twin).dropDuplicates(["__dup_g"]).select(columns(docs)))
     return kept.select(columns(docs))
 
 
@@ -64,15 +64,24 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target weight asks for; documents with no copy are left out.
 
-    Null doc_ids and sources are values like any other; a null or empty text has size 0. Rows of one doc_id, source and
-    size share a decision. An empty table stays empty. Columns of any name stay as they are, but for names that start
-    with __mix_.
+    Null doc_ids and sources are values like any other; a null or empty text has size 0. Of rows that repeat doc_id, text and
+    source, some may get a copy more than the others. An empty table stays empty. Columns of any name stay as they are, but for
+    names that start with __mix_.
     """
-    taken = mixing.copies(stored(mixing.sizes(docs))).filter("copies > 0")
-    decided = taken.select(F.col("id").alias("__mix_id"), F.col("source").alias("__mix_source"), F.col("size").alias("__mix_size"), F.col("copies").alias("__mix_copies")).distinct()
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = docs["doc_id"].eqNullSafe(F.col("__mix_id")) & docs["source"].eqNullSafe(F.col("__mix_source")) & (size == F.col("__mix_size"))
-    return docs.join(sized(stored(decided), FEW), key).withColumn("__mix_i", F.explode(F.sequence(F.lit(1), "__mix_copies"))).select(columns(docs))
+    marked = docs.withColumns({"__mix_id": F.xxhash64("doc_id", "text"), "__mix_size": size})
+    rows = stored(marked.select(F.col("__mix_id").alias("id"), "source", F.col("__mix_size").alias("size")))
+    key = [F.col("id").alias("__mix_i"), F.col("source").alias("__mix_s"), F.col("size").alias("__mix_z")]
+    low = mixing.copies(rows).groupBy(*key).agg(F.min("copies").alias("__mix_low"), F.max("copies").alias("__mix_top"), F.sum("n").alias("__mix_n"), F.max_by("n", "copies").alias("__mix_up"))
+    decided = stored(low.filter("__mix_top > 0"))
+    met = (F.col("__mix_id") == F.col("__mix_i")) & F.col("source").eqNullSafe(F.col("__mix_s")) & (F.col("__mix_size") == F.col("__mix_z"))
+    dealt = marked.join(sized(decided, FEW), met)
+    alike = F.row_number().over(Window.partitionBy("__mix_i", "__mix_s", "__mix_z").orderBy("doc_id"))
+    # the few rows that are alike and do not all get as many copies are numbered
+    one = dealt.filter("__mix_low = __mix_top").withColumn("__mix_c", F.col("__mix_top"))
+    more = dealt.filter("__mix_low < __mix_top").withColumn("__mix_c", F.when(alike <= F.col("__mix_up"), F.col("__mix_top")).otherwise(F.col("__mix_low")))
+    both = one.unionByName(more).filter("__mix_c > 0")
+    return both.withColumn("__mix_c", F.explode(F.sequence(F.lit(1), "__mix_c"))).select(columns(docs))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,8 +76,9 @@ def _fold(seed: int) -> str:
 def copies(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, fan_in: int = FAN_IN, seed: int = SEED) -> DataFrame:
     """rows (id, source, size) with source_size, target and copies, an int from 0 to ceil(most).
 
-    Rows equal in all three columns share a decision and are one record of n times the size. A record of size 0 takes
-    no mass; it gets the whole copies of its source. A null id is a key like any other, a null size counts as 0.
+    n rows equal in all three columns are one record: of the n * p extra copies that they are due, the whole ones are given, and
+    one row takes part with the rest. So records of one key may differ by a copy. A record of size 0 takes no mass; it gets the whole
+    copies of its source. A null id is a key like any other, a null size counts as 0.
     Equal seeds give equal results. `rows` is read several times: pass a stored table.
     """
     rows = rows.select("id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
@@ -90,12 +91,16 @@ def copies(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float
     items = items.withColumn("h", h).withColumn("block", F.pmod(F.col("h"), F.col("nb")))
     fixed = ["source", "base", "source_size", "target"]
     units = items.repartition("source", "block").groupBy(*fixed, "block", "id", "size", "h", "p").agg(F.count("*").alias("n"))
-    item = F.struct(F.col("id").cast("long").alias("id"), F.col("size").alias("s"), "n", (F.col("size") * F.col("n")).cast("double").alias("m"), "p", "h")
+    due = F.col("n") * F.col("p")
+    units = units.withColumn("sure", F.floor(due + 1e-9)).withColumn("open", F.when(due - F.col("sure") > 1e-9, 1).otherwise(0)).withColumn("p", due - F.col("sure"))
     light = F.col("size") == 0
     idle = units.filter(light).select("id", "size", "n", *fixed, F.lit(0).alias("up"))
-    packed = units.filter(~light).groupBy(*fixed, "block").agg(F.sort_array(F.collect_list(F.struct("h", item.alias("i")))).alias("s"))
+    sure = units.filter(~light & (F.col("n") > 1)).select("id", "size", *fixed, F.explode(F.array(F.struct(F.col("sure").alias("n"), F.lit(1).alias("up")), F.struct((F.col("n") - F.col("sure") - F.col("open")).alias("n"), F.lit(0).alias("up")))).alias("u"))
+    sure = sure.select("id", "size", F.col("u.n").cast("long").alias("n"), *fixed, F.col("u.up").alias("up")).filter("n > 0")
+    item = F.struct(F.col("id").cast("long").alias("id"), F.col("size").alias("s"), F.lit(1).cast("long").alias("n"), F.col("size").cast("double").alias("m"), "p", "h")
+    packed = units.filter(~light & ((F.col("n") == 1) | (F.col("open") == 1))).groupBy(*fixed, "block").agg(F.sort_array(F.collect_list(F.struct("h", item.alias("i")))).alias("s"))
     packed = packed.withColumn("items", F.col("s")["i"]).drop("s")
-    done, level, spread = [idle], 0, -(-top // fan_in)
+    done, level, spread = [idle, sure], 0, -(-top // fan_in)
     while True:
         folded = stored(packed.withColumn("f", F.expr(_fold(seed + level))).select(*fixed, "block", "f"))
         done.append(folded.select(*fixed, F.explode("f.out").alias("d")).select(F.col("d.id").alias("id"), F.col("d.s").alias("size"), F.col("d.n").alias("n"), *fixed, F.col("d.up").alias("up")))
