@@ -142,12 +142,13 @@ def search(h: np.ndarray, off: np.ndarray, percent: int = PERCENT, slack: int =
 # --- 1. sets and classes ---------------------------------------------------------------------------
 
 
-def _sets(width: int):
+def _sets(width: int, texts: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", BLOCK_BYTES):
             h, off = shingles(block.column("text"), width)
             one, two = _signature(h, off)
-            yield pa.RecordBatch.from_arrays([block.column("id"), pa.array(np.diff(off)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["id", "n", "cid", "sig"])
+            out = [block.column("id"), pa.array(np.diff(off)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *[block.column("text")] * texts]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "n", "cid", "sig", *["text"] * texts])
 
     return run
 
@@ -301,13 +302,19 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: in
     loose = components(rows.mapInArrow(_spread(plan_ranges(counts, partitions), percent, width), "grp int, cids binary, sizes binary, hashes binary").groupBy("grp").applyInArrow(_candidates(percent), "a long, b long"))
 
     # loose clusters, as nodes with the texts' keys; the hub of a cluster is its smallest key
-    clustered = loose.unionAll(loose.select(F.col("root").alias("node"), "root")).distinct().join(classes.select(F.col("cid").alias("node"), "rep", "n"), "node")
+    clustered = loose.unionAll(loose.select(F.col("root").alias("node"), "root")).distinct().join(classes.select(F.col("cid").alias("node"), "rep", "n", "sig"), "node")
     sums = clustered.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("total"), F.min("rep").alias("hub"))
     in_blocks = F.greatest(F.ceil(F.col("size") / CLUSTER_BLOCK), F.ceil(F.col("total") / BLOCK_HASHES)).cast("long")
-    need = stored(clustered.join(sums, "root").groupBy(F.col("rep").alias("id"), F.col("root").alias("comp"), in_blocks.alias("blocks"), "hub").agg(F.sum("n").alias("n")))
-    load = need.agg(F.sum("n")).first()[0] or 0
-    need = need.drop("n")
-    found = rows.join(sized(need, BROADCAST_ROWS), "id").withColumn("mark", F.xxhash64("text"))
+    members = stored(clustered.join(sums, "root").select(F.col("rep").alias("id"), "n", F.col("node").alias("cid"), "sig", F.col("root").alias("comp"), in_blocks.alias("blocks"), "hub"))
+    load = members.agg(F.sum("n")).first()[0] or 0
+    need = members.groupBy("id", "comp", "blocks", "hub").agg(F.count("*").alias("classes"))
+    met = stored(need.join(need.groupBy("id").agg(F.count("*").alias("comps")), "id"))
+    found = rows.join(sized(met.filter("comps = 1").select("id", "comp", "blocks", "hub"), BROADCAST_ROWS), "id")
+    several = met.filter("comps > 1")
+    if several.limit(1).count():  # of a key in several clusters, each text goes to its own class's alone
+        texts = rows.join(sized(stored(several.select("id").distinct()), BROADCAST_ROWS), "id", "left_semi").mapInArrow(_sets(width, True), "id long, n long, cid long, sig long, text string")
+        found = found.unionByName(texts.join(sized(members, BROADCAST_ROWS), ["id", "n", "cid", "sig"]).select("id", "text", "comp", "blocks", "hub"))
+    found = found.withColumn("mark", F.xxhash64("text"))
     # rows that repeat a key and its text are one, combined before the shuffle
     texts = found.groupBy("id", "comp", "blocks", "hub", "mark").agg(F.first("text").alias("text")).select("id", "comp", "blocks", "hub", "text")
     n_groups = max(4 * partitions, -(-load // GROUP_HASHES))
