@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import history as H
+from ..operators import inverted as I
 from ..operators import joins as J
 from ..operators import search as S
 from ..operators import verify as V
 from ..sources.tables import BASKETS_SQL, order_baskets, supply_edges, table
 from .registry import query
+from .scratch import folder
 
 SS = SparkSession
 
@@ -496,6 +500,20 @@ def o01(spark: SS, sf: str) -> DataFrame:
     return S.bm25(table(spark, sf, "documents"), "doc_id", "text", ["with", "this"]).withColumn("score", F.round("score", 6))
 
 
+_SEARCHES = {"two": ["with", "this"], "rare": ["the", "zu", "les"], "none": ["qqqq", "of"]}
+
+
+@query("O01_ranked_index", f"""WITH q(search, term) AS (VALUES {", ".join(f"('{n}', '{t}')" for n, ts in _SEARCHES.items() for t in ts)}), d AS (SELECT doc_id, {_TOK} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
+f AS (SELECT search, term, doc_id, len(t) AS len, len(list_filter(t, lambda x: x = term)) AS tf FROM d, q), g AS (SELECT *, count(*) OVER (PARTITION BY search, term) AS df FROM f WHERE tf > 0),
+r AS (SELECT search, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS score FROM g, s GROUP BY 1, 2)
+SELECT search, doc_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY search ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 20""")
+def o01_index(spark: SS, sf: str) -> DataFrame:
+    """Three searches of one stored index."""
+    path = I.build(table(spark, sf, "documents"), "doc_id", "text", folder(spark))
+    found = [I.search(spark, path, terms, 20).select(F.lit(name).alias("search"), F.col("key").alias("doc_id"), "score", "rank") for name, terms in _SEARCHES.items()]
+    return reduce(DataFrame.unionAll, found)
+
+
 @query("O02_two_tier", "WITH f AS (SELECT p_partkey AS k FROM part WHERE p_name = 'small ring'), s AS (SELECT p_partkey AS k FROM part WHERE contains(p_name, 'ring') AND p_partkey NOT IN (SELECT k FROM f)) SELECT k, tier FROM (SELECT k, 0 AS tier FROM f UNION ALL SELECT k, 1 FROM s) ORDER BY tier, k LIMIT 60")
 def o02(spark: SS, sf: str) -> DataFrame:
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), "p_name")
