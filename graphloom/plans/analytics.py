@@ -56,7 +56,7 @@ def g04(spark: SS, sf: str) -> DataFrame:
 
 @query("O03_hotspots", f"""WITH RECURSIVE {_STEPS2}, r(root, node, depth) AS (SELECT DISTINCT src, dst, 1 FROM steps UNION SELECT root, dst, depth + 1 FROM r JOIN steps ON src = node WHERE depth < 5) SELECT root, count(DISTINCT node) AS n FROM r GROUP BY 1 ORDER BY n DESC, root LIMIT 10""")
 def o03(spark: SS, sf: str) -> DataFrame:
-    return g04(spark, sf).orderBy(F.col("n").desc(), "root").limit(10)
+    return G.most_reaching(part_steps(spark, sf), 5, 10)
 
 
 @query("G05_strong_components", f"""WITH RECURSIVE {_STEPS2}, r(a, b) AS (SELECT DISTINCT src, dst FROM steps UNION SELECT a, dst FROM r JOIN steps ON src = b) SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1 HAVING count(DISTINCT x.b) > 1""")
@@ -79,7 +79,7 @@ def g07(spark: SS, sf: str) -> DataFrame:
 @query("G08_effect_fixpoint", f"""WITH RECURSIVE {_STEPS2}, r(node, effect) AS (SELECT p_partkey, p_type FROM part WHERE p_size <= 3 UNION SELECT src, effect FROM r JOIN steps ON dst = node) SELECT node, array_to_string(list(effect ORDER BY effect), ',') AS effects FROM r GROUP BY 1""")
 def g08(spark: SS, sf: str) -> DataFrame:
     seeds = table(spark, sf, "part").filter("p_size <= 3").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("effect"))
-    return G.spread_effects(part_steps(spark, sf), seeds).groupBy("node").agg(F.array_join(F.sort_array(F.collect_set("effect")), ",").alias("effects"))
+    return G.effect_sets(part_steps(spark, sf), seeds).select("node", F.array_join("effects", ",").alias("effects"))
 
 
 @query("G09_taint_hops", f"""WITH RECURSIVE {_STEPS2}, r(node, depth) AS (SELECT p_partkey, 0 FROM part WHERE contains(p_name, 'ring') UNION SELECT dst, depth + 1 FROM r JOIN steps ON src = node WHERE depth < 5) SELECT node, CAST(min(depth) AS INTEGER) AS hops FROM r GROUP BY 1""")
