@@ -124,25 +124,6 @@ def check_conventions(symbols: DataFrame, conventions: DataFrame) -> DataFrame:
     return symbols.join(c, ["community", "dimension"]).withColumn("verdict", F.when(F.col("value") == F.col("expected"), "match").otherwise("deviation"))
 
 
-def cross_service(requests: DataFrame, routes: DataFrame) -> DataFrame:
-    """For each request (id, package, method, path) the best route (route, package, method, path) of another package.
-
-    Tiers: equal paths, equal up to parameters, a prefix of two segments or more; methods agree where both are set. Ties
-    go to the least route. Requests and routes meet on their first literal segment or, for templates, on their length.
-    """
-    seg = lambda c: F.filter(F.split(c, "/"), lambda s: s != "")
-    wild = lambda s: s.rlike(r"^(:.+|\{.+\}|\*)$")
-    keys = lambda s: F.array(F.concat(F.lit("n"), F.size(s).cast("string")), F.concat(F.lit("p"), F.array_join(F.slice(s, F.lit(1), F.lit(2)), "/")))
-    q = requests.withColumn("_q", seg("path")).withColumn("_k", F.explode(keys(F.col("_q"))))
-    r = routes.select(F.col("route"), F.col("package").alias("r_package"), F.col("method").alias("r_method"), F.col("path").alias("r_path"), seg("path").alias("_r")).withColumn("_k", F.explode(keys(F.col("_r"))))
-    pair = q.join(r, "_k").filter("package <> r_package").filter((F.coalesce("method", F.lit("")) == "") | (F.coalesce("r_method", F.lit("")) == "") | (F.upper("method") == F.upper("r_method")))
-    fits = (F.size("_q") == F.size("_r")) & F.forall(F.zip_with("_q", "_r", lambda a, b: a.eqNullSafe(b) | F.coalesce(wild(b), F.lit(False))), lambda x: x)
-    prefix = (F.size("_r") >= 2) & (F.slice("_q", F.lit(1), F.size("_r")) == F.col("_r"))
-    tier = F.when(F.col("_q") == F.col("_r"), 3).when(fits, 2).when(prefix, 1)
-    best = pair.withColumn("tier", tier).filter("tier IS NOT NULL").groupBy("id").agg(F.min(F.struct((-F.col("tier")).alias("t"), "route")).alias("m"))
-    return best.select("id", F.col("m.route").alias("route"), (-F.col("m.t")).alias("tier"))
-
-
 def annotate_runtime(symbols: DataFrame, spans: DataFrame, cover: DataFrame, cpu: DataFrame) -> DataFrame:
     """symbols with runtime_frequency and cpu_pct by name, and coverage by suffix of the file's path; unknown is null."""
     from .joins import suffix_join

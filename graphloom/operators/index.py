@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.schema import CALLABLE
+from . import routes as routes_
 
-#: Directory names that a walk leaves out, by strictness; a stricter mode has those of the laxer ones too. Fixed values.
+#: Directory names that a walk leaves out, by strictness; a stricter mode has those of the laxer ones too. The library's own.
 SKIP_FULL = ".git .svn .hg node_modules __pycache__ .venv venv .idea .vscode .cache".split()
 SKIP_MODERATE = "vendor dist build target out bin obj coverage third_party".split()
 SKIP_FAST = "docs doc examples example test tests testdata fixtures".split()
-#: Words that speak for a kind of task. Fixed values.
+#: Words that speak for a kind of task. The library's own.
 TASK_WORDS = {"fix_bug": ["fix", "bug", "error", "crash", "fail"], "refactor": ["refactor", "clean up", "extract", "rename"], "add_feature": ["add", "implement", "create", "new feature"], "explain": ["explain", "what is", "how does", "why"], "test": ["test", "coverage", "unit test"], "review": ["review", "audit", "inspect"]}
 
 
@@ -198,14 +199,11 @@ def route_graph(routes: DataFrame, calls: DataFrame) -> tuple[DataFrame, DataFra
     r = routes.withColumn("qualified", node)
     nodes = r.groupBy("qualified").agg(F.min_by(F.struct("file", "line"), F.struct("file", "line")).alias("at"), F.min(F.concat("method", F.lit(" "), "path")).alias("name")).select("qualified", "name", "at.file", "at.line")
     handles = r.filter("handler IS NOT NULL").select(F.col("qualified").alias("source"), F.col("handler").alias("target"), F.lit("handles").alias("kind"), F.lit("unresolved").alias("resolution")).distinct()
-    seg = lambda c: F.filter(F.split(c, "/"), lambda s: s != "")
-    wild = lambda s: s.rlike(r"^(:.+|\{.+\}|\*)$")
-    # paths meet by length and first literal segment; a route whose first segment is a parameter is met by length alone
-    head = lambda s: F.coalesce(F.get(s, F.lit(0)), F.lit(""))
-    c = calls.withColumn("_c", seg(T.url_path(F.col("url")))).withColumn("_k", F.explode(F.array_distinct(F.array(F.concat_ws("/", F.size("_c").cast("string"), head(F.col("_c"))), F.concat(F.size("_c").cast("string"), F.lit("/*"))))))
-    t = r.select("qualified", F.col("method").alias("_m"), seg("path").alias("_r")).distinct().withColumn("_k", F.concat_ws("/", F.size("_r").cast("string"), F.when(wild(head(F.col("_r"))), "*").otherwise(head(F.col("_r")))))
-    fits = F.forall(F.zip_with("_c", "_r", lambda a, b: (a == b) | wild(b)), lambda x: x)
-    hit = c.join(t, "_k").filter(((F.col("method") == "") | (F.col("_m") == "*") | (F.col("method") == F.col("_m"))) & fits)
+    # different paths walk a trie of the routes, so those that begin alike do not meet all at one key
+    c = calls.withColumn("_p", T.url_path(F.col("url")))
+    shapes = r.select("qualified", F.col("method").alias("_m"), routes_.segments(F.col("path")).alias("_r")).distinct()
+    fits = routes_.matches(c.select("_p").distinct().withColumn("_c", routes_.segments(F.col("_p"))), "_c", shapes, "_r").select("_p", "qualified", "_m")
+    hit = c.join(fits, "_p").filter((F.col("method") == "") | (F.col("_m") == "*") | (F.col("method") == F.col("_m")))
     http = hit.groupBy("caller", "url").agg(F.min("qualified").alias("target")).select(F.col("caller").alias("source"), "target", F.lit("http_calls").alias("kind"), F.lit("inferred").alias("resolution")).distinct()
     return nodes, handles.unionAll(http)
 

@@ -109,28 +109,6 @@ def field_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str])
     return o.join(n, key).select(key, F.explode(changed).alias("d")).select(key, "d.*")
 
 
-def match_templates(paths: DataFrame, templates: DataFrame) -> DataFrame:
-    """The first template (ordinal, template) that fits a path (id, path): equal segments, any segment for :x, {x} or *.
-
-    Paths and templates meet by number of segments and first two literal ones, a parameter standing for any; the rest is one
-    expression.
-    """
-    wild = lambda s: s.rlike(r"^(:.+|\{.+\}|\*)$")
-    nth = lambda c, i: F.lower(F.coalesce(F.get(F.filter(c, lambda s: s != ""), F.lit(i)), F.lit("")))
-    key = lambda c, a, b: F.concat_ws("/", F.size(c).cast("string"), a, b)
-    any_ = F.lit("*")
-    p = paths.withColumn("_s", F.split("path", "/"))
-    first, second = nth(F.col("_s"), 0), nth(F.col("_s"), 1)
-    p = p.withColumn("_k", F.explode(F.array_distinct(F.array(*[key(F.col("_s"), a, b) for a in (first, any_) for b in (second, any_)]))))
-    t = templates.withColumn("_t", F.split("template", "/"))
-    head = lambda i: F.when(wild(nth(F.col("_t"), i)), any_).otherwise(nth(F.col("_t"), i))
-    t = t.withColumn("_k", key(F.col("_t"), head(0), head(1)))
-    fits = F.forall(F.zip_with("_s", "_t", lambda s, u: (F.lower(s) == F.lower(u)) | wild(u)), lambda x: x)
-    hit = p.join(t, "_k").filter(fits)
-    best = hit.groupBy("id", "path").agg(F.min(F.struct("ordinal", "template")).alias("m"))
-    return best.select("id", "path", "m.ordinal", "m.template")
-
-
 def innermost(points: DataFrame, spans: DataFrame, bucket: int) -> DataFrame:
     """For each point (grp, at) the covering span (grp, start, end, name) that starts last, end exclusive.
 

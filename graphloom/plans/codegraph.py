@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import code as C
 from ..operators import joins as J
+from ..operators import routes
 from ..operators import verify as V
 from ..sources import formats as R
 from ..sources import sinks as K
@@ -51,7 +52,7 @@ SELECT id, CASE WHEN len(s) = 2 AND s[1] = 'fr' THEN 2::BIGINT ELSE 1::BIGINT EN
 def j18(spark: SS, sf: str) -> DataFrame:
     q = table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.lit("web").alias("package"), F.lit("").alias("method"), F.regexp_replace(F.substring_index("url", "?", 1), "^[a-z]+://[^/]+", "").alias("path"))
     r = spark.createDataFrame([(1, "svc", "GET", "/en/:id"), (2, "svc", "GET", "/fr/{id}"), (3, "web", "GET", "/*/*")], "route long, package string, method string, path string")
-    return C.cross_service(q, r)
+    return routes.cross_service(q, r)
 
 
 @query("J21_symmetric_related", "SELECT id, other, round(max(s), 6) AS score FROM (SELECT src AS id, dst AS other, n / (n + 1.0) AS s FROM steps UNION ALL SELECT dst, src, n / (n + 1.0) FROM steps) WHERE s >= 0.7 GROUP BY 1, 2".replace("SELECT id", f"WITH {STEPS_SQL.format(least=1)} SELECT id", 1))

@@ -11,6 +11,7 @@ from ..functions import text as T
 from ..operators import history as H
 from ..operators import inverted as I
 from ..operators import joins as J
+from ..operators import routes as R
 from ..operators import search as S
 from ..operators import verify as V
 from ..sources.tables import BASKETS_SQL, order_baskets, supply_edges, table
@@ -197,7 +198,7 @@ _PATH = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '^[A-
 FROM (SELECT page_id, CASE WHEN p = '' THEN '/' ELSE p END AS path, string_split(CASE WHEN p = '' THEN '/' ELSE p END, '/') AS s FROM (SELECT page_id, {_PATH} AS p FROM pages)) WHERE len(s) = 3 AND s[1] = ''""")
 def j17(spark: SS, sf: str) -> DataFrame:
     paths = table(spark, sf, "pages").select(F.col("page_id").alias("id"), T.url_path(F.col("url")).alias("path"))
-    return J.match_templates(paths, spark.createDataFrame([(0, "/en/{id}"), (1, "/:lang/*")], "ordinal int, template string"))
+    return R.match_templates(paths, spark.createDataFrame([(0, "/en/{id}"), (1, "/:lang/*")], "ordinal int, template string"))
 
 
 _CO = f"""WITH {BASKETS_SQL}, ok AS (SELECT basket FROM baskets GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50), b AS (SELECT * FROM baskets JOIN ok USING (basket)), s AS (SELECT item, count(*) AS n FROM b GROUP BY 1),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import checkers as Q
+from graphloom.operators import routes
 from graphloom.operators import code as C
 from graphloom.operators import history as H
 from graphloom.sources import formats as R
@@ -76,7 +77,7 @@ def test_rules_match_files(spark):
 def test_cross_service(spark):
     q = spark.createDataFrame([(1, "web", "GET", "/api/users/7"), (2, "web", "GET", "/api/users"), (3, "web", "POST", "/api/users"), (4, "svc", "GET", "/api/users")], "id long, package string, method string, path string")
     r = spark.createDataFrame([(10, "svc", "GET", "/api/users"), (11, "svc", "GET", "/api/users/{id}"), (12, "svc", "", "/api/users")], "route long, package string, method string, path string")
-    assert rows(C.cross_service(q, r)) == [(1, 11, 2), (2, 10, 3), (3, 12, 3)]
+    assert rows(routes.cross_service(q, r)) == [(1, 11, 2), (2, 10, 3), (3, 12, 3)]
 
 
 def test_runtime(spark, symbols):

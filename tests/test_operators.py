@@ -11,6 +11,7 @@ from graphloom.functions import text as T
 from graphloom.operators import graph as G
 from graphloom.operators import history as H
 from graphloom.operators import joins as J
+from graphloom.operators import routes
 from graphloom.operators import search as S
 from graphloom.operators import verify as V
 from graphloom.sources import formats as R
@@ -113,7 +114,7 @@ def test_cooccurrence_bounds(spark):
 
 def test_templates_first_match(spark):
     paths = spark.createDataFrame([(1, "/a/7"), (2, "/A/B"), (3, "/a/b/c")], "id long, path string")
-    got = rows(J.match_templates(paths, spark.createDataFrame([(0, "/a/b"), (1, "/a/:x"), (2, "/*/{y}/*")], "ordinal int, template string")))
+    got = rows(routes.match_templates(paths, spark.createDataFrame([(0, "/a/b"), (1, "/a/:x"), (2, "/*/{y}/*")], "ordinal int, template string")))
     assert got == [(1, "/a/7", 1, "/a/:x"), (2, "/A/B", 0, "/a/b"), (3, "/a/b/c", 2, "/*/{y}/*")]
 
 

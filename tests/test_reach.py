@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from graphloom.operators import graph as G
+from graphloom.operators import routes
 
 
 def reached(edges, depth):
@@ -40,3 +41,23 @@ def test_effects_of_cycles_and_levels(spark):
     want = {n: sorted({e for m, e in seeds if m == n or m in reach.get(n, ())}) for n in {*range(60), 70, 71, 99}}
     got = {r.node: r.effects for r in G.effect_sets(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame(seeds, "node long, effect string")).collect()}
     assert got == {n: e for n, e in want.items() if e}
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_many_templates_under_one_segment(spark, monkeypatch, few):
+    monkeypatch.setattr(routes, "FEW", few)
+    rng = random.Random(11)
+    seg = lambda: rng.choice(["users", "Items", ":id", "{x}", "*", "v1", "v2"])
+    n = 10_000 if few else 300
+    templates = [(i, "/api/" + "/".join(seg() for _ in range(rng.randrange(1, 5))) + ("" if i % 3 else f"/t{i}")) for i in range(n)]
+    paths = [(i, "/api/" + "/".join(rng.choice(["users", "items", "V1", "other", f"t{rng.randrange(n)}"]) for _ in range(rng.randrange(1, 6)))) for i in range(300)] + [(300, None), (301, ""), (302, "/")]
+    wild = lambda s: s == "*" or (s[:1] == ":" and len(s) > 1) or (s[:1] + s[-1:] == "{}" and len(s) > 2)
+    want = set()
+    for i, p in paths:
+        for o, t in templates:
+            a, b = (p or "").lower().split("/"), t.split("/")
+            if p is not None and len(a) == len(b) and all(wild(y) or x == y.lower() for x, y in zip(a, b)):
+                want.add((i, p, o, t))
+                break
+    got = routes.match_templates(spark.createDataFrame(paths, "id long, path string"), spark.createDataFrame(templates, "ordinal long, template string"))
+    assert {tuple(r) for r in got.collect()} == want
