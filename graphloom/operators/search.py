@@ -13,13 +13,6 @@ from ..functions import text as T
 from ..plans.scratch import written
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf, len): an inverted index."""
-    words = docs.select(key, F.explode(T.word_tokens(F.col(text))).alias("term"))
-    tf = words.groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return tf.join(words.groupBy(key).agg(F.count("*").alias("len")), key)
-
-
 def bm25(docs: DataFrame, key: str, text: str, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(key, score) of rows that hold a term, a run of a-z and 0-9 in lower case.
 
@@ -118,33 +111,50 @@ def pack(items: DataFrame, group: str, key: str, score: str, cost: str, budget:
 
 
 def random_index(docs: DataFrame, key: str, text: str, dims: int = 768, nonzero: int = 8, window: int = 5) -> DataFrame:
-    """(key, vector): the sum of sparse random vectors of the words near each word, by hashes of the words."""
+    """(key, vector): the sum of sparse random vectors of the words near each word, by hashes of the words.
+
+    A word counts once for each neighbour it has, so a text is a row of counts, and vectors are that sparse matrix times the words'
+    projection: one sum over (text, word, nonzero) entries for some texts at a time. Null texts have no words and a vector of
+    zeros. Keys are integers; a worker keeps 200,000 words at most.
+    """
     import hashlib
 
     import numpy as np
 
-    def vector(word: str) -> np.ndarray:
-        seed = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-        rng, v = np.random.default_rng(seed), np.zeros(dims)
-        at = rng.choice(dims, nonzero, replace=False)
-        v[at[: nonzero // 2]], v[at[nonzero // 2 :]] = 1.0, -1.0
-        return v
+    def places(word: str) -> np.ndarray:
+        """`nonzero` different dimensions, the first half of which get 1 and the rest -1."""
+        out: list[int] = []
+        seed = word.encode()
+        while len(out) < nonzero:
+            seed = hashlib.blake2b(seed, digest_size=64).digest()
+            out += [x for x in dict.fromkeys((np.frombuffer(seed, np.uint32) % dims).tolist()) if x not in out]
+        return np.array(out[:nonzero])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, np.ndarray] = {}
+        number: dict[str, int] = {}
+        table = np.zeros((1024, nonzero), np.int64)
+        sign = np.where(np.arange(nonzero) < nonzero // 2, 1.0, -1.0)
         for pdf in frames:
-            out = []
-            for words in pdf.ts:
-                for w in set(words):
-                    if w not in cache:
-                        if len(cache) > 50_000:
-                            cache.clear()
-                        cache[w] = vector(w)
-                total, n = np.zeros(dims), len(words)
-                for j, w in enumerate(words):  # a word counts once for each neighbour it has
-                    total += cache.get(w, vector(w)) * (min(n - 1, j + window) - max(0, j - window))
-                out.append(total.tolist())
-            yield pd.DataFrame({"id": pdf.id, "vector": out})
+            for at in range(0, len(pdf), 256):  # so many vectors are summed up at a time
+                some = pdf.iloc[at : at + 256]
+                if len(number) > 200_000:
+                    number.clear()
+                for w in set().union(*some.ts):
+                    if w not in number:
+                        if len(number) == len(table):
+                            table = np.concatenate([table, np.zeros_like(table)])
+                        table[len(number)] = places(w)
+                        number[w] = len(number)
+                n = np.array([len(t) for t in some.ts])
+                ids = np.array([number[w] for t in some.ts for w in t], np.int64)
+                row = np.repeat(np.arange(len(some)), n)
+                j = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+                near = np.minimum(n[row] - 1, j + window) - np.maximum(0, j - window)
+                pair, where = np.unique(row * np.int64(1 << 32) + ids, return_inverse=True)
+                count = np.bincount(where, near, len(pair))
+                cell = (pair >> 32)[:, None] * dims + table[pair & 0xFFFFFFFF]
+                sums = np.bincount(cell.ravel(), (count[:, None] * sign).ravel(), len(some) * dims).reshape(len(some), dims)
+                yield pd.DataFrame({"id": some.id, "vector": list(sums)})
 
     rows = docs.select(F.col(key).cast("long").alias("id"), T.word_tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
     return rows.mapInPandas(run, "id long, vector array<double>").withColumnRenamed("id", key)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import written
+
 BINARY = "png jpg jpeg gif ico pdf zip gz tar jar exe dll so dylib class o a woff woff2 ttf mp3 mp4 wasm".split()
 DOCS = "md rst txt adoc".split()
 CODE = "go py ts tsx js jsx java rs rb php cs kt c h cpp cc hpp swift".split()
@@ -52,12 +54,20 @@ def merge_files(old: DataFrame, new: DataFrame, removed: DataFrame) -> DataFrame
 def git_commits(lines: DataFrame, log: str | None = None) -> DataFrame:
     """(commit_id, files) from log lines (pos, value): a 40-digit line opens a commit, other lines are its files.
 
-    log: a column that names the log, where lines of many come together; each log is then read by itself.
+    log: a column that names the log, where lines of many come together; each log is then read by itself. A log of any length is
+    spread over ranges of its positions: each range is read by itself, and what was open at the end of those before it, one row a
+    range, is carried to its first lines. Lines before the first commit belong to none.
     """
-    w = Window.partitionBy(log).orderBy("pos") if log else Window.orderBy("pos")
-    head = F.col("value").rlike("^[0-9a-f]{40}$")
-    run = lines.withColumn("n", F.sum(head.cast("int")).over(w)).withColumn("head", head)
-    return run.groupBy(*[log] * bool(log), "n").agg(F.max(F.when(F.col("head"), F.col("value"))).alias("commit_id"), F.sort_array(F.collect_set(F.when(~F.col("head") & (F.trim("value") != ""), F.col("value")))).alias("files")).filter("commit_id IS NOT NULL").select("commit_id", "files")
+    value = F.col("value")
+    rows = lines.select((F.col(log) if log else F.lit(0)).alias("_log"), "pos", "value")
+    laid = written(rows.repartitionByRange("_log", "pos").sortWithinPartitions("_log", "pos").withColumn("_part", F.spark_partition_id()))
+    head = F.when(value.rlike("^[0-9a-f]{40}$"), F.struct("pos", "value"))
+    here = laid.withColumn("_is", head.isNotNull()).withColumn("_here", F.last(head, ignorenulls=True).over(Window.partitionBy("_log", "_part").orderBy("pos")))
+    ends = laid.groupBy("_log", "_part").agg(F.max(head).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy("_log").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    run = here.join(ends.select("_log", "_part", before.alias("_before")), ["_log", "_part"]).withColumn("_c", F.coalesce("_here", "_before")).filter("_c IS NOT NULL")
+    files = F.sort_array(F.collect_set(F.when(~F.col("_is") & (F.trim("value") != ""), value)))
+    return run.groupBy("_log", F.col("_c.pos").alias("_at"), F.col("_c.value").alias("commit_id")).agg(files.alias("files")).select("commit_id", "files")
 
 
 def span_counts(spark: SparkSession, path: str) -> DataFrame:

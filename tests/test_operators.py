@@ -173,6 +173,40 @@ def test_random_index_by_loop(spark):
     assert set(got) == {1, 2, 3} and got[2] == got[3] == [0.0] * 16
     one = {r.id: np.array(r.vector) for r in S.random_index(spark.createDataFrame([(1, "aa bb"), (2, "bb cc")], "id long, text string"), "id", "text", dims=16, window=1).collect()}
     assert np.abs(one[1]).sum() > 0 and np.array(got[1]).sum() == pytest.approx(0)
+    # each word's vector from a text in which it stands beside one neighbour of its own, then all texts by the loop
+    rng, words = np.random.default_rng(1), [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(words, n)) for n in (1, 2, 3, 9, 40, 300)] * 60
+    twice = {r.id: np.array(r.vector) / 2 for r in S.random_index(spark.createDataFrame([(i, f"{w} {w}") for i, w in enumerate(words)], "id long, text string"), "id", "text", dims=64).collect()}
+    assert all(sorted(v[v != 0]) == [-1] * 4 + [1] * 4 for v in twice.values())
+    got = {r.id: np.array(r.vector) for r in S.random_index(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), "id", "text", dims=64, window=3).collect()}
+    for i, t in enumerate(texts[:12]):
+        ws = t.split()
+        want = sum(twice[words.index(ws[k])] for k in range(len(ws)) for j in range(max(0, k - 3), min(len(ws), k + 4)) if j != k)
+        assert np.allclose(got[i], want) and np.array_equal(got[i], got[i + 300])
+
+
+def test_a_log_over_many_partitions(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        text, want, name = ["lost.py"], {}, None
+        for i in range(400):
+            if i % 37 == 5:
+                name = f"{i:040x}"
+                want[name] = []
+                text.append(name)
+            elif i % 11 == 0:
+                text.append("")
+            else:
+                text.append(f"f{i % 90}.py")
+                if name:
+                    want[name].append(text[-1])
+        df = spark.createDataFrame(list(enumerate(text)), "pos long, value string").repartition(5)
+        assert rows(R.git_commits(df)) == sorted((n, sorted(set(f))) for n, f in want.items())
+        assert "SinglePartition" not in R.git_commits(df)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_canonical_and_paths(spark):
