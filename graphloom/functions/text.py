@@ -130,3 +130,8 @@ def diff_stats(diff: Column) -> Column:
     """struct(added, removed) lines of a unified diff."""
     lines = F.split(diff, "\n")
     return F.struct(F.size(F.filter(lines, lambda x: x.rlike(r"^\+(?!\+\+)"))).alias("added"), F.size(F.filter(lines, lambda x: x.rlike("^-(?!--)"))).alias("removed"))
+
+
+def merged(a: Column, b: Column) -> Column:
+    """The elements of two arrays, each once, in the order in which they first stand; null counts as empty."""
+    return F.array_union(F.coalesce(a, F.array()), F.coalesce(b, F.array()))

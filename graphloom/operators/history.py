@@ -122,3 +122,9 @@ def breaker(tries: DataFrame, key: str, order: Sequence[str], found: str, most:
     empty = F.when(F.coalesce(F.col(found), F.lit(False)), 0).otherwise(1)
     t = tries.withColumn("_o", F.sum(empty).over(w.rowsBetween(1 - most, 0)) == most)
     return t.withColumn("skipped", F.coalesce(F.max("_o").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))).drop("_o")
+
+
+def latest(rows: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
+    """keys and the values of each key's last row by `at`; of rows with one time, those of the greatest values."""
+    last = F.max(F.struct(F.col(at).alias("_at"), *values)).alias("_last")
+    return rows.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_last.{v}").alias(v) for v in values])

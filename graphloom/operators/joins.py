@@ -100,6 +100,29 @@ def full_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     return o.join(n, list(keys), "full").select(*keys, status.alias("status"))
 
 
+def having(rows: DataFrame, key: str, others: DataFrame, other: str) -> DataFrame:
+    """rows whose key some row of others has; each once, whatever repeats there. A null key is met by none."""
+    return rows.join(others.select(F.col(other).alias(key)), key, "left_semi")
+
+
+def flagged(rows: DataFrame, others: DataFrame, key: str, flag: str) -> DataFrame:
+    """rows with a boolean column: whether others has the key. A null key is met by none."""
+    return rows.join(others.select(key).distinct().withColumn(flag, F.lit(True)), key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def first_link(rows: DataFrame, on: str, others: DataFrame, other: str, value: str) -> DataFrame:
+    """rows with the least `value` of others that are equal in text, null where none is. Others are made one a text first, so a text
+    that repeats there sends one row."""
+    first = others.groupBy(F.col(other).alias(on)).agg(F.min(value).alias(value))
+    return rows.join(first, on, "left")
+
+
+def sharing(pairs: DataFrame, owner: str, member: str, seeds: DataFrame) -> DataFrame:
+    """Owners (one column: node) that share a member with one of the seeds (node); those with a member are among them."""
+    members = having(pairs, owner, seeds, "node").select(member).distinct()
+    return pairs.join(members, member, "left_semi").select(F.col(owner).alias("node")).distinct()
+
+
 def field_diff(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """One row for each field that differs: (key, field, old, new) with values as doubles."""
     o = old.select(key, *[F.col(f).cast("double").alias(f"o_{f}") for f in fields])

@@ -70,3 +70,9 @@ def readiness(indexed: Column, total: Column, stale: Column) -> Column:
     complete = F.when(total > 0, F.least(indexed / total, F.lit(1.0))).when(indexed > 0, 1.0).otherwise(0.0)
     fresh = F.when(indexed > 0, 1 - stale / indexed).otherwise(0.0)
     return F.struct(complete.alias("completeness"), fresh.alias("freshness"), F.when(complete < 0.3, "none").when(complete < 0.5, "low").when(complete < 0.9, "partial").otherwise("full").alias("band"))
+
+
+def voted(rows: DataFrame, group: str, signals: Sequence[Column], least: int, out: str) -> DataFrame:
+    """group with a boolean: at least so many of the signals (boolean aggregates) hold. One that is null does not."""
+    votes = [F.coalesce(v.cast("int"), F.lit(0)) for v in signals]
+    return rows.groupBy(group).agg((sum(votes[1:], votes[0]) >= least).alias(out))

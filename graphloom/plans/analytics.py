@@ -293,7 +293,7 @@ def y02(spark: SS, sf: str) -> DataFrame:
 @query("Y13_signal_voting", "SELECT source, (sum(n_chars) > 100000)::INT + (count(*) > 40)::INT + (count(DISTINCT lang) >= 4)::INT + (max(n_chars) > 10000)::INT + (min(n_chars) < 100)::INT >= 3 AS legacy FROM documents GROUP BY 1")
 def y13(spark: SS, sf: str) -> DataFrame:
     votes = [F.sum("n_chars") > 100000, F.count("*") > 40, F.countDistinct("lang") >= 4, F.max("n_chars") > 10000, F.min("n_chars") < 100]
-    return table(spark, sf, "documents").groupBy("source").agg((sum((v.cast("int") for v in votes[1:]), votes[0].cast("int")) >= 3).alias("legacy"))
+    return V.voted(table(spark, sf, "documents"), "source", votes, 3, "legacy")
 
 
 # --- events: batch twins of the streaming monitors --------------------------------------------------

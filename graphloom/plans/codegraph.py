@@ -42,9 +42,8 @@ def p13(spark: SS, sf: str) -> DataFrame:
 
 @query("J11_neighbour_files", """SELECT DISTINCT l_orderkey AS node FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (1, 2))""")
 def j11(spark: SS, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
-    parts = line.filter("l_orderkey IN (1, 2)").select("l_partkey").distinct()
-    return line.join(parts, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("node")).distinct()
+    seeds = spark.createDataFrame([(1,), (2,)], "node long")
+    return J.sharing(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey", seeds)
 
 
 @query("J18_cross_service", """WITH q AS (SELECT page_id AS id, regexp_replace(string_split(url, '?')[1], '^[a-z]+://[^/]+', '') AS path FROM pages)
@@ -144,10 +143,11 @@ def x11(spark: SS, sf: str) -> DataFrame:
     return C.public_api(s).select("id")
 
 
-@query("F09_signatures", "SELECT p_partkey, string_split(p_name, ' ')[1] AS first, 2 AS arity FROM part")
+@query("F09_signatures", "SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN replace(p_name, ' ', '(x, [') || ', y], (z, 1))' END AS first, CAST(p_size % 4 AS INTEGER) AS arity FROM part")
 def f09(spark: SS, sf: str) -> DataFrame:
-    sig = C.signature_types(F.concat(F.lit("f("), F.replace("p_name", F.lit(" "), F.lit(", ")), F.lit(")")))
-    return table(spark, sf, "part").select("p_partkey", sig.alias("s")).select("p_partkey", F.col("s.params")[0].alias("first"), F.col("s.arity").alias("arity"))
+    one = F.concat(F.replace("p_name", F.lit(" "), F.lit("(x, [")), F.lit(", y], (z, 1))"))  # commas within brackets part nothing
+    sig = C.signature_types(F.concat(F.lit("f("), F.array_join(F.array_repeat(one, (F.col("p_size") % 4).cast("int")), ", "), F.lit(") (a, error)")))
+    return table(spark, sf, "part").select("p_partkey", sig.alias("s")).select("p_partkey", F.get("s.params", F.lit(0)).alias("first"), F.col("s.arity").cast("int").alias("arity"))
 
 
 @query("F17_diff_statistics", "SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: starts_with(x, 'A'))) AS INTEGER) AS added, CAST(len(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(x, 'A'))) AS INTEGER) AS removed FROM documents")
@@ -158,8 +158,8 @@ def f17(spark: SS, sf: str) -> DataFrame:
 
 @query("F18_log_patterns", "SELECT label, count(*) AS n FROM (SELECT CASE WHEN contains(line, 'rights') THEN 'rights' WHEN regexp_matches(line, '[0-9]{4}') THEN 'year' END AS label FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 5) WHERE label IS NOT NULL GROUP BY 1")
 def f18(spark: SS, sf: str) -> DataFrame:
-    lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n", -1)).alias("line")).filter(F.length("line") >= 5)
-    return lines.withColumn("label", F.when(F.contains("line", F.lit("rights")), "rights").when(F.col("line").rlike("[0-9]{4}"), "year")).filter("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
+    lines = table(spark, sf, "documents").select(F.explode(F.split("text", "\n", -1)).alias("value"))
+    return R.labelled(lines, {"rights": "rights", "year": "[0-9]{4}"}).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("S01_delta_skip", "SELECT o_orderkey AS path FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 2 = 1")

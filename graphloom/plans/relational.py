@@ -130,7 +130,7 @@ def j04(spark: SS, sf: str) -> DataFrame:
 @query("J05_semi_detection", "SELECT n_nationkey, n_name FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)")
 def j05(spark: SS, sf: str) -> DataFrame:
     n, s = table(spark, sf, "nation"), table(spark, sf, "supplier")
-    return n.join(s, n.n_nationkey == s.s_nationkey, "left_semi").select("n_nationkey", "n_name")
+    return J.having(n, "n_nationkey", s, "s_nationkey").select("n_nationkey", "n_name")
 
 
 @query("J06_left_outer_fallback", "SELECT c_custkey, count(o_orderkey) AS n_orders, round(coalesce(max(o_totalprice), -1), 2) AS top FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderpriority = '1-URGENT' GROUP BY 1")
@@ -159,8 +159,8 @@ def j09(spark: SS, sf: str) -> DataFrame:
 
 @query("J12_semi_anti_flags", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996) AS active FROM customer")
 def j12(spark: SS, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").filter("year(o_orderdate) = 1996").select(F.col("o_custkey").alias("c_custkey"), F.lit(True).alias("a")).distinct()
-    return table(spark, sf, "customer").join(o, "c_custkey", "left").select("c_custkey", F.coalesce("a", F.lit(False)).alias("active"))
+    o = table(spark, sf, "orders").filter("year(o_orderdate) = 1996").select(F.col("o_custkey").alias("c_custkey"))
+    return J.flagged(table(spark, sf, "customer").select("c_custkey"), o, "c_custkey", "active")
 
 
 @query("J13_relational_division", "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = (SELECT count(DISTINCT l_returnflag) FROM lineitem)")
@@ -285,8 +285,7 @@ def j30(spark: SS, sf: str) -> DataFrame:
 
 @query("J31_nullable_link", "SELECT item_id, min(doc_id) AS doc_id FROM benchmark LEFT JOIN documents ON documents.text = benchmark.text GROUP BY 1")
 def j31(spark: SS, sf: str) -> DataFrame:
-    b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    return b.join(d, b["text"] == d["text"], "left").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    return J.first_link(table(spark, sf, "benchmark"), "text", table(spark, sf, "documents"), "text", "doc_id").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
 
 
 # --- aggregations ----------------------------------------------------------------------------------
@@ -581,15 +580,15 @@ def u05(spark: SS, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).subtract(table(spark, sf, "supplier").filter("s_acctbal > 5000").select("s_nationkey"))
 
 
-@query("U06_ordered_merge", "SELECT user_id, array_to_string(list_sort(list_distinct(list_concat(a, ['view', 'zz']))), ',') AS merged FROM (SELECT user_id, list(DISTINCT event_type) AS a FROM events WHERE value > 200 GROUP BY 1)")
+@query("U06_ordered_merge", "SELECT user_id, array_to_string(list_sort(list_distinct(list_concat(a, ['view', 'zz']))), ',') AS merged FROM (SELECT user_id, list(DISTINCT event_type) AS a FROM events GROUP BY 1)")
 def u06(spark: SS, sf: str) -> DataFrame:
-    g = table(spark, sf, "events").filter("value > 200").groupBy("user_id").agg(F.collect_set("event_type").alias("a"))
-    return g.select("user_id", F.array_join(F.sort_array(F.array_union("a", F.array(F.lit("view"), F.lit("zz")))), ",").alias("merged"))
+    g = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("a"))
+    return g.select("user_id", F.array_join(F.sort_array(T.merged(F.col("a"), F.array(F.lit("view"), F.lit("zz")))), ",").alias("merged"))
 
 
 @query("K06_latest_snapshot", "SELECT o_custkey, arg_max(o_totalprice, o_orderkey) AS latest FROM orders GROUP BY 1")
 def k06(spark: SS, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max_by("o_totalprice", "o_orderkey").alias("latest"))
+    return H.latest(table(spark, sf, "orders").withColumn("latest", F.col("o_totalprice")), ["o_custkey"], "o_orderkey", ["latest"])
 
 
 @query("K03_delta_merge", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 10 <> 3 UNION ALL SELECT o_orderkey, o_totalprice + 1 FROM orders WHERE o_orderkey % 10 = 3 AND o_orderkey % 20 <> 3")

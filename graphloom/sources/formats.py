@@ -178,12 +178,17 @@ def python_symbols(files: DataFrame) -> DataFrame:
     return files.filter(F.col("path").endswith(".py")).select("path", "content").mapInPandas(run, _SYMBOLS)
 
 
-def crash_lines(lines: DataFrame, patterns: dict[str, str], most: int = 10) -> DataFrame:
-    """(label, line) of log lines (pos, value) of five characters or more: the first pattern that fits, each once, the first `most`."""
+def labelled(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """lines (value, ...) of five characters or more with `label`, the first pattern that fits; others are left out."""
     label = None
     for k, p in patterns.items():
         label = F.when(F.col("value").rlike(p), k) if label is None else label.when(F.col("value").rlike(p), k)
-    hit = lines.filter(F.length("value") >= 5).select("pos", F.substring("value", 1, 200).alias("line"), label.alias("label")).filter("label IS NOT NULL")
+    return lines.filter(F.length("value") >= 5).withColumn("label", label).filter("label IS NOT NULL")
+
+
+def crash_lines(lines: DataFrame, patterns: dict[str, str], most: int = 10) -> DataFrame:
+    """(label, line) of log lines (pos, value) of five characters or more: the first pattern that fits, each once, the first `most`."""
+    hit = labelled(lines, patterns).select("pos", F.substring("value", 1, 200).alias("line"), "label")
     return hit.groupBy("label", "line").agg(F.min("pos").alias("pos")).orderBy("pos", "line").limit(most)
 
 
