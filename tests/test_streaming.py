@@ -1,5 +1,7 @@
 """The streaming monitors, run to the end over files."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from graphloom.streaming import monitors as M
@@ -49,3 +51,29 @@ def test_snapshot_sink(spark, tmp_path):
     finally:
         q.stop()
     assert spark.read.parquet(out).count() == 20
+
+
+def test_debounce_and_gate(spark, tmp_path):
+    path, schema = str(tmp_path / "changes"), "root string, path string, kind string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    put([("a", f"a{i}.go", "change") for i in range(11)] + [("a", "a0.go", "change")] * 2 + [("b", None, "index_start"), ("b", "b.go", "change"), ("a", None, "change"), ("a", "x", "other")])
+    q = M.debounced(M.event_stream(spark, path, schema), quiet=200, tick=500, parts=4).writeStream.outputMode("append").format("memory").queryName("debounced").start()
+
+    def until(n):
+        end = time.time() + 60
+        while spark.table("debounced").count() < n and time.time() < end:
+            time.sleep(0.5)
+        return sorted((r.root, r.path, r.changes) for r in spark.table("debounced").collect())
+
+    try:
+        first = until(11)
+        assert first == sorted(("a", f"a{i}.go", 3 if i == 0 else 1) for i in range(11))  # a batch of one root; the other is shut
+        put([("b", "b.go", "change"), ("a", "a1.go", "change")])
+        assert until(12) == sorted([*first, ("a", "a1.go", 1)])
+        time.sleep(1.5)
+        assert spark.table("debounced").count() == 12
+        put([("b", None, "index_end")])
+        assert until(13) == sorted([*first, ("a", "a1.go", 1), ("b", "b.go", 2)])
+        assert spark.table("debounced").filter("waited_ms < 200").count() == 0
+    finally:
+        q.stop()
