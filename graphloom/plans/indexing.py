@@ -13,6 +13,7 @@ from ..operators import index as X
 from ..operators import joins as J
 from ..sources import formats as R
 from ..sources import languages as L
+from ..sources.lexer import syntax_errors
 from ..sources.tables import STEPS_SQL, part_steps, table
 from .registry import query
 
@@ -55,6 +56,48 @@ def s10(spark: SS, sf: str) -> DataFrame:
     return L.calls(_sources(spark, sf))
 
 
+#: A call with a receiver around a nested one, beside a string and a comment that look like calls, two deep in a function, and one
+#: after it. {c} is what starts a comment.
+_SITES = {
+    "brace": "func f{k}(a int) {{\n  {c} no{b}( {n} {{\n  if a {{\n    s = \"{n} not{b}(}}\" + obj.in.g{b}(h{k} (1), \")\")\n  }}\n}}\nafter{b}()",
+    "indent": "def f{k}(a):\n  {c} no{b}( {n}\n  if a:\n    s = \"{n} not{b}(}}\" + obj.in.g{b}(h{k} (1), \")\")\n\n\nafter{b}()",
+}
+_SITE_EXT = "go py swift rb".split()
+
+
+def _sites(spark: SS, sf: str) -> DataFrame:
+    """Sources with the part's name in strings and comments; every third lacks its last bracket, with which a string is left open."""
+    p = table(spark, sf, "part")
+    n = (F.col("p_partkey") % 4).cast("int")
+    body = F.get(F.array(*[F.lit(_SITES["indent" if e in ("py", "rb") else "brace"].format(k="<k>", b="<b>", n="<n>", c="#" if e in ("py", "rb") else "//")) for e in _SITE_EXT]), n)
+    for sign, value in (("<k>", F.col("p_partkey").cast("string")), ("<b>", F.col("p_size").cast("string")), ("<n>", F.col("p_name"))):
+        body = F.replace(body, F.lit(sign), value)
+    cut = F.when(F.col("p_size") % 3 == 0, F.concat(F.expr("left(body, length(body) - 1)"), F.lit(' + "'), F.col("p_name"))).otherwise(F.col("body"))
+    return p.withColumn("body", body).select(F.concat(F.col("p_partkey").cast("string"), F.lit("."), F.get(F.array(*[F.lit(e) for e in _SITE_EXT]), n)).alias("path"), cut.alias("content"))
+
+
+_SITE_PATH = "p_partkey || '.' || ['go', 'py', 'swift', 'rb'][p_partkey % 4 + 1]"
+_SITE_LINE = """'    s = "' || p_name || ' not' || p_size || '(}" + obj.in.g' || p_size || '(h' || p_partkey || ' (1), ")")'"""
+
+
+@query("S10_call_sites", f"""WITH s AS (SELECT {_SITE_PATH} AS path, p_partkey AS k, p_size AS b, {_SITE_LINE} AS line3 FROM part)
+SELECT path, 'f' || k AS caller, 'obj.in' AS receiver, 'g' || b AS callee, 3 AS line, CAST(instr(line3, 'obj.in') - 1 AS INTEGER) AS "column" FROM s
+UNION ALL SELECT path, 'f' || k, NULL, 'h' || k, 3, CAST(instr(line3, '(h') AS INTEGER) FROM s UNION ALL SELECT path, NULL, NULL, 'after' || b, 6, 0 FROM s""")
+def s10_sites(spark: SS, sf: str) -> DataFrame:
+    return L.call_sites(_sites(spark, sf))
+
+
+@query("S13_nested_flow", f"SELECT {_SITE_PATH} AS path, 'if' AS kind, 2 AS line, 1 AS depth, 'a' AS condition, false AS is_error FROM part")
+def s13_nested(spark: SS, sf: str) -> DataFrame:
+    return L.control_lines(_sites(spark, sf))
+
+
+@query("S15_syntax_errors", f"""WITH s AS (SELECT {_SITE_PATH} AS path, CAST(length('after' || p_size) AS INTEGER) AS c FROM part WHERE p_size % 3 = 0)
+SELECT path, 6 AS line, c AS "column", '(' AS sign FROM s UNION ALL SELECT path, 6, c + 4, '"' FROM s""")
+def s15_errors(spark: SS, sf: str) -> DataFrame:
+    return syntax_errors(_sites(spark, sf))
+
+
 @query("S11_hierarchy", f"SELECT {_PATH_SQL} AS path, 'T' || p_partkey AS source, 'B' || p_size AS target, 1 AS line FROM part WHERE {_EXT_SQL} NOT IN ('go', 'rs', 'c')")
 def s11(spark: SS, sf: str) -> DataFrame:
     return L.hierarchy(_sources(spark, sf))

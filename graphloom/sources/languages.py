@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lexer import lexed
 
 _MODS = r"(?:(?:public|private|protected|internal|fileprivate|static|final|abstract|override|virtual|async|synchronized|suspend|inline|open|mutating|export|default|sealed|data|pub|partial)(?:\([^)]*\))?\s+)"
 #: First group: the name. Fixed forms of each language.
@@ -81,6 +82,29 @@ def calls(files: DataFrame) -> DataFrame:
     return rows.select("path", "caller", F.explode("names").alias("callee"), "line").filter(~F.col("callee").isin(NO_CALLS))
 
 
+def call_sites(files: DataFrame) -> DataFrame:
+    """(path, caller, receiver, callee, line, column): names before an opening bracket, outside strings and comments.
+
+    caller: the last function declared above whose block is still open, null outside; receiver: what stands before the last dot, null
+    without one. Columns start at 0.
+    """
+    v = F.col("code")
+    own, typ = _by_language(v, FUNCTIONS), _by_language(v, TYPES)
+    rows = lexed(files).select("path", "line", "depth", "code", own.alias("own"), (typ != "").alias("typ"))
+    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("f", F.last(F.when(F.col("own") != "", F.struct("own", "depth")), ignorenulls=True).over(w)).filter("own = '' AND NOT typ")
+    parts = F.regexp_extract_all("code", F.lit(r"((?:[A-Za-z_]\w*(?:\.|->|::))*[A-Za-z_]\w*[ \t]*\()"), F.lit(1))
+    # a call's column is where its text begins after those before it
+    at = F.expr(r"""aggregate(names, named_struct('out', cast(array() as array<struct<text:string,column:int>>), 'at', 1),
+        (a, x) -> named_struct('out', array_append(a.out, named_struct('text', x, 'column', locate(x, code, a.at) - 1)), 'at', locate(x, code, a.at) + length(x))).out""")
+    found = rows.withColumn("names", parts).select("path", "line", "depth", "f", F.explode(at).alias("c"))
+    name = F.trim(F.rtrim(F.regexp_replace("c.text", r"\s*\($", "")))
+    callee = F.regexp_extract(name, r"(\w+)$", 1)
+    receiver = F.nullif(F.regexp_extract(name, r"^(.*?)(?:\.|->|::)\w+$", 1), F.lit(""))
+    caller = F.when(F.col("depth") > F.col("f.depth"), F.col("f.own"))
+    return found.select("path", caller.alias("caller"), receiver.alias("receiver"), callee.alias("callee"), "line", F.col("c.column").alias("column")).filter(~F.col("callee").isin(NO_CALLS))
+
+
 def assignments(files: DataFrame) -> DataFrame:
     """(path, name, line, rhs): what a line defines by = or :=, the right side cut to 80 characters."""
     p = r"^\s*(?:(?:var|let|const|final|auto|mut|int|long|double|float|bool|string|String)\s+)*([A-Za-z_$]\w*)\s*(?::\s*[\w<>\[\]]+\s*)?(?::=|=)(?!=)\s*(.+)$"
@@ -88,12 +112,14 @@ def assignments(files: DataFrame) -> DataFrame:
 
 
 def control_lines(files: DataFrame) -> DataFrame:
-    """(path, kind, line, depth, condition, is_error): branches, loops, handlers, returns. depth: two blanks or a tab each."""
-    v = F.trim(F.col("value"))
-    kind = F.when(v.rlike(r"^(?:\}?\s*else\s+)?(?:if|elif|elsif|unless|guard)\b"), "if").when(v.rlike(r"^(?:for|foreach|while|loop|until)\b"), "loop").when(v.rlike(r"^(?:switch|match|case|when)\b"), "switch").when(v.rlike(r"^(?:try|begin|do)\b"), "try").when(v.rlike(r"^\}?\s*(?:catch|except|rescue)\b"), "catch").when(v.rlike(r"^(?:return|throw|raise|panic)\b"), "return")
-    indent = F.regexp_replace(F.regexp_extract("value", r"^(\s*)", 1), "\t", "  ")
+    """(path, kind, line, depth, condition, is_error): branches, loops, handlers, returns, outside strings and comments.
+
+    depth: blocks that are open there, by braces or, in languages without them, by steps of indentation.
+    """
+    code, v = F.trim(F.col("code")), F.trim(F.col("value"))
+    kind = F.when(code.rlike(r"^(?:\}?\s*else\s+)?(?:if|elif|elsif|unless|guard)\b"), "if").when(code.rlike(r"^(?:for|foreach|while|loop|until)\b"), "loop").when(code.rlike(r"^(?:switch|match|case|when)\b"), "switch").when(code.rlike(r"^(?:try|begin|do)\b"), "try").when(code.rlike(r"^\}?\s*(?:catch|except|rescue)\b"), "catch").when(code.rlike(r"^(?:return|throw|raise|panic)\b"), "return")
     condition = F.substring(F.trim(F.regexp_extract(v, r"^\}?\s*(?:else\s+)?\w+\s*\(?(.*?)\)?\s*[:{]?\s*$", 1)), 1, 80)
-    return lines(files).select("path", kind.alias("kind"), "line", F.floor(F.length(indent) / 2).cast("int").alias("depth"), condition.alias("condition"), v.rlike(r"(?i)\berr(?:or)?\b|exception|\bcatch\b|\bexcept\b|\bpanic\b").alias("is_error")).filter("kind IS NOT NULL")
+    return lexed(files).select("path", kind.alias("kind"), "line", "depth", condition.alias("condition"), code.rlike(r"(?i)\berr(?:or)?\b|exception|\bcatch\b|\bexcept\b|\bpanic\b").alias("is_error")).filter("kind IS NOT NULL")
 
 
 def unbalanced(files: DataFrame) -> DataFrame:
