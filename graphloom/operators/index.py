@@ -9,12 +9,20 @@ from ..functions import text as T
 from ..sources.schema import CALLABLE
 from . import routes as routes_
 
-#: Directory names that a walk leaves out, by strictness; a stricter mode has those of the laxer ones too. The library's own.
-SKIP_FULL = ".git .svn .hg node_modules __pycache__ .venv venv .idea .vscode .cache".split()
-SKIP_MODERATE = "vendor dist build target out bin obj coverage third_party".split()
-SKIP_FAST = "docs doc examples example test tests testdata fixtures".split()
-#: Words that speak for a kind of task. The library's own.
-TASK_WORDS = {"fix_bug": ["fix", "bug", "error", "crash", "fail"], "refactor": ["refactor", "clean up", "extract", "rename"], "add_feature": ["add", "implement", "create", "new feature"], "explain": ["explain", "what is", "how does", "why"], "test": ["test", "coverage", "unit test"], "review": ["review", "audit", "inspect"]}
+#: Directory names that a walk leaves out, by strictness; a stricter mode has those of the laxer ones too. Fixed values; names that
+#: begin with a dot are left out in all modes besides, so only those that are never walked at all are listed.
+NEVER_WALKED = ".git .hg .svn .worktrees node_modules".split()
+SKIP_FULL = "vendor vendored bower_components __pycache__ venv env site-packages htmlcov target CMakeFiles obj deps _build zig-cache zig-out _opam elm-stuff DerivedData dist build out tmp temp coverage Pods bazel-bin bazel-out bazel-testlogs deploy deployed results".split()
+SKIP_MODERATE = "third_party thirdparty 3rdparty external generated gen auto-generated autogen".split()
+SKIP_FAST = "docs doc documentation examples example samples sample assets static public media fixtures testdata test_data __tests__ __test__ __mocks__ __snapshots__ __fixtures__ migrations seeds seed e2e integration locale locales i18n l10n scripts tools hack bin".split()
+#: Words that speak for a kind of task. Fixed values.
+TASK_WORDS = {
+    "explain": ["explain", "what is", "what does", "why", "how does", "解释", "什么是", "为什么"],
+    "implement": ["implement", "add", "create", "build", "write", "实现", "添加", "创建", "编写"],
+    "fix_bug": ["fix", "bug", "error", "broken", "wrong", "修复", "修", "错误", "问题", "crash", "panic"],
+    "refactor": ["refactor", "rename", "extract", "move", "重构", "重命名", "提取", "移动"],
+    "review": ["review", "audit", "inspect", "检查", "审查", "审核", "code review"],
+}
 
 
 # --- listings, ledgers and ignore rules -------------------------------------------------------------
@@ -37,7 +45,7 @@ def skipped_dir(rel: Column, mode: str = "moderate", ignored: list[str] | None =
     """
     names = SKIP_FULL + (SKIP_MODERATE if mode != "full" else []) + (SKIP_FAST if mode == "fast" else [])
     dirs = F.slice(F.split(rel, "/"), F.lit(1), F.greatest(F.size(F.split(rel, "/")) - 1, F.lit(0)))
-    why = lambda s: F.when(s == ".git", "safety_core").when(s.startswith(".") & (s != ".") & (s != ".."), "hidden_dir").when(s.isin(names), "ecosystem_dir").when(s.isin(ignored or [""]), "ignore_file")
+    why = lambda s: F.when(s.isin(NEVER_WALKED), "safety_core").when(s.startswith(".") & (s != ".") & (s != ".."), "hidden_dir").when(s.isin(names), "ecosystem_dir").when(s.isin(ignored or [""]), "ignore_file")
     return F.when(rel.rlike(r"^(\.\.(/|$)|/)"), "outside_root").otherwise(F.get(F.filter(F.transform(dirs, why), lambda r: r.isNotNull()), F.lit(0)))
 
 

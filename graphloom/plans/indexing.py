@@ -147,13 +147,16 @@ def s03(spark: SS, sf: str) -> DataFrame:
     return X.previous_state(table(spark, sf, "events").select(F.col("user_id").cast("string").alias("path"), F.col("value").alias("mtime"), F.col("event_type").alias("hash"), F.col("event_id").alias("seq")))
 
 
-_DIRS = [".git/", "vendor/", "docs/x/", "src/.hid/", "", "src/node_modules/p/", "../"]
+#: Every name that a walk may leave out, and some that it does not, with what speaks against them.
+_DIRS = [(d, "never") for d in X.NEVER_WALKED] + [(d, "full") for d in X.SKIP_FULL] + [(d, "moderate") for d in X.SKIP_MODERATE] + [(d, "fast") for d in X.SKIP_FAST] + [(".hid", "dot"), ("", "none"), ("src", "none"), ("vendors", "none"), ("..", "outside")]
 
 
-@query("S05_pruned_dirs", """SELECT p_partkey, k, CASE p_partkey % 7 WHEN 0 THEN 'safety_core' WHEN 1 THEN CASE WHEN k <> 'full' THEN 'ecosystem_dir' END WHEN 2 THEN CASE WHEN k = 'fast' THEN 'ecosystem_dir' END WHEN 3 THEN 'hidden_dir' WHEN 5 THEN 'ecosystem_dir' WHEN 6 THEN 'outside_root' END AS reason
-FROM part, (VALUES ('full'), ('moderate'), ('fast')) m(k)""")
+@query("S05_pruned_dirs", f"""WITH d(i, dir, kind) AS (VALUES {", ".join(f"({i}, '{d}', '{k}')" for i, (d, k) in enumerate(_DIRS))})
+SELECT p_partkey, k, CASE kind WHEN 'never' THEN 'safety_core' WHEN 'dot' THEN 'hidden_dir' WHEN 'outside' THEN 'outside_root' WHEN 'full' THEN 'ecosystem_dir' WHEN 'moderate' THEN CASE WHEN k <> 'full' THEN 'ecosystem_dir' END WHEN 'fast' THEN CASE WHEN k = 'fast' THEN 'ecosystem_dir' END END AS reason
+FROM part JOIN d ON p_partkey % {len(_DIRS)} = i, (VALUES ('full'), ('moderate'), ('fast')) m(k)""")
 def s05(spark: SS, sf: str) -> DataFrame:
-    rel = F.concat(F.get(F.array(*[F.lit(d) for d in _DIRS]), (F.col("p_partkey") % 7).cast("int")), F.lit("f.go"))
+    name = F.get(F.array(*[F.lit(d) for d, _ in _DIRS]), (F.col("p_partkey") % len(_DIRS)).cast("int"))
+    rel = F.when(name.isin("", ".."), F.concat(name, F.when(name == "..", "/").otherwise(""), F.lit("f.go"))).otherwise(F.concat(F.lit("a/"), name, F.lit("/b/f.go")))
     p = table(spark, sf, "part").select("p_partkey", rel.alias("rel"))
     return p.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(m).alias("k"), X.skipped_dir(F.col("rel"), m).alias("reason")) for m in ("full", "moderate", "fast")])).alias("r")).select("p_partkey", "r.k", "r.reason")
 
