@@ -201,13 +201,18 @@ def consumers(routes: DataFrame, handles: DataFrame, calls: DataFrame, endpoint:
 def semantic_edges(symbols: DataFrame, least: float = 0.7) -> DataFrame:
     """(a, b, score) of symbols (id, file_path, signature, vector, callees) in different files: 0.4 cosine + 0.35 callees + 0.25 equal signature.
 
-    Two parts at least must be large to reach 0.7 or more, so pairs meet on an equal signature or a shared callee. A null or
-    empty signature equals none.
+    Pairs meet on an equal signature, or, as without one callees alike in (least - 0.4) / 0.35 or more are needed, on the rarest
+    of their callees; so a frequent callee brings nobody together. A signature that many share is split into pairs of blocks.
+    A null or empty signature equals none.
     """
+    from .joins import key_pairs
+    from .search import prefix_keys
+
     has = F.coalesce(F.col("signature"), F.lit("")) != ""
-    keys = F.array_union(F.when(has, F.array(F.concat(F.lit("s:"), "signature"))).otherwise(F.array().cast("array<string>")), F.transform("callees", lambda c: F.concat(F.lit("c:"), c)))
-    k = symbols.select("id", F.explode(keys).alias("k"))
-    pairs = k.alias("x").join(k.alias("y"), F.expr("x.k = y.k AND x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    sets = symbols.select("id", F.array_distinct("callees").alias("ts")).filter(F.size("ts") > 0)
+    rare = prefix_keys(sets, max(0.0, (least - 0.4) / 0.35)).select("id", F.concat(F.lit("c:"), "k").alias("k"))
+    keys = symbols.filter(has).select("id", F.concat(F.lit("s:"), "signature").alias("k")).unionAll(rare)
+    pairs = key_pairs(keys.distinct(), "k", "id").select("a", "b").distinct()
     side = lambda p: symbols.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("file_path", "signature", "vector", "callees")])
     full = pairs.join(side("a"), "a").join(side("b"), "b").filter("a_file_path <> b_file_path")
     score = 0.4 * F.coalesce(T.cosine(F.col("a_vector"), F.col("b_vector")), F.lit(0.0)) + 0.35 * T.jaccard(F.col("a_callees"), F.col("b_callees")) + F.when((F.col("a_signature") == F.col("b_signature")) & (F.col("a_signature") != ""), 0.25).otherwise(0.0)

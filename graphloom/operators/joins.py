@@ -75,6 +75,24 @@ def contains_sets(small: DataFrame, large: DataFrame) -> DataFrame:
     return met.join(sizes, "grp").filter("held = need").select("grp", "owner")
 
 
+def key_pairs(rows: DataFrame, key: str, item: str, most: int = 2000) -> DataFrame:
+    """(key, a, b) for each two different items of a key, a < b; rows: key, item, distinct.
+
+    Keys are counted first. One with more than `most` items is cut into blocks by a hash of the item, and each pair of blocks is a key
+    of its own, so the join's largest task holds two blocks whatever a key holds. A row goes to as many cells as its key has blocks.
+    """
+    from ..plans.scratch import written
+
+    rows = written(rows.select(F.col(key).alias("_k"), F.col(item).alias("_i")))
+    blocks = rows.groupBy("_k").agg(F.ceil(F.count("*") / most).cast("int").alias("_n")).filter("_n > 1")
+    cut = rows.join(blocks, "_k", "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_p", F.pmod(F.xxhash64("_i"), F.col("_n")).cast("int"))
+    cells = cut.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    left = cells.filter("_p <= _q").select("_k", F.col("_p").alias("_lo"), F.col("_q").alias("_hi"), F.col("_i").alias("_x"))
+    right = cells.filter("_q <= _p").select("_k", F.col("_q").alias("_lo"), F.col("_p").alias("_hi"), F.col("_i").alias("_y"))
+    met = left.join(right, ["_k", "_lo", "_hi"]).filter("_x <> _y AND (_lo < _hi OR _x < _y)")
+    return met.select(F.col("_k").alias(key), F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+
+
 def cooccurrence(baskets: DataFrame, smallest: int = 2, largest: int = 50, least: int = 3, jaccard: float = 0.3) -> DataFrame:
     """(a, b, pairs, jaccard) of items that share baskets; baskets of other sizes do not count, which bounds the pairs."""
     sized = baskets.groupBy("basket").agg(F.collect_set("item").alias("items")).filter(F.size("items").between(smallest, largest))

@@ -47,6 +47,15 @@ def two_tier(first: DataFrame, second: DataFrame, key: str, n: int) -> DataFrame
     return first.withColumn("tier", F.lit(0)).unionByName(rest).orderBy("tier", key).limit(n)
 
 
+def prefix_keys(sets: DataFrame, least: float) -> DataFrame:
+    """(id, k): the tokens that a set (id, ts) can be found by, its rarest. Sets whose Jaccard similarity reaches `least` share one of
+    them, so frequent tokens are keys of such sets alone that have few others."""
+    freq = sets.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
+    ordered = sets.select("id", F.explode("ts").alias("t")).join(freq, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
+    head = ordered.withColumn("p", F.size("o") - F.ceil(F.size("o") * least - 1e-9).cast("int") + 1)
+    return head.select("id", F.explode(F.slice("o", F.lit(1), F.col("p"))).alias("k")).select("id", F.col("k.t").alias("k"))
+
+
 def token_pairs(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """(a, b, jaccard) of rows whose token sets reach `least`.
 
@@ -54,10 +63,7 @@ def token_pairs(df: DataFrame, key: str, text: str, least: float) -> DataFrame:
     there. So frequent tokens make no candidates.
     """
     sets = df.select(F.col(key).alias("id"), F.array_distinct(T.word_tokens(F.col(text))).alias("ts")).filter(F.size("ts") > 0)
-    freq = sets.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("f"))
-    ordered = sets.select("id", F.explode("ts").alias("t")).join(freq, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
-    head = ordered.withColumn("p", F.size("o") - F.ceil(F.size("o") * least).cast("int") + 1)
-    keys = head.select("id", F.explode(F.slice("o", F.lit(1), F.col("p"))).alias("k")).select("id", F.col("k.t").alias("k"))
+    keys = prefix_keys(sets, least)
     pairs = keys.alias("x").join(keys.alias("y"), F.expr("x.k = y.k AND x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("ts").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("ts").alias("tb")), "b")
     return full.withColumn("jaccard", T.jaccard(F.col("ta"), F.col("tb"))).filter(F.col("jaccard") >= least).select("a", "b", "jaccard")

@@ -61,3 +61,21 @@ def test_many_templates_under_one_segment(spark, monkeypatch, few):
                 break
     got = routes.match_templates(spark.createDataFrame(paths, "id long, path string"), spark.createDataFrame(templates, "ordinal long, template string"))
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_pairs_of_a_hot_key(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import joins as J
+
+    rng = random.Random(3)
+    rows = sorted({("hot", i) for i in range(70)} | {(rng.choice("abc"), rng.randrange(40)) for _ in range(60)} | {("one", 5)})
+    by = defaultdict(list)
+    for k, i in rows:
+        by[k].append(i)
+    want = Counter((k, *p) for k, items in by.items() for p in combinations(sorted(items), 2))
+    for most in (9, 2000):
+        assert Counter(tuple(r) for r in J.key_pairs(spark.createDataFrame(rows, "k string, i long"), "k", "i", most).collect()) == want
