@@ -218,9 +218,21 @@ _MANIFESTS = [("go.mod", "module a\nreplace x => ../b<k>\n"), ("Cargo.toml", '[d
 _NAMES_SQL = "[" + ", ".join(f"'{n}'" for n, _ in _MANIFESTS) + "][p_partkey % 8 + 1]"
 
 
-def _manifests(spark: SS, sf: str) -> DataFrame:
-    pick = lambda i: F.get(F.array(*[F.lit(m[i].replace("{{", "{").replace("}}", "}")) for m in _MANIFESTS]), (F.col("p_partkey") % 8).cast("int"))
-    return table(spark, sf, "part").select(F.concat(F.lit("b"), F.col("p_partkey").cast("string"), F.lit("/"), pick(0)).alias("path"), F.replace(pick(1), F.lit("<k>"), F.col("p_size").cast("string")).alias("content"))
+#: Manifests of sixteen kinds, each with a dependency that is not local beside the one that is; {n} is the part's name.
+_KINDS = [
+    ("go.mod", "// {n}\nreplace (\n  x => ../b<k>\n  y => host.org/y v1.0.0\n)\n"), ("Cargo.toml", '[dependencies]\nx = { path = "../b<k>" }\ny = "1.0" # {n}'), ("Cargo.toml", '[workspace]\nmembers = [\n  "../b<k>",\n]\n[package]\nname = "{n}"'),
+    ("package.json", '{"name": "{n}", "dependencies": {"x": "file:../b<k>", "y": "^1.0"}}'), ("package.json", '{"name": "{n}", "workspaces": {"packages": ["../b<k>"]}}'), ("tsconfig.json", '{"references": [{"path": "../b<k>"}], "note": "{n}"}'),
+    ("pnpm-workspace.yaml", "# {n}\npackages:\n  - '../b<k>'\n"), ("pyproject.toml", 'x = { path = "../b<k>" }\ny = "^1.0" # {n}'), ("app.csproj", '<!-- {n} --><ProjectReference Include="../b<k>" /><PackageReference Include="y" />'), ("all.sln", 'Project("{AB}") = "{n}", "../b<k>/x.csproj", "{CD}"\nEndProject'),
+    ("settings.gradle", "// {n}\nproject(':x').projectDir = file('../b<k>')"), ("Package.swift", '// {n}\n.package(name: "x", path: "../b<k>"), .package(url: "https://h/y", from: "1.0")'), ("pubspec.yaml", "name: {n}\ndependencies:\n  x:\n    path: ../b<k>\n  y: ^1.0\n"),
+    ("Gemfile", "# {n}\ngem 'x', path: '../b<k>'\ngem 'y', '~> 1'"), ("composer.json", '{"description": "{n}", "repositories": [{"type": "path", "url": "../b<k>"}, {"url": "https://h/y"}]}'), ("CMakeLists.txt", "# {n}\nadd_subdirectory( ../b<k> )\nfind_package(y)"), (".gitmodules", "# {n}\n[submodule x]\n\tpath = ../b<k>\n\turl = https://h/y"),
+]
+
+
+def _manifests(spark: SS, sf: str, kinds: list[tuple[str, str]] | None = None) -> DataFrame:
+    kinds = kinds or [(n, c.replace("{{", "{").replace("}}", "}")) for n, c in _MANIFESTS]
+    pick = lambda i: F.get(F.array(*[F.lit(m[i]) for m in kinds]), (F.col("p_partkey") % len(kinds)).cast("int"))
+    body = F.replace(F.replace(pick(1), F.lit("<k>"), F.col("p_size").cast("string")), F.lit("{n}"), F.col("p_name"))
+    return table(spark, sf, "part").select(F.concat(F.lit("b"), F.col("p_partkey").cast("string"), F.lit("/"), pick(0)).alias("path"), body.alias("content"))
 
 
 @query("S25_manifests", f"SELECT 'b' || p_partkey || '/' || {_NAMES_SQL} AS path, '../b' || p_size AS target FROM part")
@@ -228,6 +240,12 @@ def s25(spark: SS, sf: str) -> DataFrame:
     return R.local_dependencies(_manifests(spark, sf))
 
 
+@query("S25_all_manifests", f"""WITH k(i, name, more) AS (VALUES {", ".join(f"({i}, '{n}', '{'/x.csproj' if n.endswith('.sln') else ''}')" for i, (n, _) in enumerate(_KINDS))}), m AS (SELECT * FROM part JOIN k ON p_partkey % {len(_KINDS)} = i)
+SELECT 'b' || p_partkey || '/' || name AS path, '../b' || p_size || more AS target FROM m UNION ALL SELECT 'b' || p_partkey || '/' || name, 'x' FROM m WHERE name = 'settings.gradle'""")
+def s25_all(spark: SS, sf: str) -> DataFrame:
+    return R.local_dependencies(_manifests(spark, sf, _KINDS))
+
+
 @query("Y14_dependents", "SELECT DISTINCT 'b' || p_size AS project, 'b' || p_partkey AS dependent FROM part WHERE p_size <> p_partkey AND p_size IN (SELECT p_partkey FROM part)")
 def y14(spark: SS, sf: str) -> DataFrame:
     m = _manifests(spark, sf)

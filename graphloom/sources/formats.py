@@ -115,14 +115,18 @@ def compile_errors(lines: DataFrame) -> DataFrame:
 
 
 def local_dependencies(files: DataFrame) -> DataFrame:
-    """(path, target): local path dependencies named in manifests (path, content), by the manifest's kind."""
+    """(path, target): local paths named in manifests (path, content), by the manifest's kind: dependencies by path, and members of
+    workspaces. Remote ones, null contents and other files give none."""
     name = F.element_at(F.split("path", "/"), -1)
     pick = lambda p: F.regexp_extract_all("content", F.lit(p), F.lit(1))
+    members = F.regexp_extract_all(F.regexp_extract("content", r"(?s)\bmembers\s*=\s*\[(.*?)\]", 1), F.lit(r"\"([^\"]+)\""), F.lit(1))
+    listed = lambda at: F.coalesce(F.from_json(F.get_json_object("content", at), "array<string>"), F.array().cast("array<string>"))
+    workspaces = F.filter(F.concat(listed("$.workspaces"), listed("$.workspaces.packages")), lambda x: x.isNotNull())
     found = (
-        F.when(name == "go.mod", pick(r"(?m)=>\s*(\.\.?/\S+)")).when(name == "Cargo.toml", pick(r"path\s*=\s*\"([^\"]+)\"")).when(name == "package.json", pick(r"\"(?:file|link|workspace):(\.[^\"]+)\""))
+        F.when(name == "go.mod", pick(r"(?m)=>\s*(\.\.?/\S+)")).when(name == "Cargo.toml", F.concat(pick(r"path\s*=\s*\"([^\"]+)\""), members)).when(name == "package.json", F.concat(pick(r"\"(?:file|link|workspace):(\.[^\"]+)\""), workspaces))
         .when(name == "tsconfig.json", pick(r"\"path\"\s*:\s*\"([^\"]+)\"")).when(name == "pnpm-workspace.yaml", pick(r"(?m)^\s*-\s*['\"]?([^'\"\s]+)")).when(name == "pyproject.toml", pick(r"path\s*=\s*\"([^\"]+)\""))
-        .when(name.rlike(r"\.csproj$"), pick(r"ProjectReference Include=\"([^\"]+)\"")).when(name.rlike(r"\.sln$"), pick(r"(?m)^Project\(.*?,\s*\"([^\"]+proj)\"")).when(name.rlike(r"^settings\.gradle"), pick(r"['\"]:([A-Za-z0-9_:-]+)['\"]"))
-        .when(name == "Package.swift", pick(r"\.package\(path:\s*\"([^\"]+)\"")).when(name == "pubspec.yaml", pick(r"(?m)^\s+path:\s*(\S+)")).when(name == "Gemfile", pick(r"path:\s*['\"]([^'\"]+)['\"]"))
+        .when(name.rlike(r"\.csproj$"), pick(r"ProjectReference Include=\"([^\"]+)\"")).when(name.rlike(r"\.sln$"), pick(r"(?m)^Project\(.*?,\s*\"([^\"]+proj)\"")).when(name.rlike(r"^settings\.gradle"), F.concat(pick(r"['\"]:([A-Za-z0-9_:-]+)['\"]"), pick(r"projectDir\s*=\s*file\(\s*['\"]([^'\"]+)['\"]")))
+        .when(name == "Package.swift", pick(r"\.package\s*\(\s*(?:name:\s*\"[^\"]*\",\s*)?path:\s*\"([^\"]+)\"")).when(name == "pubspec.yaml", pick(r"(?m)^\s+path:\s*(\S+)")).when(name == "Gemfile", pick(r"path:\s*['\"]([^'\"]+)['\"]"))
         .when(name == "composer.json", pick(r"\"url\"\s*:\s*\"(\.[^\"]+)\"")).when(name == "CMakeLists.txt", pick(r"add_subdirectory\(\s*([^\s)]+)")).when(name == ".gitmodules", pick(r"(?m)^\s*path\s*=\s*(\S+)")).otherwise(F.array().cast("array<string>"))
     )
     return files.select("path", F.explode(F.array_distinct(found)).alias("target"))
