@@ -128,3 +128,16 @@ def latest(rows: DataFrame, keys: Sequence[str], at: str, values: Sequence[str])
     """keys and the values of each key's last row by `at`; of rows with one time, those of the greatest values."""
     last = F.max(F.struct(F.col(at).alias("_at"), *values)).alias("_last")
     return rows.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_last.{v}").alias(v) for v in values])
+
+
+def line_matches(lines: DataFrame, key: str, pos: str, value: str, pattern: str, span: int, stretch: int = 10_000) -> DataFrame:
+    """(key, pos) of lines in which a match of the pattern over `span` lines or fewer ends; the pattern is anchored there.
+
+    Lines are numbered one by one within their key. They are dealt by stretches of so many, each with the last lines of the one
+    before it, so a log of any length is many small windows. Line ends within a value are blanks; a null value is an empty line.
+    """
+    at = F.floor(F.col(pos) / stretch)
+    ahead = F.floor((F.col(pos) + span - 1) / stretch)
+    rows = lines.select(key, pos, F.replace(F.coalesce(F.col(value), F.lit("")), F.lit("\n"), F.lit(" ")).alias("_v"), at.alias("_own"), F.explode(F.array_distinct(F.array(at, ahead))).alias("_s"))
+    text = F.array_join(F.collect_list("_v").over(Window.partitionBy(key, "_s").orderBy(pos).rowsBetween(1 - span, 0)), "\n")
+    return rows.withColumn("_t", text).filter((F.col("_s") == F.col("_own")) & F.col("_t").rlike(f"(?:{pattern})\\z")).select(key, pos)

@@ -60,14 +60,14 @@ def ignore_rules(lines: DataFrame) -> DataFrame:
 def ignored_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(path) of files that a rule matches: a segment equals a dir, or a pattern fits the name or the whole path.
 
-    Dirs meet paths by segment. Patterns are the lines of one ignore file: they are counted, and broadcast up to 10,000.
+    Dirs meet paths by segment. Patterns are the lines of one ignore file: together they are one regular expression, a row that
+    goes to every task, so each path is looked at once however many there are.
     """
     by_dir = files.select("path", F.explode(F.split("path", "/")).alias("rule")).join(rules.filter("kind = 'dir'").select("rule"), "rule", "left_semi").select("path")
-    patterns = rules.filter("kind = 'pattern'").select(T.glob_regex(F.col("rule")).alias("_re"))
-    if patterns.limit(10_001).count() > 10_000:
-        raise ValueError("an ignore file of over 10,000 patterns")
+    each = F.concat(F.lit("(?:"), T.glob_regex(F.col("rule")), F.lit(")"))
+    one = rules.filter("kind = 'pattern'").agg(F.array_join(F.sort_array(F.collect_set(each)), "|").alias("_re")).filter("_re <> ''")
     name = F.element_at(F.split("path", "/"), -1)
-    by_glob = files.select("path").join(F.broadcast(patterns), F.call_function("rlike", name, F.col("_re")) | F.call_function("rlike", F.col("path"), F.col("_re")), "left_semi")
+    by_glob = files.select("path").crossJoin(F.broadcast(one)).filter(F.call_function("rlike", name, F.col("_re")) | F.call_function("rlike", F.col("path"), F.col("_re"))).select("path")  # the other side is one row
     return by_dir.union(by_glob).distinct()
 
 

@@ -318,6 +318,15 @@ def t06(spark: SS, sf: str) -> DataFrame:
     return H.dedupe_within(table(spark, sf, "events"), ["user_id", "event_type"], "ts", 86400).select("event_id")
 
 
+@query("T07_multi_line", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), p AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM l)
+SELECT doc_id, count(*) AS hits, CAST(max(i) - 1 AS INTEGER) AS last FROM p WHERE before LIKE '%.' AND regexp_matches(line, '^[A-Z].*\.$') GROUP BY 1""")
+def t07(spark: SS, sf: str) -> DataFrame:
+    """A line that ends a sentence, and after it one that begins with a capital and ends one."""
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    hit = H.line_matches(lines, "doc_id", "pos", "line", r"\.\n[A-Z][^\n]*\.", 2, stretch=7)
+    return hit.groupBy("doc_id").agg(F.count("*").alias("hits"), F.max("pos").alias("last"))
+
+
 @query("T09_completion_window", """SELECT event_id AS run, NOT EXISTS (SELECT 1 FROM events t WHERE t.user_id = r.user_id AND t.event_type = 'error' AND t.ts > r.ts AND epoch_us(t.ts) <= epoch_us(r.ts) + 86400000000) AS completed FROM events r WHERE event_type = 'purchase'""")
 def t09(spark: SS, sf: str) -> DataFrame:
     e = table(spark, sf, "events")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -66,7 +67,8 @@ def debounced(events: DataFrame, quiet: int = 200, tick: int = 10_000, parts: in
 
 
 def recent_lines(lines: DataFrame, key: str, value: str, pattern: str, keep: int = 50) -> DataFrame:
-    """(key, seen, hits): lines of each key and how many of its last `keep` match the pattern, in keyed state."""
+    """(key, seen, hits): lines of each key and how often the pattern, which may run over several lines, is found in its last `keep`,
+    in keyed state. ^ and $ stand for the ends of a line."""
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, last = state.get if state.exists else (0, "")
@@ -76,7 +78,7 @@ def recent_lines(lines: DataFrame, key: str, value: str, pattern: str, keep: int
             seen += len(f)
         rows = rows[-keep:]
         state.update((seen, "\n".join(rows)))
-        yield pd.DataFrame({key: [k[0]], "seen": [seen], "hits": [int(pd.Series(rows).str.contains(pattern).sum())]})
+        yield pd.DataFrame({key: [k[0]], "seen": [seen], "hits": [sum(1 for _ in re.finditer(pattern, "\n".join(rows), re.M))]})
 
     kind = lines.schema[key].dataType.simpleString()
     return lines.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, seen long, hits long", "seen long, last string", "update", GroupStateTimeout.NoTimeout)

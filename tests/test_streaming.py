@@ -43,6 +43,12 @@ def test_recent_lines(spark, tmp_path):
     assert got == {"a": (10, 2), "b": (10, 2)}
 
 
+def test_lines_that_follow_one_another(spark, tmp_path):
+    got = {r.k: r.hits for r in run(M.recent_lines(events(spark, tmp_path), "k", "line", r"^boom$\n^fine$", keep=50), "follow", "update").collect()}
+    lines = {k: ["boom" if i % 5 == 0 else "fine" for i in range(20) if (i % 2 == 1) == (k == "a")] for k in "ab"}
+    assert got == {k: sum(x == "boom" and y == "fine" for x, y in zip(v, v[1:])) for k, v in lines.items()}
+
+
 def test_snapshot_sink(spark, tmp_path):
     out = str(tmp_path / "out")
     q = events(spark, tmp_path).writeStream.foreachBatch(M.snapshot_sink(out)).option("checkpointLocation", str(tmp_path / "cp")).start()
