@@ -278,6 +278,41 @@ def adjust_confidence(rules: DataFrame, runs: DataFrame, up: float = 0.05, down:
     return j.withColumn("confidence", F.round(c, 6)).withColumn("status", F.when(F.col("confidence") >= 0.8, "active").when(F.col("confidence") < 0.5, "inactive").otherwise(F.col("status"))).drop("_up", "_down")
 
 
+#: Of a rule that an outcome of an edit teaches: its first confidence, and what each repeat adds.
+TAUGHT = {"rejected": (0.55, 0.1), "modified": (0.5, 0.05), "regressed": (0.7, 0.2)}
+
+
+def learned_rules(edits: DataFrame) -> DataFrame:
+    """(file, symbol, checker, learned_from, confidence, status) that the outcomes of edits teach.
+
+    edits: file, symbol, outcome, reason, proposed, kept. A rejection teaches to handle errors where its reason speaks of errors that
+    are left out; a modification does where the error check was put back; a regression keeps the signature that the edit
+    had changed. Go files alone have these checkers. Repeats on one file and symbol add up to at most 1; a rule is active from
+    0.8, else a candidate. Equal edits are repeats; null texts teach nothing.
+    """
+    low, check = F.lower("reason"), r"\berr\b\s*!=\s*nil|errors\.(?:Is|As)\("
+    left_out = low.rlike(r"\berr(?:or)?s?\b") & low.rlike(r"ignor|discard|swallow|unhandled|unchecked|drop|handl")
+    put_back = ~F.col("proposed").rlike(check) & F.col("kept").rlike(check)
+    changed = F.regexp_extract("proposed", r"\((.*)\)", 1) != F.regexp_extract("kept", r"\((.*)\)", 1)
+    o = F.col("outcome")
+    checker = F.when((o == "rejected") & left_out, "err_discard").when((o == "modified") & put_back, "err_discard").when((o == "regressed") & changed, "signature_stable")
+    n = edits.filter(F.endswith("file", F.lit(".go"))).withColumn("checker", checker).filter("checker IS NOT NULL").groupBy("file", "symbol", "checker", F.col("outcome").alias("learned_from")).agg(F.count("*").alias("_n"))
+    sure = None
+    for kind, (first, more) in TAUGHT.items():
+        value = F.least(F.lit(1.0), first + more * (F.col("_n") - 1))
+        sure = F.when(F.col("learned_from") == kind, value) if sure is None else sure.when(F.col("learned_from") == kind, value)
+    return n.withColumn("confidence", F.round(sure, 6)).withColumn("status", F.when(F.col("confidence") >= 0.8, "active").otherwise("candidate")).drop("_n")
+
+
+def cycle_rules(imports: DataFrame) -> DataFrame:
+    """(rule, members, confidence, status) for each cycle of modules in imports (src, dst): its modules, in order, are not to import one
+    another. A module that imports itself alone is no cycle."""
+    from .graph import strong_components
+
+    found = strong_components(imports).groupBy("component").agg(F.sort_array(F.collect_set("node")).alias("members"))
+    return found.select(F.concat(F.lit("cycle:"), F.col("component").cast("string")).alias("rule"), "members", F.lit(0.7).alias("confidence"), F.lit("candidate").alias("status"))
+
+
 def load_rules(seeds: DataFrame, learned: DataFrame, legacy: list[str]) -> DataFrame:
     """Seeds and learned rules (id, source, checker, target): legacy sources and rows without a checker or target go; a learned
     rule takes the place of a seed of its id."""

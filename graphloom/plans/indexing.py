@@ -678,11 +678,37 @@ _NEXT = """steps AS (SELECT src, dst FROM (SELECT l_suppkey AS src, lead(l_suppk
 
 @query("G05_supplier_cycles", f"""WITH RECURSIVE {_NEXT}, r(a, b) AS (SELECT src, dst FROM steps UNION SELECT a, dst FROM r JOIN steps ON src = b) SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1 HAVING count(DISTINCT x.b) > 1""")
 def g05(spark: SS, sf: str) -> DataFrame:
+    return G.strong_components(_supplier_steps(spark, sf))
+
+
+def _supplier_steps(spark: SS, sf: str) -> DataFrame:
+    """(src, dst): supplier dst follows supplier src within an order, ten times or more."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     steps = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(w).alias("dst")).filter("dst IS NOT NULL AND src <> dst")
-    return G.strong_components(steps.groupBy("src", "dst").agg(F.count("*").alias("n")).filter("n >= 10").select("src", "dst"))
+    return steps.groupBy("src", "dst").agg(F.count("*").alias("n")).filter("n >= 10").select("src", "dst")
+
+
+@query("X11_import_cycles", f"""WITH RECURSIVE {_NEXT}, r(a, b) AS (SELECT src, dst FROM steps UNION SELECT a, dst FROM r JOIN steps ON src = b), c AS (SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1 HAVING count(DISTINCT x.b) > 1)
+SELECT 'cycle:' || component AS rule, string_agg(node, ',' ORDER BY node) AS members, 0.7::DOUBLE AS confidence, 'candidate' AS status FROM c GROUP BY component""")
+def x11_cycles(spark: SS, sf: str) -> DataFrame:
+    rules = X.cycle_rules(_supplier_steps(spark, sf))
+    return rules.withColumn("members", F.array_join(F.transform("members", lambda x: x.cast("string")), ","))
+
+
+@query("Y10_learned_rules", """WITH e AS (SELECT 'p' || l_partkey || CASE WHEN l_suppkey % 7 = 0 THEN '.py' ELSE '.go' END AS file, 's' || l_suppkey % 3 AS symbol, CASE l_returnflag WHEN 'R' THEN 'rejected' WHEN 'A' THEN 'modified' ELSE 'regressed' END AS o, l_linenumber % 2 = 0 AS even, l_quantity > 25 AS much FROM lineitem),
+k AS (SELECT file, symbol, o AS learned_from, CASE o WHEN 'regressed' THEN 'signature_stable' ELSE 'err_discard' END AS checker, count(*) AS n FROM e WHERE file LIKE '%.go' AND CASE o WHEN 'rejected' THEN even ELSE much END GROUP BY ALL)
+SELECT file, symbol, checker, learned_from, round(least(1.0, c), 6)::DOUBLE AS confidence, CASE WHEN round(least(1.0, c), 6) >= 0.8 THEN 'active' ELSE 'candidate' END AS status FROM (SELECT *, CASE learned_from WHEN 'rejected' THEN 0.55 + 0.1 * (n - 1) WHEN 'modified' THEN 0.5 + 0.05 * (n - 1) ELSE 0.7 + 0.2 * (n - 1) END AS c FROM k)""")
+def y10_learned(spark: SS, sf: str) -> DataFrame:
+    """Edits of files named after parts, whose outcomes and texts follow from the lines' flags and amounts."""
+    flag, much = F.col("l_returnflag"), F.col("l_quantity") > 25
+    o = F.when(flag == "R", "rejected").when(flag == "A", "modified").otherwise("regressed")
+    name = lambda c: F.col(c).cast("string")
+    file = F.concat(F.lit("p"), name("l_partkey"), F.when(F.col("l_suppkey") % 7 == 0, ".py").otherwise(".go"))
+    kept = F.when(~much, "f(a) { x, _ := g() }").when(flag == "A", "f(a) { x, err := g(); if err != nil { return err } }").otherwise("f(a, b) { x, _ := g() }")
+    edits = table(spark, sf, "lineitem").select(file.alias("file"), F.concat(F.lit("s"), (F.col("l_suppkey") % 3).cast("string")).alias("symbol"), o.alias("outcome"), F.when(F.col("l_linenumber") % 2 == 0, "the error is ignored").otherwise("too long").alias("reason"), F.lit("f(a) { x, _ := g() }").alias("proposed"), kept.alias("kept"))
+    return X.learned_rules(edits)
 
 
 @query("J21_related_often", f"WITH {STEPS_SQL.format(least=1)} SELECT id, other, round(max(s), 6) AS score FROM (SELECT src AS id, dst AS other, n / (n + 1.0) AS s FROM steps UNION ALL SELECT dst, src, n / (n + 1.0) FROM steps) WHERE s >= 0.6 GROUP BY 1, 2")
