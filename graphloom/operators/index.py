@@ -343,6 +343,48 @@ def expand_retrieval(base: DataFrame, calls: DataFrame, tests: DataFrame, files:
     return rows.groupBy("id").agg(F.max_by("role", F.struct("score", "role")).alias("role"), F.max("score").alias("score"))
 
 
+def retrieve(base: DataFrame, calls: DataFrame, tests: DataFrame, files: DataFrame, history: DataFrame, costs: DataFrame, budget: float, rounds: int = 4, most: int = 5) -> DataFrame:
+    """(request, id, role, score) that requests take within a budget of cost, each by score over cost.
+
+    base: request, id, score. Around it come callers and callees (0.7 of the score), tests (0.6), what changed together with it
+    (history: id, other, weight; 0.5 of score times weight) and the first `most` others of its files (0.5). While a request has used less
+    than half of its budget and something new is found, the callees and callers of what it took last come in at 0.25 and are
+    packed into what is left. Other tables: calls (src, dst), tests (test, id), files (id, file), costs (id, cost); ids without a cost
+    are left out. All requests go together, a round a few joins.
+    """
+    from ..plans.scratch import written
+    from .search import pack
+
+    calls = written(calls.select("src", "dst").distinct())
+    b = written(base.groupBy("request", F.col("id").alias("_b")).agg(F.max("score").alias("_s")))
+    role = lambda df, name, score: df.select("request", "id", F.lit(name).alias("role"), score.alias("score"))
+    at = b.join(files, F.col("_b") == files["id"]).groupBy("request", "file").agg(F.max("_s").alias("_s"))
+    inside = files.join(at, "file").join(b.select("request", F.col("_b").alias("id")), ["request", "id"], "left_anti")
+    near = inside.withColumn("_r", F.row_number().over(Window.partitionBy("request", "file").orderBy("id"))).filter(F.col("_r") <= most)
+    rows = role(b.withColumnRenamed("_b", "id"), "base", F.col("_s"))
+    rows = rows.unionAll(role(calls.join(b, F.col("dst") == F.col("_b")).withColumnRenamed("src", "id"), "caller", 0.7 * F.col("_s")))
+    rows = rows.unionAll(role(calls.join(b, F.col("src") == F.col("_b")).withColumnRenamed("dst", "id"), "callee", 0.7 * F.col("_s")))
+    rows = rows.unionAll(role(tests.join(b, F.col("id") == F.col("_b")).drop("id").withColumnRenamed("test", "id"), "test", 0.6 * F.col("_s")))
+    rows = rows.unionAll(role(history.join(b, F.col("id") == F.col("_b")).drop("id").withColumnRenamed("other", "id"), "history", 0.5 * F.col("_s") * F.col("weight")))
+    rows = rows.unionAll(role(near, "sibling", 0.5 * F.col("_s")))
+    found = rows.groupBy("request", "id").agg(F.max_by("role", F.struct("score", "role")).alias("role"), F.max("score").alias("score"))
+    left = b.select("request").distinct().withColumn("left", F.lit(float(budget)))
+    seen = taken = None
+    for _ in range(rounds + 1):
+        found = written(found.join(costs, "id").join(left, "request"))
+        if not found.limit(1).count():
+            break
+        fits = pack(found, "request", "id", "score", "cost", "left").filter("taken")
+        new = written(found.join(fits.select("request", "id"), ["request", "id"]))
+        seen = found.select("request", "id") if seen is None else seen.unionAll(found.select("request", "id"))
+        taken = new if taken is None else taken.unionAll(new)
+        left = written(left.join(new.groupBy("request").agg(F.sum("cost").alias("_c")), "request", "left").select("request", (F.col("left") - F.coalesce("_c", F.lit(0.0))).alias("left")))
+        open_ = new.join(left.filter(F.col("left") > budget / 2).select("request"), "request").select("request", F.col("id").alias("_b"))
+        on = calls.join(open_, F.col("src") == F.col("_b")).select("request", F.col("dst").alias("id")).union(calls.join(open_, F.col("dst") == F.col("_b")).select("request", F.col("src").alias("id")))
+        found = on.distinct().join(seen, ["request", "id"], "left_anti").select("request", "id", F.lit("expanded").alias("role"), F.lit(0.25).alias("score"))
+    return taken.select("request", "id", "role", "score") if taken is not None else found.select("request", "id", "role", "score")
+
+
 def second_level(included: DataFrame, symbols: DataFrame, most: int = 10) -> DataFrame:
     """(id, score): the first `most` symbols (id, name, body) that are not included and name an included one; 0.4 in the name, else 0.35."""
     words = symbols.select("id", F.explode(F.array_union(F.transform(T.word_tokens(F.col("name")), lambda w: F.concat(F.lit("n:"), w)), F.transform(T.word_tokens(F.col("body")), lambda w: F.concat(F.lit("b:"), w)))).alias("w"))

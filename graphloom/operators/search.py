@@ -97,20 +97,22 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, least: float, rows: int =
     return sent.groupBy("lo", "hi").applyInPandas(near, "a long, b long, cosine double")
 
 
-def pack(items: DataFrame, group: str, key: str, score: str, cost: str, budget: float) -> DataFrame:
+def pack(items: DataFrame, group: str, key: str, score: str, cost: str, budget: float | str) -> DataFrame:
     """Greedy packing by group: by score / cost, each item that still fits is taken; (group, key, taken, used).
 
-    A later small item may fit after a large one did not, so this is no prefix sum; a group is one sequence.
+    budget: of every group, or a column with each group's own. A later small item may fit after a large one did not, so this is no
+    prefix sum; a group is one sequence.
     """
     schema = items.select(group, key).schema.simpleString()[7:-1]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(_d=pdf[score] / pdf[cost].clip(lower=1e-9)).sort_values(["_d", key], ascending=[False, True])
-        left, taken, used = budget, [], []
+        whole = float(pdf[budget].iloc[0]) if isinstance(budget, str) else budget
+        left, taken, used = whole, [], []
         for c in pdf[cost]:
             taken.append(bool(c <= left))
             left -= c if taken[-1] else 0
-            used.append(float(budget - left))
+            used.append(float(whole - left))
         return pd.DataFrame({group: pdf[group], key: pdf[key], "taken": taken, "used": used})
 
     return items.groupBy(group).applyInPandas(run, f"{schema}, taken boolean, used double")

@@ -564,6 +564,19 @@ def x17(spark: SS, sf: str) -> DataFrame:
     return X.expand_retrieval(base, part_steps(spark, sf, 1).select("src", "dst"), tests, p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("file"))).withColumn("score", F.round("score", 6))
 
 
+@query("X17_packed_retrieval")
+def x17_packed(spark: SS, sf: str) -> DataFrame:
+    """A request for the parts of each supplier nation's first supplier; packing is sequential, the tests hold it against a plain loop."""
+    p, line = table(spark, sf, "part"), table(spark, sf, "lineitem")
+    first = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("request")).agg(F.min("s_suppkey").alias("l_suppkey"))
+    base = line.join(first, "l_suppkey").groupBy("request", F.col("l_partkey").alias("id")).agg(F.max(F.col("l_discount") + 0.5).alias("score"))
+    tests = p.select((F.col("p_partkey") + 100).alias("test"), F.col("p_partkey").alias("id"))
+    steps = part_steps(spark, sf, 1)
+    history = steps.select(F.col("src").alias("id"), F.col("dst").alias("other"), (F.col("n") / (F.col("n") + 1.0)).alias("weight"))
+    files, costs = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("file")), p.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("cost"))
+    return X.retrieve(base, steps.select("src", "dst"), tests, files, history, costs, 400.0).withColumn("score", F.round("score", 6))
+
+
 @query("Y04_second_level", """WITH i AS (SELECT p_partkey AS id, unnest(string_split(lower(p_name), ' ')) AS t FROM part WHERE p_partkey <= 2), o AS (SELECT p_partkey AS id, string_split(lower(p_name), ' ') AS n, string_split(lower(p_type), ' ') AS b FROM part WHERE p_partkey > 2)
 SELECT id, CAST(score AS DOUBLE) AS score FROM (SELECT o.id, max(CASE WHEN list_contains(n, t) THEN 0.4 ELSE 0.35 END) AS score FROM o JOIN (SELECT DISTINCT t FROM i) ON list_contains(n, t) OR list_contains(b, t) GROUP BY 1) ORDER BY score DESC, id LIMIT 10""")
 def y04(spark: SS, sf: str) -> DataFrame:

@@ -79,3 +79,43 @@ def test_pairs_of_a_hot_key(spark):
     want = Counter((k, *p) for k, items in by.items() for p in combinations(sorted(items), 2))
     for most in (9, 2000):
         assert Counter(tuple(r) for r in J.key_pairs(spark.createDataFrame(rows, "k string, i long"), "k", "i", most).collect()) == want
+
+
+def test_retrieval_by_a_loop(spark):
+    from graphloom.operators import index as X
+
+    rng = random.Random(5)
+    n = 60
+    calls = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(90)})
+    base = [(r, i, 1.0 + i / 100) for r in range(4) for i in rng.sample(range(n), 2)] + [(9, 59, 2.0)]
+    tests, files = [(i + 30, i) for i in range(20)], [(i, f"f{i % 9}") for i in range(n)]
+    history = [(i, (i * 7) % n, 0.5 + i % 3 / 10) for i in range(n)]
+    cost = {i: float(1 + i * 13 % 29) for i in range(n) if i % 11}
+    want = set()
+    for r in {r for r, _, _ in base}:
+        b = {i: s for q, i, s in base if q == r}
+        rows = [(i, "base", s) for i, s in b.items()]
+        rows += [(x, "caller", 0.7 * b[y]) for x, y in calls if y in b] + [(y, "callee", 0.7 * b[x]) for x, y in calls if x in b]
+        rows += [(t, "test", 0.6 * b[i]) for t, i in tests if i in b] + [(o, "history", 0.5 * b[i] * w) for i, o, w in history if i in b]
+        for f in {f for i, f in files if i in b}:
+            top = max(b[i] for i, g in files if g == f and i in b)
+            rows += [(i, "sibling", 0.5 * top) for i in sorted(i for i, g in files if g == f and i not in b)[:5]]
+        found = {}
+        for i, role, s in rows:
+            found[i] = max(found.get(i, (0, "")), (s, role))
+        left, seen = 80.0, set()
+        for _ in range(5):
+            found = {i: x for i, x in found.items() if i in cost}
+            new = []
+            for i in sorted(found, key=lambda i: (-found[i][0] / cost[i], i)):
+                if cost[i] <= left:
+                    left -= cost[i]
+                    new.append(i)
+                    want.add((r, i, found[i][1], round(found[i][0], 9)))
+            seen |= set(found)
+            if left <= 40:
+                break
+            found = {y: (0.25, "expanded") for a, c in calls for x, y in ((a, c), (c, a)) if x in new and y not in seen}
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = X.retrieve(df(base, "request long, id long, score double"), df(calls, "src long, dst long"), df(tests, "test long, id long"), df(files, "id long, file string"), df(history, "id long, other long, weight double"), df(list(cost.items()), "id long, cost double"), 80.0)
+    assert {(r.request, r.id, r.role, round(r.score, 9)) for r in got.collect()} == want
