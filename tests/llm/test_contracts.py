@@ -37,6 +37,8 @@ def folder(spark, tmp_path_factory, prose):
     empty = str(tmp_path_factory.mktemp("empty"))
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{d}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    for name, schema in (("conversations", "conv_id long, turn long, role string, text string"), ("sale_lines", "sale_id long, item_id long, flag string")):
+        spark.createDataFrame([], schema).write.parquet(f"{empty}/{name}.parquet")
     return d, empty, texts
 
 
