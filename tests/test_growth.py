@@ -21,3 +21,11 @@ def test_counts_of_shared_keys(spark, block):
     assert want and sorted(tuple(r) for r in got.collect()) == want
     with pytest.raises(ValueError):
         J.shared_counts(got, "a", "b", 0)
+
+
+def test_overlapping_ranges(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.choice("ab"), s := rng.randrange(-20, 20), s + rng.choice([0, 1, 2, 5, 17])) for i in range(150)] + [(500, None, 0, 5), (501, "a", None, 5)]
+    want = sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and None not in x + y and x[1] == y[1] and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3])
+    got = J.overlapping_pairs(spark.createDataFrame(rows, "id long, g string, s int, e int"), ["g"], "id", "s", "e", 4)
+    assert want and sorted(tuple(r) for r in got.collect()) == want
