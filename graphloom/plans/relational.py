@@ -123,8 +123,7 @@ SELECT k, hit, stage FROM s WHERE stage = (SELECT min(stage) FROM s s2 WHERE s2.
 def j04(spark: SS, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
     q = part.filter("p_size <= 5").select(F.col("p_partkey").alias("k"), "p_brand", "p_type", "p_name")
-    hit = lambda *on: q.join(part.select(F.col("p_partkey").alias("hit"), *on), list(on)).filter("k <> hit").select("k", "hit")
-    return J.first_stage("k", hit("p_brand", "p_name"), hit("p_type", "p_brand")).select("k", "hit", "stage")
+    return J.cascade(q, part.withColumnRenamed("p_partkey", "hit"), "k", "hit", [["p_brand", "p_name"], ["p_type", "p_brand"]])
 
 
 @query("J05_semi_detection", "SELECT n_nationkey, n_name FROM nation WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)")

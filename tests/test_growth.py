@@ -29,3 +29,16 @@ def test_overlapping_ranges(spark):
     want = sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and None not in x + y and x[1] == y[1] and x[2] < x[3] and y[2] < y[3] and x[2] < y[3] and y[2] < x[3])
     got = J.overlapping_pairs(spark.createDataFrame(rows, "id long, g string, s int, e int"), ["g"], "id", "s", "e", 4)
     assert want and sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_cascade_makes_pairs_of_one_layer(spark):
+    rng = random.Random(3)
+    cands = [(i, rng.choice([None, *"pqrstuvwxyz"]), rng.choice("mn")) for i in range(40)]
+    refs = [(i, a, b) for i, a, b in cands if i % 2] + [(100, "p", "m"), (101, None, "m"), (102, "none", "none")]
+    want = []
+    for k, a, b in refs:
+        layers = [[c[0] for c in cands if None not in (a, c[1]) and (a, b) == c[1:] and c[0] != k], [c[0] for c in cands if c[2] == b and c[0] != k]]
+        stage = next((i for i, x in enumerate(layers) if x), None)
+        want += [(k, c, stage) for c in layers[stage]] if stage is not None else []
+    got = J.cascade(spark.createDataFrame(refs, "k long, a string, b string"), spark.createDataFrame(cands, "hit long, a string, b string"), "k", "hit", [["a", "b"], ["b"]])
+    assert {s for *_, s in want} == {0, 1} and sorted(tuple(r) for r in got.collect()) == sorted(want)
