@@ -16,6 +16,7 @@ from ..sources import languages as L
 from ..sources.lexer import syntax_errors
 from ..sources.tables import STEPS_SQL, part_steps, table
 from .registry import query
+from .scratch import spread
 
 SS = SparkSession
 
@@ -67,7 +68,7 @@ _SITE_EXT = "go py swift rb".split()
 
 def _sites(spark: SS, sf: str) -> DataFrame:
     """Sources with the part's name in strings and comments; every third lacks its last bracket, with which a string is left open."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_name"))
     n = (F.col("p_partkey") % 4).cast("int")
     body = F.get(F.array(*[F.lit(_SITES["indent" if e in ("py", "rb") else "brace"].format(k="<k>", b="<b>", n="<n>", c="#" if e in ("py", "rb") else "//")) for e in _SITE_EXT]), n)
     for sign, value in (("<k>", F.col("p_partkey").cast("string")), ("<b>", F.col("p_size").cast("string")), ("<n>", F.col("p_name"))):
@@ -107,7 +108,7 @@ _BODY = "CASE WHEN p_size % 2 = 0 THEN 'for' ELSE 'if' END"
 
 
 def _bodies(spark: SS, sf: str) -> DataFrame:
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part").select("p_partkey", "p_size", "p_name"))
     word = F.when(F.col("p_size") % 2 == 0, "for").otherwise("if")
     lines = F.concat(F.lit("x"), F.col("p_partkey").cast("string"), F.lit(" := "), F.col("p_name"), F.lit("\n"), word, F.lit(" a"), F.col("p_size").cast("string"), F.lit(" {\n  return err"), F.when(F.col("p_size") % 3 == 0, F.lit("")).otherwise(F.lit("\n}")))
     return p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".go")).alias("path"), lines.alias("content"))

@@ -6,6 +6,7 @@ from itertools import combinations
 import pytest
 
 from graphloom.operators import joins as J
+from graphloom.plans import indexing
 
 
 @pytest.mark.parametrize("block", [3, 1000])
@@ -42,3 +43,8 @@ def test_cascade_makes_pairs_of_one_layer(spark):
         want += [(k, c, stage) for c in layers[stage]] if stage is not None else []
     got = J.cascade(spark.createDataFrame(refs, "k long, a string, b string"), spark.createDataFrame(cands, "hit long, a string, b string"), "k", "hit", [["a", "b"], ["b"]])
     assert {s for *_, s in want} == {0, 1} and sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_sources_of_a_small_table_are_read_by_many_tasks(spark, sf_dir):
+    assert spark.read.parquet(f"{sf_dir}/part.parquet").rdd.getNumPartitions() < 4
+    assert indexing._sites(spark, sf_dir).rdd.getNumPartitions() >= 16 and indexing._bodies(spark, sf_dir).rdd.getNumPartitions() >= 16
