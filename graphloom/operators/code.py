@@ -198,25 +198,72 @@ def consumers(routes: DataFrame, handles: DataFrame, calls: DataFrame, endpoint:
     return h.union(c).distinct()
 
 
-def semantic_edges(symbols: DataFrame, least: float = 0.7) -> DataFrame:
+def semantic_edges(symbols: DataFrame, least: float = 0.7, most: int = 2000) -> DataFrame:
     """(a, b, score) of symbols (id, file_path, signature, vector, callees) in different files: 0.4 cosine + 0.35 callees + 0.25 equal signature.
 
     Pairs meet on an equal signature, or, as without one callees alike in (least - 0.4) / 0.35 or more are needed, on the rarest
-    of their callees; so a frequent callee brings nobody together. A signature that many share is split into pairs of blocks.
-    A null or empty signature equals none.
+    of their callees; so a frequent callee brings nobody together. A key that many share is split into pairs of blocks of `most`. A pair is
+    judged where it meets, on the least of the keys that it shares: cosines are products of blocks, the rest is asked of pairs alone
+    whose cosine suffices. A null or empty signature equals none. Vectors have one length; ids are integers.
     """
-    from .joins import key_pairs
+    import numpy as np
+    import pyarrow as pa
+
+    from ..plans.scratch import spread, written
     from .search import prefix_keys
 
     has = F.coalesce(F.col("signature"), F.lit("")) != ""
     sets = symbols.select("id", F.array_distinct("callees").alias("ts")).filter(F.size("ts") > 0)
     rare = prefix_keys(sets, max(0.0, (least - 0.4) / 0.35)).select("id", F.concat(F.lit("c:"), "k").alias("k"))
     keys = symbols.filter(has).select("id", F.concat(F.lit("s:"), "signature").alias("k")).unionAll(rare)
-    pairs = key_pairs(keys.distinct(), "k", "id").select("a", "b").distinct()
-    side = lambda p: symbols.select(F.col("id").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("file_path", "signature", "vector", "callees")])
-    full = pairs.join(side("a"), "a").join(side("b"), "b").filter("a_file_path <> b_file_path")
-    score = 0.4 * F.coalesce(T.cosine(F.col("a_vector"), F.col("b_vector")), F.lit(0.0)) + 0.35 * T.jaccard(F.col("a_callees"), F.col("b_callees")) + F.when((F.col("a_signature") == F.col("b_signature")) & (F.col("a_signature") != ""), 0.25).otherwise(0.0)
-    return full.withColumn("score", score).filter(F.col("score") >= least).select("a", "b", "score")
+    keys = written(keys.groupBy("id").agg(F.sort_array(F.collect_set("k")).alias("ks")))
+    full = symbols.filter("file_path IS NOT NULL").select(F.col("id").cast("long").alias("id"), "file_path", "signature", F.col("vector").alias("v"), F.sort_array(F.array_distinct(F.coalesce("callees", F.array().cast("array<string>")))).alias("callees")).join(keys, "id")
+    blocks = keys.select(F.explode("ks").alias("k")).groupBy("k").agg(F.ceil(F.count("*") / most).cast("int").alias("_n")).filter("_n > 1")
+    cut = full.withColumn("k", F.explode("ks")).join(blocks, "k", "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("_p", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    cells = cut.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("_lo", F.least("_p", "_q")).withColumn("_hi", F.greatest("_p", "_q")).drop("_q", "_n")
+
+    def judge(table: pa.Table) -> pa.Table:
+        key, n = table.column("k")[0].as_py(), table.num_rows
+        own, ids = table.column("_p").to_numpy(), table.column("id").to_numpy()
+        file, sign = (table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy() for c in ("file_path", "signature"))
+        named = np.array([bool(s) for s in table.column("signature").to_pylist()])
+        what: dict[tuple, int] = {}  # different callees and keys
+        kind = np.array([what.setdefault((tuple(c), tuple(k)), len(what)) for c, k in zip(table.column("callees").to_pylist(), table.column("ks").to_pylist(), strict=True)])
+        kinds = [(set(c), set(k)) for c, k in what]
+        vectors = table.column("v").combine_chunks()
+        known = np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False))
+        v = np.zeros((n, 1))
+        if len(known):
+            some = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(known), -1).astype(np.float64)
+            v = np.zeros((n, some.shape[1]))
+            v[known] = some
+        size = (v**2).sum(1)
+        lo, hi = (np.flatnonzero(own == table.column(c)[0].as_py()) for c in ("_lo", "_hi"))
+        within = table.column("_lo")[0] == table.column("_hi")[0]
+        a, b, scores = [], [], []
+        for at in range(0, len(lo), 500):
+            some = lo[at : at + 500]
+            with np.errstate(invalid="ignore"):
+                c = np.nan_to_num((v[some] @ v[hi].T) / np.sqrt(size[some][:, None] * size[hi][None]))
+            same = (sign[some][:, None] == sign[hi][None]) & named[some][:, None]
+            i, j = np.nonzero((0.4 * c + 0.25 * same + 0.35 >= least - 1e-9) & (file[some][:, None] != file[hi][None]))
+            x, y, c, same = some[i], hi[j], c[i, j], same[i, j]
+            keep = ids[x] < ids[y] if within else ids[x] != ids[y]
+            x, y, c, same = x[keep], y[keep], c[keep], same[keep]
+            two, where = np.unique(kind[x] * np.int64(len(kinds)) + kind[y], return_inverse=True)
+            alike, first = np.zeros(len(two)), np.zeros(len(two), bool)
+            for t, (p, q) in enumerate(zip((two // len(kinds)).tolist(), (two % len(kinds)).tolist(), strict=True)):
+                (cp, kp), (cq, kq) = kinds[p], kinds[q]
+                alike[t] = len(cp & cq) / len(cp | cq) if cp or cq else 0.5
+                first[t] = min(kp & kq) == key
+            score = 0.4 * c + 0.35 * alike[where] + np.where(same, 0.25, 0.0)
+            keep = (score >= least) & first[where]
+            a.append(np.minimum(ids[x], ids[y])[keep])
+            b.append(np.maximum(ids[x], ids[y])[keep])
+            scores.append(score[keep])
+        return pa.table({n: np.concatenate(p) if p else np.zeros(0, t) for n, p, t in (("a", a, np.int64), ("b", b, np.int64), ("score", scores, np.float64))})
+
+    return spread(cells, "k", "_lo", "_hi").groupBy("k", "_lo", "_hi").applyInArrow(judge, "a long, b long, score double")
 
 
 def variable_flow(files: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Operators whose results outgrow their inputs, against plain loops, and how their work is dealt."""
 
+import math
 import random
 from itertools import combinations
 
 import pytest
 
+from graphloom.operators import code as C
 from graphloom.operators import joins as J
 from graphloom.plans import indexing
 
@@ -48,3 +50,21 @@ def test_cascade_makes_pairs_of_one_layer(spark):
 def test_sources_of_a_small_table_are_read_by_many_tasks(spark, sf_dir):
     assert spark.read.parquet(f"{sf_dir}/part.parquet").rdd.getNumPartitions() < 4
     assert indexing._sites(spark, sf_dir).rdd.getNumPartitions() >= 16 and indexing._bodies(spark, sf_dir).rdd.getNumPartitions() >= 16
+
+
+@pytest.mark.parametrize("most", [3, 2000])
+def test_semantic_edges_against_a_loop(spark, most):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["f", "g", "h", None]), rng.choice(["s1", "s2", "", None]), rng.choice([None, [float(rng.randrange(3)), 1.0, float(rng.randrange(2))], [0.0, 0.0, 0.0]]), rng.choice([None, [], ["a"], ["a", "b"], ["a", "b", "c", "a"], ["z"]])) for i in range(80)]
+
+    def score(x, y):
+        if None in (x[1], y[1]) or x[1] == y[1] or not ({k for k in [x[2]] if k} & {y[2]} or set(x[4] or []) & set(y[4] or [])):
+            return 0
+        dot = lambda p, q: sum(a * b for a, b in zip(p, q, strict=True))
+        cosine = dot(x[3], y[3]) / math.sqrt(dot(x[3], x[3]) * dot(y[3], y[3])) if x[3] and y[3] and any(x[3]) and any(y[3]) else 0
+        p, q = set(x[4] or []), set(y[4] or [])
+        return 0.4 * cosine + 0.35 * (len(p & q) / len(p | q) if p | q else 0.5) + (0.25 if x[2] and x[2] == y[2] else 0)
+
+    want = {(x[0], y[0]): round(score(x, y), 6) for x, y in combinations(rows, 2) if score(x, y) >= 0.7}
+    got = C.semantic_edges(spark.createDataFrame(rows, "id long, file_path string, signature string, vector array<double>, callees array<string>"), 0.7, most).collect()
+    assert want and len(got) == len(want) and {(r.a, r.b): round(r.score, 6) for r in got} == want
