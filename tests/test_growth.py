@@ -81,3 +81,13 @@ def test_semantic_edges_against_a_loop(spark, most):
     want = {(x[0], y[0]): round(score(x, y), 6) for x, y in combinations(rows, 2) if score(x, y) >= 0.7}
     got = C.semantic_edges(spark.createDataFrame(rows, "id long, file_path string, signature string, vector array<double>, callees array<string>"), 0.7, most).collect()
     assert want and len(got) == len(want) and {(r.a, r.b): round(r.score, 6) for r in got} == want
+
+
+@pytest.mark.parametrize("rows", [7, 8000])
+def test_cosines_by_blocks(spark, rows):
+    rng = random.Random(6)
+    v = {i: [rng.gauss(0, 1) for _ in range(4)] for i in range(60)}
+    size = {i: math.sqrt(sum(a * a for a in x)) for i, x in v.items()}
+    want = {(a, b): c for a, b in combinations(v, 2) if (c := sum(p * q for p, q in zip(v[a], v[b], strict=True)) / size[a] / size[b]) >= 0.3}
+    got = S.cosine_pairs(spark.createDataFrame([*v.items(), (99, None)], "id long, v array<double>"), "id", "v", 0.3, rows).collect()
+    assert len(got) == len(want) and all(r.cosine == pytest.approx(want[r.a, r.b]) for r in got)
