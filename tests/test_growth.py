@@ -7,6 +7,7 @@ from itertools import combinations
 import pytest
 
 from graphloom.operators import code as C
+from graphloom.operators import index as X
 from graphloom.operators import joins as J
 from graphloom.operators import search as S
 from graphloom.plans import indexing
@@ -91,3 +92,33 @@ def test_cosines_by_blocks(spark, rows):
     want = {(a, b): c for a, b in combinations(v, 2) if (c := sum(p * q for p, q in zip(v[a], v[b], strict=True)) / size[a] / size[b]) >= 0.3}
     got = S.cosine_pairs(spark.createDataFrame([*v.items(), (99, None)], "id long, v array<double>"), "id", "v", 0.3, rows).collect()
     assert len(got) == len(want) and all(r.cosine == pytest.approx(want[r.a, r.b]) for r in got)
+
+
+def test_callers_of_two_sources(spark):
+    a, b = [(1, 5), (1, 5), (1, 6), (2, None), (None, 3)], [(1, 5), (1, 7), (2, None), (3, 1)]
+    got = X.verified_callers(spark.createDataFrame(a, "id long, caller long"), spark.createDataFrame(b, "id long, caller long"))
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 2, 1), (2, 1, 1, 1), (None, 1, 0, 0), (3, 0, 1, 1)}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_siblings_of_a_large_file_are_ranked_once(spark):
+    files = [(i, "f") for i in range(300)]
+    base = [(r, i, 1.0) for r in range(3) for i in range(r * 4)] + [(3, 299, 1.0)]
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = X.retrieve(df(base, "request long, id long, score double"), df([], "src long, dst long"), df([], "test long, id long"), df(files, "id long, file string"), df([], "id long, other long, weight double"), df([(i, 1.0) for i, _ in files], "id long, cost double"), 40.0).collect()
+    for r in (1, 2, 3):
+        own = {i for q, i, _ in base if q == r}
+        assert sorted(x.id for x in got if x.request == r and x.role == "sibling") == [i for i in range(300) if i not in own][:5]
+
+
+def test_pairs_of_baskets_are_counted_without_a_join_of_baskets(spark):
+    rng = random.Random(7)
+    rows = [(b, rng.randrange(12)) for b in range(60) for _ in range(rng.randrange(1, 9))]
+    sets = {}
+    for b, i in rows:
+        sets.setdefault(b, set()).add(i)
+    sets = [s for s in sets.values() if 2 <= len(s) <= 6]
+    n = {p: sum(set(p) <= s for s in sets) for p in combinations(range(12), 2)}
+    got = J.cooccurrence(spark.createDataFrame(rows, "basket long, item long"), largest=6, jaccard=0.0)
+    assert {(r.a, r.b): r.pairs for r in got.collect()} == {p: c for p, c in n.items() if c >= 3}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # with the items' counts alone
