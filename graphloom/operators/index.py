@@ -170,8 +170,10 @@ def other_side(over: DataFrame, ids: DataFrame, concrete: bool = True) -> DataFr
 
 def verified_callers(indexed: DataFrame, outside: DataFrame) -> DataFrame:
     """(id, indexed, verified, missing): callers (id, caller) that the index has, another source has, and only that source has."""
-    a, b = indexed.select("id", "caller").distinct().withColumn("x", F.lit(1)), outside.select("id", "caller").distinct().withColumn("y", F.lit(1))
-    return a.join(b, ["id", "caller"], "full").groupBy("id").agg(F.count("x").alias("indexed"), F.count("y").alias("verified"), F.count_if(F.col("x").isNull()).alias("missing"))
+    none = F.lit(None).cast("int")
+    both = indexed.select("id", "caller", F.lit(1).alias("x"), none.alias("y")).unionAll(outside.select("id", "caller", none, F.lit(1)))
+    lone = F.when(F.col("id").isNull() | F.col("caller").isNull(), F.col("x").isNull())  # a null equals none of the other side
+    return both.groupBy("id", "caller", lone.alias("lone")).agg(F.max("x").alias("x"), F.max("y").alias("y")).groupBy("id").agg(F.count("x").alias("indexed"), F.count("y").alias("verified"), F.count_if(F.col("x").isNull()).alias("missing"))
 
 
 def promote(edges: DataFrame, confirmed: DataFrame, most: int = 100) -> DataFrame:
