@@ -355,13 +355,17 @@ def retrieve(base: DataFrame, calls: DataFrame, tests: DataFrame, files: DataFra
     are left out. All requests go together, a round a few joins.
     """
     from ..plans.scratch import written
+    from .joins import ranked_per_group
     from .search import pack
 
     calls = written(calls.select("src", "dst").distinct())
     b = written(base.groupBy("request", F.col("id").alias("_b")).agg(F.max("score").alias("_s")))
     role = lambda df, name, score: df.select("request", "id", F.lit(name).alias("role"), score.alias("score"))
     at = b.join(files, F.col("_b") == files["id"]).groupBy("request", "file").agg(F.max("_s").alias("_s"))
-    inside = files.join(at, "file").join(b.select("request", F.col("_b").alias("id")), ["request", "id"], "left_anti")
+    # a request leaves out its own, so the first `most` others are among the first of a file by as many more
+    own = b.join(files, F.col("_b") == files["id"]).groupBy("request", "file").agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    firsts = ranked_per_group(files.join(at.select("file").distinct(), "file", "left_semi").select("id", "file"), ["file"], [F.col("id")], most + own)
+    inside = firsts.join(at, "file").join(b.select("request", F.col("_b").alias("id")), ["request", "id"], "left_anti")
     near = inside.withColumn("_r", F.row_number().over(Window.partitionBy("request", "file").orderBy("id"))).filter(F.col("_r") <= most)
     rows = role(b.withColumnRenamed("_b", "id"), "base", F.col("_s"))
     rows = rows.unionAll(role(calls.join(b, F.col("dst") == F.col("_b")).withColumnRenamed("src", "id"), "caller", 0.7 * F.col("_s")))
