@@ -1,6 +1,6 @@
 """A stored inverted index with block maxima, and ranked search that reads the blocks it needs.
 
-An index is a table of blocks: up to BLOCK postings of one term in one slice of the documents, in order of key, as
+An index is a table of blocks: up to BLOCK postings of one term in one slice of the documents (a range of keys), in order of key, as
 variable-length bytes, with the greatest weight that a posting of the block gives. Blocks are in order of term over the files, so a
 search reads the row groups of its terms. The k-th greatest block maximum of a term is a score that k documents reach. A block
 whose maximum, with the best that the other terms give, stays below it holds none of the first k and is not decoded.
@@ -9,41 +9,47 @@ whose maximum, with the best that the other terms give, stays below it holds non
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK, SLICE_DOCS, DIGITS = 128, 100_000, 6
+CHUNK, PIECE = 1 << 25, 1_000_000  # bytes of text that make runs together; postings that are cut together
 _TERM = re.compile("[a-z0-9]{2,}")
+_OF_TERM = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
+_RUNS = "term string, slice int, first long, n long, uses long, codes binary"
 _CODES = "term string, slice int, first long, last long, n long, top double, codes binary"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Non-negative numbers in groups of seven bits, the lowest first; the last byte of each has the high bit."""
+def _pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of `pack`, and where those of each value end."""
     left, at = values.astype(np.uint64), np.arange(len(values))
-    places, digits = [], []
-    size = np.maximum(1, -(-np.where(left > 0, np.floor(np.log2(np.maximum(left, 1).astype(np.float64))) + 1, 1) // 7)).astype(np.int64)
-    size += (size < 10) & (left >> np.minimum(7 * size, 63).astype(np.uint64) > 0) & (7 * size < 64)  # the logarithm may be rounded down
-    begin = np.cumsum(size) - size
-    out = np.zeros(int(size.sum()), np.uint8)
+    size, bits, most = np.ones(len(values), np.int64), 7, int(left.max()) if len(left) else 0
+    while most >> bits:
+        size += left >> np.uint64(bits) > 0
+        bits += 7
+    ends = np.cumsum(size)
+    begin, out = ends - size, np.zeros(int(size.sum()), np.uint8)
     step = 0
     while len(at):
-        places.append(begin[at] + step)
-        digits.append((left[at] >> np.uint64(7 * step)).astype(np.uint8) & 127)
+        out[begin[at] + step] = (left[at] >> np.uint64(7 * step)).astype(np.uint8) & 127
         step += 1
         at = at[size[at] > step]
-    if places:
-        out[np.concatenate(places)] = np.concatenate(digits)
-    out[begin + size - 1] |= 128
-    return out.tobytes()
+    out[ends - 1] |= 128
+    return out, ends
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Non-negative numbers in groups of seven bits, the lowest first; the last byte of each has the high bit."""
+    return _pack(values)[0].tobytes()
 
 
-def unpack(blob: bytes) -> np.ndarray:
+def unpack(blob: bytes | np.ndarray) -> np.ndarray:
     data = np.frombuffer(blob, np.uint8)
     ends = np.flatnonzero(data & 128)
     if not len(ends):
@@ -57,55 +63,127 @@ def _weight(tf: np.ndarray, size: np.ndarray, mean: float, k1: float, b: float)
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
 
 
-def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each different term of each text."""
+def _coded(key: np.ndarray, tf: np.ndarray, size: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Postings as (step from the key before, tf, size), a blob from each of `begin` to the next."""
+    step = np.diff(key, prepend=key[:1])
+    step[begin] = 0
+    data, ends = _pack(np.column_stack([step, tf, size]).ravel())
+    offsets = np.append(0, ends[3 * np.append(begin[1:], len(key)) - 1]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values of a column of texts or blobs, one after the other, and where each begins; one more is the end."""
+    whole = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
+    _, offsets, data = whole.buffers()
+    at = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.Table]:
+    """Rows with some `chunk` bytes of text together; the last one may pass that."""
+    held, size = [], 0
     for batch in batches:
-        terms, keys, slices, tfs, sizes = [], [], [], [], []
-        for key, part, text in zip(*(batch.column(c).to_pylist() for c in ("key", "slice", "text")), strict=True):
-            words = Counter(_TERM.findall(text))
-            terms += words.keys()
-            tfs += words.values()
-            keys += [key] * len(words)
-            slices += [part] * len(words)
-            sizes += [sum(words.values())] * len(words)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(slices, pa.int32()), pa.array(keys, pa.int64()), pa.array(tfs, pa.int64()), pa.array(sizes, pa.int64())], names=["term", "slice", "key", "tf", "size"])
-
-
-def _cut(mean: float, k1: float, b: float):
-    def blocks(table: pa.Table) -> pa.RecordBatch:
-        term, part = table.column("term").to_pylist(), table.column("slice").to_numpy()
-        key, tf, size = (table.column(c).to_numpy() for c in ("key", "tf", "size"))
-        top = _weight(tf, size, mean, k1, b)
-        new = np.array([True] + [x != y for x, y in zip(term[1:], term[:-1], strict=True)]) | np.append(True, part[1:] != part[:-1])
-        begin = np.flatnonzero(new)
+        ends, at = _flat(batch.column("text"))[1], 0
+        while at < batch.num_rows:
+            to = min(int(np.searchsorted(ends[at + 1 :], ends[at] + chunk - size)) + at + 1, batch.num_rows)
+            held.append(batch.slice(at, to - at))
+            size, at = size + int(ends[to] - ends[at]), to
+            if size >= chunk:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _words(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The terms of texts that begin at `at`, in order, and how many each text has."""
+    ok = _OF_TERM[data]
+    begin, end = ok.copy(), ok.copy()
+    begin[1:] &= ~ok[:-1]
+    end[:-1] &= ~ok[1:]
+    some = at[1:] > at[:-1]
+    begin[at[:-1][some]] = ok[at[:-1][some]]  # a term does not go on in the next text
+    end[at[1:][some] - 1] = ok[at[1:][some] - 1]
+    start = np.flatnonzero(begin)
+    size = np.flatnonzero(end) + 1 - start
+    ok[start[size == 1]] = False
+    start, size = start[size > 1], size[size > 1]
+    offsets = np.append(0, np.cumsum(size)).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data[ok])]), np.diff(np.searchsorted(start, at))
+
+
+def _runs(bounds: Sequence[int], chunk: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each different term of a chunk of texts and slice, with its postings in order of key."""
+        for table in _chunks(batches, chunk):
+            key, docs = table.column("key").to_numpy(), table.num_rows
+            words, sizes = _words(*_flat(table.column("text")))
+            if not len(words):
+                continue
+            order = np.argsort(key, kind="stable")
+            place = np.empty(docs, np.int64)
+            place[order] = np.arange(docs)
+            coded = words.dictionary_encode()
+            pair = coded.indices.to_numpy().astype(np.int64) * docs + np.repeat(place, sizes)
+            pair.sort()
+            new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+            tf = np.diff(np.append(new, len(pair)))
+            code, at = np.divmod(pair[new], docs)
+            key = key[order]
+            part = np.searchsorted(np.array(bounds, np.int64), key, "right").astype(np.int32)[at]  # slices are ranges of keys, so in order too
+            key, size = key[at], sizes[order][at]
+            begin = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (part[1:] != part[:-1])))
+            n = np.diff(np.append(begin, len(key)))
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary.take(pa.array(code[begin])), pa.array(part[begin]), pa.array(key[begin]), pa.array(n), pa.array(np.add.reduceat(tf, begin)), _coded(key, tf, size, begin)],
+                names=["term", "slice", "first", "n", "uses", "codes"],
+            )
+
+    return run
+
+
+def _cut(mean: float, k1: float, b: float, piece: int):
+    def blocks(runs: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        """Whole groups of runs, one of a term in a slice, as blocks."""
+        n, first = runs.column("n").to_numpy(), runs.column("first").to_numpy()
+        step, tf, size = unpack(_flat(runs.column("codes"))[0]).reshape(-1, 3).T
+        key, begin = np.cumsum(step), np.cumsum(n) - n
+        key += np.repeat(first - key[begin], n)
+        of, row = np.repeat(group, n), np.repeat(np.arange(len(n)), n)
+        if ((key[1:] < key[:-1]) & (of[1:] == of[:-1])).any():  # texts were not in order of key
+            order = np.lexsort((key, of))
+            key, tf, size, row = key[order], tf[order], size[order], row[order]  # `of` is in order as it is
+        begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
         within = np.arange(len(key)) - np.repeat(begin, np.diff(np.append(begin, len(key))))
-        cuts = np.append(np.flatnonzero(within % BLOCK == 0), len(key)).tolist()
-        codes = []
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            codes.append(pack(np.concatenate([np.diff(key[x:y], prepend=key[x]), tf[x:y], size[x:y]])))
-        at, ends = np.array(cuts[:-1]), np.array(cuts[1:])
+        at = np.flatnonzero(within % BLOCK == 0)
+        ends = np.append(at[1:], len(key))
+        top = np.maximum.reduceat(_weight(tf, size, mean, k1, b), at)
+        some = pa.array(row[at])
         return pa.RecordBatch.from_arrays(
-            [pa.array([term[i] for i in cuts[:-1]]), pa.array(part[at]), pa.array(key[at]), pa.array(key[ends - 1]), pa.array(ends - at), pa.array(np.maximum.reduceat(top, at)), pa.array(codes, pa.binary())],
+            [runs.column("term").combine_chunks().take(some), runs.column("slice").combine_chunks().take(some), pa.array(key[at]), pa.array(key[ends - 1]), pa.array(ends - at), pa.array(top), _coded(key, tf, size, at)],
             names=["term", "slice", "first", "last", "n", "top", "codes"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Postings in order, as blocks; those of the last term of a batch wait for the next, in whole blocks."""
+        """Runs in order of term and slice as blocks, some `piece` postings at once; those of the last group of a batch wait for the next."""
         held: pa.Table | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            term, part = table.column("term"), table.column("slice")
-            last = table.num_rows - 1
-            same = pa.compute.and_(pa.compute.equal(term, term[last]), pa.compute.equal(part, part[last]))
-            run_of = int(pa.compute.sum(same).as_py())
-            keep = run_of % BLOCK or BLOCK
-            if table.num_rows > keep:
-                yield blocks(table.slice(0, table.num_rows - keep).combine_chunks())
-            held = table.slice(table.num_rows - keep).combine_chunks()
+            table = pa.Table.from_batches([batch])
+            held = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+            term, part = held.column("term").combine_chunks(), held.column("slice").to_numpy()
+            new = np.append(True, pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False) | (part[1:] != part[:-1]))
+            group, start, n = np.cumsum(new), np.flatnonzero(new), held.column("n").to_numpy()
+            before = (np.cumsum(n) - n)[start] // piece
+            cuts = start[np.append(True, before[1:] != before[:-1])].tolist()
+            cuts = [c for c in cuts if c < start[-1]] + [int(start[-1])]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                yield blocks(held.slice(x, y - x), group[x:y])
+            held = held.slice(int(start[-1]))
         if held is not None:
-            yield blocks(held)
+            yield blocks(held, np.zeros(held.num_rows, np.int64))
 
     return run
 
@@ -114,16 +192,24 @@ def build(docs: DataFrame, key: str, text: str, path: str, k1: float = 1.2, b: f
     """Writes an index of docs below `path` and returns it. A term is a run of two or more of a-z and 0-9 in lower case.
 
     Keys are integers of at least 0 and differ; a null text has no terms but counts as a document; an empty table gives an empty
-    index. A frequent term's postings are spread over slices and files; texts of any length are whole.
+    index. Slices are ranges of keys, some SLICE_DOCS in each. Texts are read once: what a chunk of them says of a term is one
+    row, written below `path`/runs and then merged. A frequent term's postings are spread over slices and files; texts of any
+    length are whole.
     """
     spark = docs.sparkSession
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    n, mean = docs.agg(F.count("*"), F.avg(F.regexp_count(low, F.lit("[a-z0-9]{2,}")))).first()
-    mean = float(mean or 0) or 1.0
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(-(-n // SLICE_DOCS) or 1)).cast("int").alias("slice"), low.alias("text"))
-    order = ["term", "slice", "key"]
-    posted = rows.mapInArrow(_post, "term string, slice int, key long, tf long, size long").repartitionByRange(*order).sortWithinPartitions(*order)
-    posted.mapInArrow(_cut(mean, k1, b), _CODES).write.parquet(f"{path}/blocks")
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    n, bounds = rows.count(), []
+    if n > SLICE_DOCS:
+        slices = -(-n // SLICE_DOCS)
+        bounds = rows.agg(F.percentile_approx("key", [i / slices for i in range(1, slices)], max(10_000, 20 * slices))).first()[0]
+    rows.mapInArrow(_runs(bounds, CHUNK), _RUNS).write.parquet(f"{path}/runs")
+    runs = spark.read.schema(_RUNS).parquet(f"{path}/runs")
+    uses, posted = (int(x or 0) for x in runs.agg(F.sum("uses"), F.sum("n")).first())
+    mean = uses / n if uses else 1.0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-posted // (2 * PIECE)))
+    order = ["term", "slice", "first"]
+    merged = runs.drop("uses").repartitionByRange(tasks, *order[:2]).sortWithinPartitions(*order)
+    merged.mapInArrow(_cut(mean, k1, b, PIECE), _CODES).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(n, mean, k1, b)], "n long, mean double, k1 double, b double").write.parquet(f"{path}/meta")
     return path
 
@@ -142,7 +228,7 @@ def _matches(weights: dict[str, float], meta: tuple[float, float, float], least:
                     best += (top[at][near].max() if near.any() else 0.0) * weights[o]
             if best < least:
                 continue
-            delta, tf, size = unpack(table.column("codes")[i].as_py()).reshape(3, -1)
+            delta, tf, size = unpack(table.column("codes")[i].as_py()).reshape(-1, 3).T
             keys.append(np.cumsum(delta) + first[i])
             parts.append(_weight(tf, size, *meta) * weights[t])
         if not keys:

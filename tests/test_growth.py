@@ -2,12 +2,16 @@
 
 import math
 import random
+import re
+from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.operators import code as C
 from graphloom.operators import index as X
+from graphloom.operators import inverted as V
 from graphloom.operators import joins as J
 from graphloom.operators import search as S
 from graphloom.plans import indexing
@@ -122,3 +126,36 @@ def test_pairs_of_baskets_are_counted_without_a_join_of_baskets(spark):
     got = J.cooccurrence(spark.createDataFrame(rows, "basket long, item long"), largest=6, jaccard=0.0)
     assert {(r.a, r.b): r.pairs for r in got.collect()} == {p: c for p, c in n.items() if c >= 3}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # with the items' counts alone
+
+
+def test_index_reads_each_text_once(spark, tmp_path, monkeypatch):
+    """Keys in no order, over several slices, chunks, batches and pieces; each posting is in one block."""
+    for name, value in {"SLICE_DOCS": 300, "CHUNK": 3000, "PIECE": 200}.items():
+        monkeypatch.setattr(V, name, value, raising=False)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Ab", "a", "été", "naïve12", "x-y2", "ab", "zz" * 40, f"n{rng.randrange(400)}"]) for _ in range(rng.randrange(30))) for _ in range(900)] + ["ab " * 3000, "", None]
+    rows = [(i * i, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    want = {(w, k, n, sum(c.values())) for k, t in rows for c in [Counter(re.findall("[a-z0-9]{2,}", (t or "").lower()))] for w, n in c.items()}
+    read = spark.sparkContext.accumulator(0)
+    note = F.udf(lambda t: (read.add(1), t)[1])
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        path = V.build(spark.createDataFrame(rows, "id long, text string").repartition(3).select("id", note("text").alias("text")), "id", "text", str(tmp_path / "i"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert read.value == len(rows)
+    blocks, got = spark.read.parquet(f"{path}/blocks").collect(), []
+    for r in blocks:
+        step, tf, size = V.unpack(r.codes).reshape(-1, 3).T
+        keys = (step.cumsum() + r["first"]).tolist()
+        assert len(keys) == r.n <= V.BLOCK and keys[-1] == r.last and (step[1:] > 0).all()
+        got += [(r.term, k, t, s) for k, t, s in zip(keys, tf.tolist(), size.tolist(), strict=True)]
+    assert len(got) == len(want) and set(got) == want and len({r.slice for r in blocks}) == 4
+    of = {}
+    for r in blocks:
+        of.setdefault(r.slice, []).append((r["first"], r.last))
+    spans = sorted((min(a for a, _ in x), max(z for _, z in x)) for x in of.values())
+    assert all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+    assert spark.read.parquet(f"{path}/runs").count() < len(want)
