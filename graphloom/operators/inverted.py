@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK, SLICE_DOCS, DIGITS = 128, 100_000, 6
-CHUNK, PIECE = 1 << 25, 1_000_000  # bytes of text that make runs together; postings that are cut together
+CHUNK, PIECE = 1 << 24, 1 << 18  # bytes of text that make runs together; postings that are coded together
 _TERM = re.compile("[a-z0-9]{2,}")
 _OF_TERM = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8))
 _RUNS = "term string, slice int, first long, n long, uses long, codes binary"
@@ -113,7 +113,7 @@ def _words(data: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(data[ok])]), np.diff(np.searchsorted(start, at))
 
 
-def _runs(bounds: Sequence[int], chunk: int):
+def _runs(bounds: Sequence[int], chunk: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each different term of a chunk of texts and slice, with its postings in order of key."""
         for table in _chunks(batches, chunk):
@@ -125,20 +125,27 @@ def _runs(bounds: Sequence[int], chunk: int):
             place = np.empty(docs, np.int64)
             place[order] = np.arange(docs)
             coded = words.dictionary_encode()
-            pair = coded.indices.to_numpy().astype(np.int64) * docs + np.repeat(place, sizes)
+            pair = coded.indices.to_numpy().astype(np.int64)
+            pair *= docs
+            pair += np.repeat(place, sizes)
+            terms = coded.dictionary
+            del words, coded
             pair.sort()
             new = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
             tf = np.diff(np.append(new, len(pair)))
             code, at = np.divmod(pair[new], docs)
-            key = key[order]
-            part = np.searchsorted(np.array(bounds, np.int64), key, "right").astype(np.int32)[at]  # slices are ranges of keys, so in order too
-            key, size = key[at], sizes[order][at]
-            begin = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (part[1:] != part[:-1])))
-            n = np.diff(np.append(begin, len(key)))
-            yield pa.RecordBatch.from_arrays(
-                [coded.dictionary.take(pa.array(code[begin])), pa.array(part[begin]), pa.array(key[begin]), pa.array(n), pa.array(np.add.reduceat(tf, begin)), _coded(key, tf, size, begin)],
-                names=["term", "slice", "first", "n", "uses", "codes"],
-            )
+            del pair, new
+            key, size = key[order], sizes[order]
+            part = np.searchsorted(np.array(bounds, np.int64), key, "right").astype(np.int32)  # slices are ranges of keys, so in order too
+            begin = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (part[at[1:]] != part[at[:-1]])))
+            ends = np.append(begin[1:], len(code))
+            for some in np.split(np.arange(len(begin)), np.flatnonzero(np.diff(begin // piece)) + 1):
+                lo, hi, first = begin[some[0]], ends[some[-1]], begin[some]
+                of, own = at[lo:hi], first - begin[some[0]]
+                yield pa.RecordBatch.from_arrays(
+                    [terms.take(pa.array(code[first])), pa.array(part[at[first]]), pa.array(key[at[first]]), pa.array(ends[some] - first), pa.array(np.add.reduceat(tf[lo:hi], own)), _coded(key[of], tf[lo:hi], size[of], own)],
+                    names=["term", "slice", "first", "n", "uses", "codes"],
+                )
 
     return run
 
@@ -202,11 +209,11 @@ def build(docs: DataFrame, key: str, text: str, path: str, k1: float = 1.2, b: f
     if n > SLICE_DOCS:
         slices = -(-n // SLICE_DOCS)
         bounds = rows.agg(F.percentile_approx("key", [i / slices for i in range(1, slices)], max(10_000, 20 * slices))).first()[0]
-    rows.mapInArrow(_runs(bounds, CHUNK), _RUNS).write.parquet(f"{path}/runs")
+    rows.mapInArrow(_runs(bounds, CHUNK, PIECE), _RUNS).write.parquet(f"{path}/runs")
     runs = spark.read.schema(_RUNS).parquet(f"{path}/runs")
     uses, posted = (int(x or 0) for x in runs.agg(F.sum("uses"), F.sum("n")).first())
     mean = uses / n if uses else 1.0
-    tasks = max(spark.sparkContext.defaultParallelism, -(-posted // (2 * PIECE)))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-posted // (8 * PIECE)))
     order = ["term", "slice", "first"]
     merged = runs.drop("uses").repartitionByRange(tasks, *order[:2]).sortWithinPartitions(*order)
     merged.mapInArrow(_cut(mean, k1, b, PIECE), _CODES).write.parquet(f"{path}/blocks")
