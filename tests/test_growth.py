@@ -32,6 +32,21 @@ def test_counts_of_shared_keys(spark, block):
         J.shared_counts(got, "a", "b", 0)
 
 
+def test_lists_of_keys_are_sent_to_few_groups(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(rng.randrange(1300), rng.randrange(200)) for _ in range(9000)]
+    held = {}
+    for k, i in rows:
+        held.setdefault(i, set()).add(k)
+    want = sorted((a, b, len(held[a] & held[b])) for a, b in combinations(sorted(held), 2) if len(held[a] & held[b]) >= 3)
+    sent, made = [], J.in_cells
+    monkeypatch.setattr(J, "in_cells", lambda lists, item, groups: sent.append(groups) or made(lists, item, groups))
+    df = spark.createDataFrame(rows, "k long, i long")
+    for more in ({"block": 3}, {"block": 70}, {"block": 3, "held_by": 300}):
+        assert want and sorted(tuple(r) for r in J.shared_counts(df, "k", "i", 3, **more).collect()) == want
+    assert sent[:2] == [24, 4] and sent[2] == -(-sum(map(len, held.values())) // 300)  # the first was one group for each block of 3
+
+
 def test_overlapping_ranges(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("ab"), s := rng.randrange(-20, 20), s + rng.choice([0, 1, 2, 5, 17])) for i in range(150)] + [(500, None, 0, 5), (501, "a", None, 5)]
