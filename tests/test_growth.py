@@ -6,15 +6,18 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import code as C
+from graphloom.operators import graph as G
 from graphloom.operators import index as X
 from graphloom.operators import inverted as V
 from graphloom.operators import joins as J
 from graphloom.operators import search as S
-from graphloom.plans import indexing
+from graphloom.plans import analytics, indexing  # noqa: F401  the first fills the registry
+from graphloom.plans.registry import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("block", [3, 1000])
@@ -47,6 +50,40 @@ def test_lists_of_keys_are_sent_to_few_groups(spark, monkeypatch):
     assert sent[:2] == [24, 4] and sent[2] == -(-sum(map(len, held.values())) // 300)  # the first was one group for each block of 3
 
 
+@pytest.mark.parametrize("more", [{}, {"in_place": 5, "block": 3, "held_by": 40}])
+def test_items_of_large_baskets_are_linked(spark, more):
+    rng = random.Random(11)
+    sets = {b: set(rng.sample(range(300), rng.choice([1, 2, 4, 9]))) for b in range(70)}
+    for at in range(0, 240, 60):  # two large baskets that share 30 items, and a small one or another large one that holds some of these
+        sets |= {1000 + at: set(range(at, at + 55)), 1001 + at: set(range(at + 25, at + 80)), 1002 + at: set(range(at + 30, at + (90 if at % 120 else 34)))}
+    sets |= {2000 + i: {400, 401, 402 + i} for i in range(2)} | {2002: set(range(400, 460)), 2003: set(range(500, 570))}
+    rows = [(b, i) for b, held in sets.items() for i in held] + [(1000, 30)] + [(None, i) for i in range(70)] * 3 + [(1000, None)]
+    n = Counter(p for held in sets.values() for p in combinations(sorted(held), 2))
+    assert any(max(len(sets[b]) for b in sets if p[0] in sets[b] and p[1] in sets[b]) > 50 > min(len(sets[b]) for b in sets if p[0] in sets[b] and p[1] in sets[b]) for p in n if n[p] == 3)
+    root = {i: i for p in n if n[p] >= 3 for i in p}
+
+    def up(i):
+        return i if root[i] == i else up(root[i])
+
+    for p in n:
+        if n[p] >= 3:
+            a, b = sorted(map(up, p))
+            root[b] = a
+    df = spark.createDataFrame(rows, "basket long, item long")
+    got = G.components(J.linked(df, **more).toDF("src", "dst"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((i, up(i)) for i in root)
+
+
+def test_components_count_orders_of_any_size(spark, tmp_path):
+    """An order of 60 parts links them like any other."""
+    lines = [(o, p) for o in (1, 2, 3) for p in range(10, 70)] + [(o, p) for o in (4, 5) for p in (70, 71)] + [(6, p) for p in range(70, 130)] + [(None, p) for p in range(130, 140)] * 3
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLES["G07_components"]).fetchall())
+    assert len(want) == 62 and sorted(tuple(r) for r in QUERIES["G07_components"](spark, str(tmp_path)).collect()) == want
+
+
 def test_overlapping_ranges(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice("ab"), s := rng.randrange(-20, 20), s + rng.choice([0, 1, 2, 5, 17])) for i in range(150)] + [(500, None, 0, 5), (501, "a", None, 5)]
