@@ -193,6 +193,43 @@ def test_lm_stream_and_windows_by_loop():
     assert all(w[-1] != lm_scoring.RAW_BEGIN for w in windows)
 
 
+def test_lm_learns_from_each_subword_once():
+    """Targets of the windows of whole texts, in place, are the learning texts; nothing of the others is among them."""
+    rng = np.random.default_rng(2)
+    lengths = [1, 1, 5, 31, 32, 33, 64, 65, 900, 2500, 7]
+    off = np.concatenate([[0], np.cumsum(lengths)])
+    stream = np.arange(off[-1]).astype(np.uint16)  # each subword is a different one
+    keep = rng.random(len(lengths)) < 0.7
+    keep[[0, 3, 5, 9]], keep[6] = True, False
+    windows = lm_scoring._whole(stream, off, keep)
+    assert windows.shape[1] == lm_scoring.CONTEXT + 1
+    targets = windows[:, 1:][windows[:, 1:] != lm_scoring.RAW_BEGIN]
+    assert sorted(targets.tolist()) == [x for i in np.flatnonzero(keep) for x in range(off[i], off[i + 1])]
+    begins = set(off.tolist())
+    for w in windows.tolist():
+        for a, b in zip(w[:-1], w[1:]):  # a target follows what precedes it in its text, or nothing at its begin
+            assert b == lm_scoring.RAW_BEGIN or (a == b - 1 if b not in begins else a == lm_scoring.RAW_BEGIN)
+    assert lm_scoring._whole(stream, off, np.zeros(len(lengths), bool)).shape == (0, lm_scoring.CONTEXT + 1)
+
+
+def test_lm_trains_on_all_of_a_long_text(spark, monkeypatch):
+    """What the rounds after the first are dealt adds up to the learning texts, whatever their length."""
+    texts = [" ".join(f"w{i * j % 97}" for j in range(n)) for i, n in enumerate((3, 40, 1500, 0, 260))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("held", F.col("id") == 1).repartition(2)
+    read = df.mapInArrow(lm_scoring._read(lm_scoring.vocabulary_path(), 2), lm_scoring._BLOCK_SQL).collect()
+    batch = pa.RecordBatch.from_pylist([r.asDict(recursive=True) for r in read], lm_scoring._BLOCK)
+    got = Counter()
+    for number in range(lm_scoring.ROUNDS):
+        for out in lm_scoring._deal(number, 3)(iter([batch])):
+            for blob in out.column("windows").to_pylist():
+                got.update(int(x) for x in np.frombuffer(blob, "<u2").reshape(-1, lm_scoring.CONTEXT + 1)[:, 1:].ravel() if x != lm_scoring.RAW_BEGIN)
+    want = Counter()
+    for i, text in enumerate(texts):
+        if i != 1:
+            want.update([lm_scoring.RAW_END, *(int(x) for b in lm_scoring.subwords([w.encode() for w in text.split()], lm_scoring.vocabulary_path()) for x in np.frombuffer(b, np.uint16))])
+    assert got == want and sum(want.values()) > 3000
+
+
 def test_lm_is_a_distribution_and_learns_from_all_rows(spark, monkeypatch):
     """Shares of raw ids add up to one within their output; training helps held-out rows; each learning row gives windows."""
     rng = random.Random(3)
